@@ -7,8 +7,10 @@
    shards; those of two chunks or with the mark come back. Other windows cannot repeat and go no further.
 3. Runs of windows with one returned anchor are cut out as strings, each distinct string of a chunk once with its
    smallest doc_id, and dealt by anchor. Anchors that very many chunks hold are dealt by the window itself instead.
-4. Each shard builds a run-compressed Burrows-Wheeler index of its distinct strings, streams every string through it
-   for matching statistics, and reads for each window the smallest doc_id in its class of matches.
+4. Equal strings of a shard become one, with the smallest doc_id. A string alone under its anchor matches itself and
+   nothing else, as windows under different anchors differ. Of all others the shard builds a run-compressed
+   Burrows-Wheeler index, streams them through it for matching statistics, and reads for each window the smallest
+   doc_id in its class of matches.
 5. The answers return to the chunk; every byte of a window with a smaller doc_id elsewhere goes.
 
 Defined cases: null text is empty; a null doc_id counts as larger than any other, and is not smaller than another null;
@@ -27,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import freeze, table
+from tessera.llm.common import freeze, release, table
 from tessera.llm.runindex import RunIndex, words_at
 
-GRAM = 24
+GRAM = 20
 CHUNK_BYTES = 4 << 20
 #: Bytes of strings, and anchors, for which one shard is planned.
 SHARD_BYTES, SHARD_ANCHORS = 2 << 20, 1 << 20
@@ -51,7 +53,7 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     n = len(text) - GRAM + 1
     h = _mix(w[:n])
     h = _mix(h ^ w[8 : 8 + n])
-    return _mix(h ^ w[16 : 16 + n]) >> np.uint64(1)
+    return _mix(h ^ w[GRAM - 8 : GRAM - 8 + n]) >> np.uint64(1)
 
 
 def window_runs(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +195,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([rows[i]["chunk"] for i in some], pa.int64()), pa.array([answer[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())], names=["chunk", "anchors"])
 
 
-STRINGS = "shard long, chunk long, text binary, sizes binary, lowest binary, copies binary, places binary, owners binary"
+STRINGS = "shard long, chunk long, text binary, sizes binary, anchors binary, lowest binary, copies binary, places binary, owners binary"
 
 
 def _string_rows(length: int, shards: int):
@@ -219,11 +221,13 @@ def _string_rows(length: int, shards: int):
                 for k in [*range(0, length - 7, 8), length - 8]:
                     w = _mix(w ^ words[first[at] + k])
                 shard[at] = (_mix(w) % np.uint64(shards)).astype(np.int64)
+                anchor = np.repeat(anchor, n)
+                anchor[at] = w
             owner = ids[np.searchsorted(np.cumsum(sizes), first, side="right")]
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.unique(shard))
             data = row["text"]
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for a, b in zip(cuts, [*cuts[1:], len(by)]):
                 mine = by[a:b]
                 seen: dict[bytes, int] = {}
@@ -232,10 +236,10 @@ def _string_rows(length: int, shards: int):
                 place, doc, number = first[mine][order], owner[mine][order], number[order]
                 head = np.searchsorted(number, np.arange(len(seen)))
                 strings = list(seen)
-                for column, value in zip(out, (int(shard[mine[0]]), row["chunk"], b"".join(strings), np.array([len(s) for s in strings], np.int32).tobytes(), np.minimum.reduceat(doc, head).tobytes(), np.diff(np.concatenate([head, [len(number)]])).astype(np.int32).tobytes(), place.astype(np.int32).tobytes(), doc.tobytes())):
+                for column, value in zip(out, (int(shard[mine[0]]), row["chunk"], b"".join(strings), np.array([len(s) for s in strings], np.int32).tobytes(), anchor[mine][order][head].astype(np.uint32).tobytes(), np.minimum.reduceat(doc, head).tobytes(), np.diff(np.concatenate([head, [len(number)]])).astype(np.int32).tobytes(), place.astype(np.int32).tobytes(), doc.tobytes())):
                     column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["shard", "chunk", "text", "sizes", "lowest", "copies", "places", "owners"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["shard", "chunk", "text", "sizes", "anchors", "lowest", "copies", "places", "owners"])
 
     return run
 
@@ -246,26 +250,33 @@ def _lowest_ids(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_shard(batches):
             seen: dict[bytes, int] = {}
-            numbers, lows = [], []
+            numbers, lows, anchors = [], [], []
             for r in rows:
                 sizes = np.frombuffer(r["sizes"], np.int32)
                 ends = np.cumsum(sizes)
                 numbers.append(np.array([seen.setdefault(r["text"][a:b], len(seen)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64))
                 lows.append(np.frombuffer(r["lowest"], np.int64))
+                anchors.append(np.frombuffer(r["anchors"], np.uint32))
             low = np.full(len(seen), NO_ID, np.int64)
             np.minimum.at(low, np.concatenate(numbers), np.concatenate(lows))
-            whole = b"\xff".join(seen) + b"\xff"
             size = np.fromiter(map(len, seen), np.int64, len(seen))
-            start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-            index = RunIndex(whole, length)
-            least = index.lowest(np.repeat(low, size + 1))
             windows = size - length + 1
             base = np.concatenate([[0], np.cumsum(windows)])
-            value = np.empty(base[-1], np.int64)
-            for patterns, place, matched, klass in index.stream(index.text, start, size):
-                full = matched >= length
-                value[base[patterns[full]] + place[full]] = least[klass[full]]
-            del index
+            value = np.repeat(low, windows)
+            anchor = np.empty(len(seen), np.uint32)
+            anchor[np.concatenate(numbers)] = np.concatenate(anchors)
+            _, group, under = np.unique(anchor, return_inverse=True, return_counts=True)
+            met = np.flatnonzero(under[group] > 1)
+            if len(met):
+                strings = list(seen)
+                text = b"\xff".join([strings[i] for i in met]) + b"\xff"
+                start = np.concatenate([[0], np.cumsum(size[met] + 1)[:-1]])
+                index = RunIndex(text, length)
+                least = index.lowest(np.repeat(low[met], size[met] + 1))
+                for patterns, place, matched, klass in index.stream(index.text, start, size[met]):
+                    full = matched >= length
+                    value[base[met[patterns[full]]] + place[full]] = least[klass[full]]
+                del index, strings
             of = np.repeat(np.arange(len(size)), windows)
             head = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (value[1:] != value[:-1])]))
             per = np.bincount(of[head], minlength=len(size))
@@ -308,10 +319,8 @@ def _removed(length: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
         text, sizes = np.frombuffer(row["text"], np.uint8), np.array(row["sizes"], np.int64)
-        depth = np.zeros(len(text) + 1, np.int32)
-        for blob in row["spans"] or []:
-            spans = np.frombuffer(blob, np.int32).reshape(-1, 2)
-            depth += np.bincount(spans[:, 0], minlength=len(depth)).astype(np.int32) - np.bincount(spans[:, 1], minlength=len(depth)).astype(np.int32)
+        spans = np.frombuffer(b"".join(row["spans"] or []), np.int32).reshape(-1, 2)
+        depth = np.bincount(spans[:, 0], minlength=len(text) + 1) - np.bincount(spans[:, 1], minlength=len(text) + 1)
         gone = np.cumsum(depth[:-1]) > 0
         ends = np.cumsum(sizes)
         kept, spans = [], []
@@ -340,11 +349,13 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     sent = chunks.mapInArrow(_anchor_rows(length, shards), "shard long, chunk long, anchors binary")
     sent = sent.repartition(int(shards), "shard").sortWithinPartitions("shard")
     back = freeze(sent.mapInArrow(_repeated, "chunk long, anchors binary"), "anchors")
+    del sent
+    release(spark)
     strings = back.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0))).first()[0] // 8 * (length + 18)
     shards = max(parts, strings // SHARD_BYTES)
     answered = chunks.join(back.groupBy("chunk").agg(F.collect_list("anchors").alias("anchors")), "chunk")
     cut_out = freeze(answered.mapInArrow(_string_rows(length, shards), STRINGS), "strings")
-    dealt = cut_out.select("shard", "chunk", "text", "sizes", "lowest").repartition(int(shards), "shard").sortWithinPartitions("shard")
+    dealt = cut_out.select("shard", "chunk", "text", "sizes", "anchors", "lowest").repartition(int(shards), "shard").sortWithinPartitions("shard")
     least = freeze(dealt.mapInArrow(_lowest_ids(length), "shard long, chunk long, runs binary, first binary, least binary"), "lowest")
     told = cut_out.select("shard", "chunk", "sizes", "copies", "places", "owners").join(least, ["shard", "chunk"])
     spans = told.mapInArrow(_removed(length), "chunk long, spans binary").groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
