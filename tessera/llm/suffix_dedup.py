@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -226,7 +227,7 @@ def _string_rows(length: int, shards: int):
             owner = ids[np.searchsorted(np.cumsum(sizes), first, side="right")]
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.unique(shard))
-            data = row["text"]
+            data, pack = row["text"], zstandard.ZstdCompressor(level=3)
             out: list[list] = [[] for _ in range(9)]
             for a, b in zip(cuts, [*cuts[1:], len(by)]):
                 mine = by[a:b]
@@ -236,7 +237,7 @@ def _string_rows(length: int, shards: int):
                 place, doc, number = first[mine][order], owner[mine][order], number[order]
                 head = np.searchsorted(number, np.arange(len(seen)))
                 strings = list(seen)
-                for column, value in zip(out, (int(shard[mine[0]]), row["chunk"], b"".join(strings), np.array([len(s) for s in strings], np.int32).tobytes(), anchor[mine][order][head].astype(np.uint32).tobytes(), np.minimum.reduceat(doc, head).tobytes(), np.diff(np.concatenate([head, [len(number)]])).astype(np.int32).tobytes(), place.astype(np.int32).tobytes(), doc.tobytes())):
+                for column, value in zip(out, (int(shard[mine[0]]), row["chunk"], pack.compress(b"".join(strings)), np.array([len(s) for s in strings], np.int32).tobytes(), anchor[mine][order][head].astype(np.uint32).tobytes(), np.minimum.reduceat(doc, head).tobytes(), np.diff(np.concatenate([head, [len(number)]])).astype(np.int32).tobytes(), place.astype(np.int32).tobytes(), doc.tobytes())):
                     column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["shard", "chunk", "text", "sizes", "anchors", "lowest", "copies", "places", "owners"])
@@ -253,8 +254,8 @@ def _lowest_ids(length: int):
             numbers, lows, anchors = [], [], []
             for r in rows:
                 sizes = np.frombuffer(r["sizes"], np.int32)
-                ends = np.cumsum(sizes)
-                numbers.append(np.array([seen.setdefault(r["text"][a:b], len(seen)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64))
+                ends, data = np.cumsum(sizes), zstandard.ZstdDecompressor().decompress(r["text"])
+                numbers.append(np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64))
                 lows.append(np.frombuffer(r["lowest"], np.int64))
                 anchors.append(np.frombuffer(r["anchors"], np.uint32))
             low = np.full(len(seen), NO_ID, np.int64)
