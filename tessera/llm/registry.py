@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, fingerprint, mixing, packing, simhash, suffix_dedup, warc
+from tessera.llm import embedding_dedup, fingerprint, licenses, mixing, packing, quality, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_quality": quality.op2_quality,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_packing": packing.op5_packing,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_warc": warc.op7_warc,
+    "op8_licenses": licenses.op8_licenses,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
