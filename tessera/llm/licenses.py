@@ -63,9 +63,9 @@ class _Powers:
             cls.up, cls.down = np.cumprod(up), np.cumprod(down)
 
 
-def words_of(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+def words_of(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     """(folded UTF-8, starts, ends) of the words."""
-    line = text.encode("utf-8", "surrogatepass").lower().translate(_KEEP)
+    line = text.lower().translate(_KEEP)
     letter = np.frombuffer(line, np.uint8) != 32
     edge = np.diff(np.concatenate([[0], letter.view(np.int8), [0]]))
     return line, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -118,7 +118,7 @@ class Templates:
         self.hit = np.zeros(1 << TABLE_BITS, bool)
         for name, texts in templates.items():
             for text in texts:
-                line, start, end = words_of(text)
+                line, start, end = words_of(text.encode())
                 t = len(self.names)
                 self.names.append(name)
                 self.shingles.append(exact_shingles(line, start, end, 0, len(start)))
@@ -152,30 +152,39 @@ def exact_shingles(line: bytes, start: np.ndarray, end: np.ndarray, low: int, hi
     return [tuple(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)]
 
 
-def matches(text: str, templates: Templates) -> list[tuple[str, int, int, float]]:
-    """(name, start, end, containment) of each verified place; start and end are bytes of the UTF-8 text, end exclusive."""
-    line, start, end = words_of(text)
-    hashes = shingle_hashes(line, start, end)
-    out = []
-    for t, places in templates.candidates(hashes).items():
+Match = tuple[str, int, int, float]  # license, start, end (bytes of the UTF-8 text, end exclusive), containment
+
+
+def matches(texts: list[str], templates: Templates) -> list[list[Match]]:
+    """Per text its verified places. Texts are looked up end to end; verification keeps to each text's own words."""
+    lines = [t.encode("utf-8", "surrogatepass") for t in texts]
+    line, start, end = words_of(b" ".join(lines))
+    base = np.cumsum([0, *(len(x) + 1 for x in lines)])
+    first = np.searchsorted(start, base)  # each text's first word
+    places = {t: np.array(sorted(set(p))) for t, p in templates.candidates(shingle_hashes(line, start, end)).items()}
+    for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < WORDS)):  # texts of one short shingle
+        w = slice(first[d], first[d + 1])
+        for t in templates.candidates(shingle_hashes(line, start[w], end[w])):
+            places[t] = np.union1d(places.get(t, np.zeros(0, np.int64)), first[d])
+    out: list[list[Match]] = [[] for _ in texts]
+    for t, at in places.items():
         wanted = set(templates.shingles[t])
         size, upto = len(templates.shingles[t]), -1
-        for i in sorted(set(places)):
-            low, high = max(0, i - size), min(len(start), i + 2 * size + WORDS)
+        for i, d in zip(at.tolist(), (np.searchsorted(first, at, side="right") - 1).tolist()):
             if i < upto:  # inside the last match
                 continue
-            near = exact_shingles(line, start, end, low, high)
+            low, high = max(int(first[d]), i - size), min(int(first[d + 1]), i + 2 * size + WORDS)
             # of each wanted shingle the occurrence nearest to the window
             found: dict[tuple, int] = {}
-            for j, s in enumerate(near):
-                if s in wanted and (s not in found or abs(low + j - i) < abs(found[s] - i)):
-                    found[s] = low + j
+            for j, s in enumerate(exact_shingles(line, start, end, low, high), low):
+                if s in wanted and (s not in found or abs(j - i) < abs(found[s] - i)):
+                    found[s] = j
             share = len(found) / len(wanted)
             if share >= CONTAINED:
-                a, b = min(found.values()), min(max(found.values()) + WORDS, len(start))
-                out.append((templates.names[t], int(start[a]), int(end[b - 1]), share))
+                a, b = min(found.values()), min(max(found.values()) + WORDS, high)
+                out[d].append((templates.names[t], int(start[a] - base[d]), int(end[b - 1] - base[d]), share))
                 upto = b
-    return sorted(set(out), key=lambda m: (m[1], m[2], m[0]))
+    return [sorted(set(m), key=lambda m: (m[1], m[2], m[0])) for m in out]
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -185,8 +194,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(given)
-        for batch, texts in texts_of(batches):
-            rows = [[{"license": n, "start": s, "end": e, "containment": c} for n, s, e, c in matches(t, known)] for t in texts]
+        for batch, texts in texts_of(batches, 1 << 20):
+            rows = [[{"license": n, "start": s, "end": e, "containment": c} for n, s, e, c in found] for found in matches(texts, known)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "matches"])
 
     schema = "doc_id long, matches array<struct<license:string,start:long,end:long,containment:double>>"
