@@ -76,15 +76,21 @@ def f_upper(f: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
-@F.pandas_udf("double")
-def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    ok = t.notna() & df.notna()
-    return pd.Series(np.where(ok, t_two_sided(t.fillna(0), df.fillna(1)), np.nan)).where(ok.to_numpy(), None)
+def t_p(t: Column, df: Column) -> Column:
+    """Two-sided p of a t column; null where t or df is."""
 
+    def run(t: pd.Series, df: pd.Series) -> pd.Series:
+        ok = (t.notna() & df.notna()).to_numpy()
+        return pd.Series(t_two_sided(t.fillna(0), df.fillna(1))).where(ok, None)
 
-@F.pandas_udf("double")
-def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(gamma_q(df.to_numpy(float) / 2, x.to_numpy(float) / 2))
+    return F.pandas_udf(run, "double")(t, df)
+
+
+def chi2_p(x: Column, df: Column) -> Column:
+    def run(x: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(gamma_q(df.to_numpy(float) / 2, x.to_numpy(float) / 2))
+
+    return F.pandas_udf(run, "double")(x, df.cast("double"))
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, by: list[str], q: str = "q_value") -> DataFrame:

@@ -147,11 +147,11 @@ def ad_stat(hist: DataFrame) -> DataFrame:
     groups, lens = hist.groupBy("genotype").agg(F.sum("f").alias("n")), hist.groupBy("len").agg(F.sum("f").alias("l"))
     grid = groups.crossJoin(lens).join(hist, ["genotype", "len"], "left").na.fill(0, ["f"])
     by = Window.partitionBy("genotype").orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
-    N = F.sum("l").over(Window.partitionBy("genotype")).cast("double")
-    grid = grid.select("*", N.alias("N"), (F.sum("f").over(by) - F.col("f") / 2).alias("M"), (F.sum("l").over(by) - F.col("l") / 2).alias("B"))
-    d = F.col("N") * F.col("M") - F.col("n") * F.col("B")
-    term = F.try_divide(F.col("l") / F.col("N") * d * d, F.col("B") * (F.col("N") - F.col("B")) - F.col("N") * F.col("l") / 4)
-    return grid.groupBy("genotype", "n", "N").agg(F.sum(term).alias("s")).agg((F.max((F.col("N") - 1) / F.col("N")) * F.sum(F.col("s") / F.col("n"))).alias("A2"), F.count("*").alias("k"))
+    total = F.sum("l").over(Window.partitionBy("genotype")).cast("double")
+    grid = grid.select("*", total.alias("total"), (F.sum("f").over(by) - F.col("f") / 2).alias("M"), (F.sum("l").over(by) - F.col("l") / 2).alias("B"))
+    d = F.col("total") * F.col("M") - F.col("n") * F.col("B")
+    term = F.try_divide(F.col("l") / F.col("total") * d * d, F.col("B") * (F.col("total") - F.col("B")) - F.col("total") * F.col("l") / 4)
+    return grid.groupBy("genotype", "n", "total").agg(F.sum(term).alias("s")).agg((F.max((F.col("total") - 1) / F.col("total")) * F.sum(F.col("s") / F.col("n"))).alias("A2"), F.count("*").alias("k"))
 
 
 def _ranked(values: DataFrame, by: list[str], value: str) -> DataFrame:
