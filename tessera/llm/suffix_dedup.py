@@ -7,10 +7,10 @@
    shards; those of two chunks or with the mark come back. Other windows cannot repeat and go no further.
 3. Runs of windows with one returned anchor are cut out as strings, each distinct string of a chunk once with its
    smallest doc_id, and dealt by anchor. Anchors that very many chunks hold are dealt by the window itself instead.
-4. Equal strings of a shard become one, with the smallest doc_id. A string alone under its anchor matches itself and
-   nothing else, as windows under different anchors differ. Of all others the shard builds a run-compressed
-   Burrows-Wheeler index, streams them through it for matching statistics, and reads for each window the smallest
-   doc_id in its class of matches.
+4. Equal strings are one, with the smallest doc_id. A string alone under its anchor, by the strings' hashes, matches
+   itself and nothing else, as windows under different anchors differ: its bytes never move. Of all others each shard
+   builds a run-compressed Burrows-Wheeler index, streams them through it for matching statistics, and reads for each
+   window the smallest doc_id in its class of matches.
 5. The answers return to the chunk; every byte of a window with a smaller doc_id elsewhere goes.
 
 Defined cases: null text is empty; a null doc_id counts as larger than any other, and is not smaller than another null;
@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,7 +197,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([rows[i]["chunk"] for i in some], pa.int64()), pa.array([answer[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())], names=["chunk", "anchors"])
 
 
-STRINGS = "shard long, chunk long, text binary, sizes binary, anchors binary, lowest binary, copies binary, places binary, owners binary"
+PART = "struct<shard:long,text:binary,sizes:binary,anchors:binary,lowest:binary,copies:binary,places:binary,owners:binary>"
+_PART = pa.struct([("shard", pa.int64()), *((n, pa.binary()) for n in ("text", "sizes", "anchors", "lowest", "copies", "places", "owners"))])
 
 
 def _string_rows(length: int, shards: int):
@@ -227,8 +229,8 @@ def _string_rows(length: int, shards: int):
             owner = ids[np.searchsorted(np.cumsum(sizes), first, side="right")]
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.unique(shard))
-            data, pack = row["text"], zstandard.ZstdCompressor(level=3)
-            out: list[list] = [[] for _ in range(9)]
+            data = row["text"]
+            out: list[dict] = []
             for a, b in zip(cuts, [*cuts[1:], len(by)]):
                 mine = by[a:b]
                 seen: dict[bytes, int] = {}
@@ -237,14 +239,69 @@ def _string_rows(length: int, shards: int):
                 place, doc, number = first[mine][order], owner[mine][order], number[order]
                 head = np.searchsorted(number, np.arange(len(seen)))
                 strings = list(seen)
-                for column, value in zip(out, (int(shard[mine[0]]), row["chunk"], pack.compress(b"".join(strings)), np.array([len(s) for s in strings], np.int32).tobytes(), anchor[mine][order][head].astype(np.uint32).tobytes(), np.minimum.reduceat(doc, head).tobytes(), np.diff(np.concatenate([head, [len(number)]])).astype(np.int32).tobytes(), place.astype(np.int32).tobytes(), doc.tobytes())):
-                    column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["shard", "chunk", "text", "sizes", "anchors", "lowest", "copies", "places", "owners"])
+                out.append(
+                    {
+                        "shard": int(shard[mine[0]]),
+                        "text": b"".join(strings),
+                        "sizes": np.array([len(s) for s in strings], np.int32).tobytes(),
+                        "anchors": anchor[mine][order][head].astype(np.uint32).tobytes(),
+                        "lowest": np.minimum.reduceat(doc, head).tobytes(),
+                        "copies": np.diff(np.concatenate([head, [len(number)]])).astype(np.int32).tobytes(),
+                        "places": place.astype(np.int32).tobytes(),
+                        "owners": doc.tobytes(),
+                    }
+                )
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([out], pa.list_(_PART))], names=["chunk", "parts"])
 
     return run
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each part's strings as 64-bit hashes, which suffice to tell whether an anchor has one string or several."""
+    for row in _rows(batches):
+        parts = row["parts"]
+        hashes = []
+        for p in parts:
+            ends = np.cumsum(np.frombuffer(p["sizes"], np.int32)).tolist()
+            hashes.append(b"".join([xxhash.xxh3_64_digest(p["text"][i:j]) for i, j in zip([0, *ends], ends)]))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([p["shard"] for p in parts], pa.int64()), pa.array([row["chunk"]] * len(parts), pa.int64()), *(pa.array([p[n] for p in parts], pa.binary()) for n in ("anchors", "lowest")), pa.array(hashes, pa.binary())], names=["shard", "chunk", "anchors", "lowest", "hashes"])
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per (shard, chunk) and string: whether its anchor has other strings, and the smallest doc_id that has the string itself."""
+    for rows in _by_shard(batches):
+        anchor, value, low = (np.concatenate([np.frombuffer(r[n], t) for r in rows]) for n, t in (("anchors", np.uint32), ("hashes", np.uint64), ("lowest", np.int64)))
+        by = np.lexsort((value, anchor))
+        a, v = anchor[by], value[by]
+        new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
+        new = new_anchor | np.concatenate([[True], v[1:] != v[:-1]])
+        group, under = np.cumsum(new) - 1, np.cumsum(new_anchor) - 1
+        several = np.bincount(under, new) > 1
+        least = np.minimum.reduceat(low[by], np.flatnonzero(new))
+        need, lowest = np.empty(len(by), np.uint8), np.empty(len(by), np.int64)
+        need[by], lowest[by] = several[under], least[group]
+        ends = np.cumsum([len(r["anchors"]) // 4 for r in rows])
+        cut = [slice(i, j) for i, j in zip([0, *ends], ends)]
+        yield pa.RecordBatch.from_arrays([pa.array([r["shard"] for r in rows], pa.int64()), pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([need[c].tobytes() for c in cut], pa.binary()), pa.array([lowest[c].tobytes() for c in cut], pa.binary())], names=["shard", "chunk", "need", "low"])
+
+
+def _strings_to_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        needs = {x["shard"]: np.frombuffer(x["need"], np.uint8) > 0 for x in row["alone"]}
+        out: list[list] = [[] for _ in range(6)]
+        for p in row["parts"]:
+            need = np.flatnonzero(needs[p["shard"]])
+            if len(need):
+                sizes = np.frombuffer(p["sizes"], np.int32)
+                ends = np.cumsum(sizes)
+                text = b"".join([p["text"][i:j] for i, j in zip((ends - sizes)[need].tolist(), ends[need].tolist())])
+                for column, v in zip(out, (p["shard"], row["chunk"], text, sizes[need].tobytes(), np.frombuffer(p["anchors"], np.uint32)[need].tobytes(), np.frombuffer(p["lowest"], np.int64)[need].tobytes())):
+                    column.append(v)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["shard", "chunk", "text", "sizes", "anchors", "lowest"])
+
+
 def _lowest_ids(length: int):
     """For each (shard, chunk): per string its runs of windows with one smallest doc_id."""
 
@@ -254,7 +311,7 @@ def _lowest_ids(length: int):
             numbers, lows, anchors = [], [], []
             for r in rows:
                 sizes = np.frombuffer(r["sizes"], np.int32)
-                ends, data = np.cumsum(sizes), zstandard.ZstdDecompressor().decompress(r["text"])
+                ends, data = np.cumsum(sizes), r["text"]
                 numbers.append(np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64))
                 lows.append(np.frombuffer(r["lowest"], np.int64))
                 anchors.append(np.frombuffer(r["anchors"], np.uint32))
@@ -295,32 +352,36 @@ def _lowest_ids(length: int):
     return run
 
 
-def _removed(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            sizes, copies = np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.frombuffer(r["copies"], np.int32)
-            place, doc = np.frombuffer(r["places"], np.int32).astype(np.int64), np.frombuffer(r["owners"], np.int64)
-            runs, first, least = np.frombuffer(r["runs"], np.int32).astype(np.int64), np.frombuffer(r["first"], np.int32).astype(np.int64), np.frombuffer(r["least"], np.int64)
-            starts = np.cumsum(runs) - runs
-            string = np.repeat(np.arange(len(sizes)), copies)
-            n = runs[string]
-            pick = np.repeat(starts[string] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            after = np.concatenate([first[1:], [0]])
-            final = starts + runs - 1
-            after[final] = sizes - length + 1
-            gone = least[pick] < np.repeat(doc, n)
-            at = np.repeat(place, n)[gone]
-            spans = np.stack([at + first[pick][gone], at + after[pick][gone] + length - 1], axis=1)
-            if len(spans):
-                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()), pa.array([spans.astype(np.int32).tobytes()], pa.binary())], names=["chunk", "spans"])
-
-    return run
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(part: dict, alone: dict, answer: dict | None, length: int) -> np.ndarray:
+    """(start, end) in the chunk of the removed windows of one part's strings."""
+    sizes, copies = np.frombuffer(part["sizes"], np.int32).astype(np.int64), np.frombuffer(part["copies"], np.int32)
+    place, doc = np.frombuffer(part["places"], np.int32).astype(np.int64), np.frombuffer(part["owners"], np.int64)
+    need = np.frombuffer(alone["need"], np.uint8) > 0
+    runs = np.ones(len(sizes), np.int64)
+    if answer:
+        runs[need] = np.frombuffer(answer["runs"], np.int32)
+    starts = np.cumsum(runs) - runs
+    first, least = np.zeros(runs.sum(), np.int64), np.empty(runs.sum(), np.int64)
+    asked = np.repeat(need, runs)
+    least[~asked] = np.frombuffer(alone["low"], np.int64)[~need]
+    if answer:
+        first[asked], least[asked] = np.frombuffer(answer["first"], np.int32), np.frombuffer(answer["least"], np.int64)
+    after = np.concatenate([first[1:], [0]])
+    after[starts + runs - 1] = sizes - length + 1
+    string = np.repeat(np.arange(len(sizes)), copies)
+    n = runs[string]
+    pick = np.repeat(starts[string] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    gone = least[pick] < np.repeat(doc, n)
+    at = np.repeat(place, n)[gone]
+    return np.stack([at + first[pick][gone], at + after[pick][gone] + length - 1], axis=1)
+
+
+def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
         text, sizes = np.frombuffer(row["text"], np.uint8), np.array(row["sizes"], np.int64)
-        spans = np.frombuffer(b"".join(row["spans"] or []), np.int32).reshape(-1, 2)
+        alone, answers = ({x["shard"]: x for x in row[n] or []} for n in ("alone", "answers"))
+        found = [_spans(p, alone[p["shard"]], answers.get(p["shard"]), length) for p in row["parts"] or []]
+        spans = np.concatenate([np.zeros((0, 2), np.int64), *found])
         depth = np.bincount(spans[:, 0], minlength=len(text) + 1) - np.bincount(spans[:, 1], minlength=len(text) + 1)
         gone = np.cumsum(depth[:-1]) > 0
         ends = np.cumsum(sizes)
@@ -352,15 +413,24 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     back = freeze(sent.mapInArrow(_repeated, "chunk long, anchors binary"), "anchors")
     del sent
     release(spark)
-    strings = back.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0))).first()[0] // 8 * (length + 18)
-    shards = max(parts, strings // SHARD_BYTES)
+    size = back.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0))).first()[0] // 8 * (length + 18)
+    shards = max(parts, size // SHARD_BYTES)
     answered = chunks.join(back.groupBy("chunk").agg(F.collect_list("anchors").alias("anchors")), "chunk")
-    cut_out = freeze(answered.mapInArrow(_string_rows(length, shards), STRINGS), "strings")
-    dealt = cut_out.select("shard", "chunk", "text", "sizes", "anchors", "lowest").repartition(int(shards), "shard").sortWithinPartitions("shard")
-    least = freeze(dealt.mapInArrow(_lowest_ids(length), "shard long, chunk long, runs binary, first binary, least binary"), "lowest")
-    told = cut_out.select("shard", "chunk", "sizes", "copies", "places", "owners").join(least, ["shard", "chunk"])
-    spans = told.mapInArrow(_removed(length), "chunk long, spans binary").groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
-    return chunks.join(spans, "chunk", "left").mapInArrow(_cut, "doc_id long, n_bytes long, kept binary, edges array<long>")
+    names = "strings_" + uuid.uuid4().hex
+    rows = answered.mapInArrow(_string_rows(length, shards), f"chunk long, parts array<{PART}>")
+    rows.write.option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(names)
+    strings = spark.table(names)
+    keyed = strings.mapInArrow(_digests, "shard long, chunk long, anchors binary, lowest binary, hashes binary")
+    keyed = keyed.repartition(int(shards), "shard").sortWithinPartitions("shard")
+    alone = freeze(keyed.mapInArrow(_alone, "shard long, chunk long, need binary, low binary"), "alone")
+    del keyed, answered, rows
+    release(spark)
+    by_chunk = lambda df, name, *columns: df.groupBy("chunk").agg(F.collect_list(F.struct("shard", *columns)).alias(name))
+    asked = strings.join(by_chunk(alone, "alone", "need"), "chunk").mapInArrow(_strings_to_index, "shard long, chunk long, text binary, sizes binary, anchors binary, lowest binary")
+    asked = asked.repartition(int(shards), "shard").sortWithinPartitions("shard")
+    least = freeze(asked.mapInArrow(_lowest_ids(length), "shard long, chunk long, runs binary, first binary, least binary"), "lowest")
+    told = chunks.join(strings, "chunk", "left").join(by_chunk(alone, "alone", "need", "low"), "chunk", "left").join(by_chunk(least, "answers", "runs", "first", "least"), "chunk", "left")
+    return told.mapInArrow(partial(_cut, length), "doc_id long, n_bytes long, kept binary, edges array<long>")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
