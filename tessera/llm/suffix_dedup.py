@@ -37,7 +37,7 @@ from tessera.llm.runindex import RunIndex, words_at
 GRAM = 20
 CHUNK_BYTES = 4 << 20
 #: Bytes of strings, and anchors, for which one shard is planned.
-SHARD_BYTES, SHARD_ANCHORS = 2 << 20, 1 << 20
+SHARD_BYTES, SHARD_ANCHORS = 3 << 19, 1 << 20
 #: An anchor that more chunks than this hold is dealt by window.
 HOT_CHUNKS = 64
 #: Longest run of windows in one string.
@@ -382,8 +382,10 @@ def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         alone, answers = ({x["shard"]: x for x in row[n] or []} for n in ("alone", "answers"))
         found = [_spans(p, alone[p["shard"]], answers.get(p["shard"]), length) for p in row["parts"] or []]
         spans = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        depth = np.bincount(spans[:, 0], minlength=len(text) + 1) - np.bincount(spans[:, 1], minlength=len(text) + 1)
-        gone = np.cumsum(depth[:-1]) > 0
+        depth = np.zeros(len(text) + 1, np.int32)
+        np.add.at(depth, spans[:, 0], 1)
+        np.add.at(depth, spans[:, 1], -1)
+        gone = np.cumsum(depth[:-1], out=depth[:-1]) > 0
         ends = np.cumsum(sizes)
         kept, spans = [], []
         for a, b in zip(ends - sizes, ends):
