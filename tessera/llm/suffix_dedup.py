@@ -36,6 +36,8 @@ from tessera.llm.runindex import RunIndex, words_at
 
 GRAM = 20
 CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch; set in the session, as the last step runs when the result is read.
+BATCH_BYTES = 8 << 20
 #: Bytes of strings, and anchors, for which one shard is planned.
 SHARD_BYTES, SHARD_ANCHORS = 3 << 19, 1 << 20
 #: An anchor that more chunks than this hold is dealt by window.
@@ -405,6 +407,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     spark = docs.sparkSession
+    # a row here is a chunk of megabytes; small Arrow batches keep few of them in a worker at once
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = _chunks(docs, parts)
     chunks = spark.table(name)
