@@ -35,7 +35,7 @@ from tessera.llm.common import freeze, release, table
 from tessera.llm.runindex import RunIndex, words_at
 
 GRAM = 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch; set in the session, as the last step runs when the result is read.
 BATCH_BYTES = 8 << 20
 #: Bytes of strings, and anchors, for which one shard is planned.
