@@ -199,8 +199,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([rows[i]["chunk"] for i in some], pa.int64()), pa.array([answer[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())], names=["chunk", "anchors"])
 
 
-PART = "struct<shard:long,text:binary,sizes:binary,anchors:binary,lowest:binary,copies:binary,places:binary,owners:binary>"
-_PART = pa.struct([("shard", pa.int64()), *((n, pa.binary()) for n in ("text", "sizes", "anchors", "lowest", "copies", "places", "owners"))])
+PART = "struct<shard:long,text:binary,sizes:binary,anchors:binary,lowest:binary,copies:binary,places:binary>"
+_PART = pa.struct([("shard", pa.int64()), *((n, pa.binary()) for n in ("text", "sizes", "anchors", "lowest", "copies", "places"))])
 
 
 def _string_rows(length: int, shards: int):
@@ -250,7 +250,6 @@ def _string_rows(length: int, shards: int):
                         "lowest": np.minimum.reduceat(doc, head).tobytes(),
                         "copies": np.diff(np.concatenate([head, [len(number)]])).astype(np.int32).tobytes(),
                         "places": place.astype(np.int32).tobytes(),
-                        "owners": doc.tobytes(),
                     }
                 )
             yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([out], pa.list_(_PART))], names=["chunk", "parts"])
@@ -258,6 +257,12 @@ def _string_rows(length: int, shards: int):
     return run
 
 
+def _only(strings: DataFrame, *names: str) -> DataFrame:
+    """The strings' table with these fields of its parts; the scan reads no others."""
+    kind = ",".join(f"{n}:{'long' if n == 'shard' else 'binary'}" for n in names)
+    return strings.select("chunk", F.arrays_zip(*(F.col(f"parts.{n}") for n in names)).cast(f"array<struct<{kind}>>").alias("parts"))
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each part's strings as 64-bit hashes, which suffice to tell whether an anchor has one string or several."""
     for row in _rows(batches):
@@ -354,10 +359,11 @@ def _lowest_ids(length: int):
     return run
 
 
-def _spans(part: dict, alone: dict, answer: dict | None, length: int) -> np.ndarray:
-    """(start, end) in the chunk of the removed windows of one part's strings."""
+def _spans(part: dict, alone: dict, answer: dict | None, length: int, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(start, end) in the chunk of the removed windows of one part's strings; ``ids`` and ``ends`` of its documents."""
     sizes, copies = np.frombuffer(part["sizes"], np.int32).astype(np.int64), np.frombuffer(part["copies"], np.int32)
-    place, doc = np.frombuffer(part["places"], np.int32).astype(np.int64), np.frombuffer(part["owners"], np.int64)
+    place = np.frombuffer(part["places"], np.int32).astype(np.int64)
+    doc = ids[np.searchsorted(ends, place, side="right")]
     need = np.frombuffer(alone["need"], np.uint8) > 0
     runs = np.ones(len(sizes), np.int64)
     if answer:
@@ -380,15 +386,15 @@ def _spans(part: dict, alone: dict, answer: dict | None, length: int) -> np.ndar
 
 def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        text, sizes = np.frombuffer(row["text"], np.uint8), np.array(row["sizes"], np.int64)
+        ids, sizes, text = _laid_out(row)
+        ends = np.cumsum(sizes)
         alone, answers = ({x["shard"]: x for x in row[n] or []} for n in ("alone", "answers"))
-        found = [_spans(p, alone[p["shard"]], answers.get(p["shard"]), length) for p in row["parts"] or []]
+        found = [_spans(p, alone[p["shard"]], answers.get(p["shard"]), length, ids, ends) for p in row["parts"] or []]
         spans = np.concatenate([np.zeros((0, 2), np.int64), *found])
         depth = np.zeros(len(text) + 1, np.int32)
         np.add.at(depth, spans[:, 0], 1)
         np.add.at(depth, spans[:, 1], -1)
         gone = np.cumsum(depth[:-1], out=depth[:-1]) > 0
-        ends = np.cumsum(sizes)
         kept, spans = [], []
         for a, b in zip(ends - sizes, ends):
             g = gone[a:b]
@@ -426,16 +432,16 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     rows = answered.mapInArrow(_string_rows(length, shards), f"chunk long, parts array<{PART}>")
     rows.write.option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(names)
     strings = spark.table(names)
-    keyed = strings.mapInArrow(_digests, "shard long, chunk long, anchors binary, lowest binary, hashes binary")
+    keyed = _only(strings, "shard", "text", "sizes", "anchors", "lowest").mapInArrow(_digests, "shard long, chunk long, anchors binary, lowest binary, hashes binary")
     keyed = keyed.repartition(int(shards), "shard").sortWithinPartitions("shard")
     alone = freeze(keyed.mapInArrow(_alone, "shard long, chunk long, need binary, low binary"), "alone")
     del keyed, answered, rows
     release(spark)
     by_chunk = lambda df, name, *columns: df.groupBy("chunk").agg(F.collect_list(F.struct("shard", *columns)).alias(name))
-    asked = strings.join(by_chunk(alone, "alone", "need"), "chunk").mapInArrow(_strings_to_index, "shard long, chunk long, text binary, sizes binary, anchors binary, lowest binary")
+    asked = _only(strings, "shard", "text", "sizes", "anchors", "lowest").join(by_chunk(alone, "alone", "need"), "chunk").mapInArrow(_strings_to_index, "shard long, chunk long, text binary, sizes binary, anchors binary, lowest binary")
     asked = asked.repartition(int(shards), "shard").sortWithinPartitions("shard")
     least = freeze(asked.mapInArrow(_lowest_ids(length), "shard long, chunk long, runs binary, first binary, least binary"), "lowest")
-    told = chunks.join(strings, "chunk", "left").join(by_chunk(alone, "alone", "need", "low"), "chunk", "left").join(by_chunk(least, "answers", "runs", "first", "least"), "chunk", "left")
+    told = chunks.join(_only(strings, "shard", "sizes", "copies", "places"), "chunk", "left").join(by_chunk(alone, "alone", "need", "low"), "chunk", "left").join(by_chunk(least, "answers", "runs", "first", "least"), "chunk", "left")
     return told.mapInArrow(partial(_cut, length), "doc_id long, n_bytes long, kept binary, edges array<long>")
 
 
