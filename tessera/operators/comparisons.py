@@ -30,13 +30,13 @@ def _two_sided(rows: DataFrame, index: list[str], value: str) -> DataFrame:
     return _sides(rows).groupBy(*index, "tag").agg(*[pick(f, s, f"{n}_{s}") for s in "ab" for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
 
 
-def ttest_pooled(values: DataFrame, index: list[str], value: str = "value") -> DataFrame:
-    """Per index and comparison, over samples' means: no row where a side has under 2 samples or the pooled variance is 0."""
+def ttest_pooled(values: DataFrame, index: list[str], value: str = "value", least_variance: float = 0.0) -> DataFrame:
+    """Per index and comparison, over samples' means: no row where a side has under 2 samples or a pooled variance of ``least_variance`` or less."""
     means = values.groupBy(*index, "sample_short", "genotype").agg(F.avg(value).alias("v"))
     s = _two_sided(means, index, "v").where("n_a >= 2 AND n_b >= 2")
     df = F.col("n_a") + F.col("n_b") - 2
     pooled = ((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / df
-    s = s.withColumn("df", df).withColumn("pooled", pooled).where("pooled > 0")
+    s = s.withColumn("df", df).withColumn("pooled", pooled).where(F.col("pooled") > least_variance)
     diff = F.col("mean_a") - F.col("mean_b")
     return s.select(*index, "tag", "n_a", "n_b", "mean_a", "mean_b", (diff / F.sqrt("pooled")).alias("cohen_d"), (diff / F.sqrt(F.col("pooled") * (1 / F.col("n_a") + 1 / F.col("n_b")))).alias("t"), F.col("df").cast("long").alias("df"))
 

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.functions.tails import f_upper, gamma_q, t_two_sided
@@ -25,7 +26,7 @@ def duck():
 
 
 def rows(frame, columns):
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else v
+    plain = lambda v: None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else v
     return sorted(repr([plain(v) for v in r]) for r in frame[columns].astype(object).itertuples(index=False))
 
 
