@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_FEATURES = 1000
@@ -67,12 +67,15 @@ class Discriminant:
     offsets: np.ndarray
     axes: np.ndarray
 
-    def predict(self, wide: DataFrame, into: str = "predicted") -> DataFrame:
+    def predicted(self) -> Column:
         """The class with the highest score; of equal scores the last by name."""
         score = lambda w, b: sum((F.col(c) * float(v) for c, v in zip(self.columns, w)), F.lit(float(b)))
         ranked = [F.struct(score(w, b).alias("s"), F.lit(c).alias("c")) for c, w, b in zip(self.classes, self.weights, self.offsets)]
         best = F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
-        return wide.withColumn(into, best["c"])
+        return best["c"]
+
+    def predict(self, wide: DataFrame, into: str = "predicted") -> DataFrame:
+        return wide.withColumn(into, self.predicted())
 
 
 def _class_moments(wide: DataFrame, label: str, columns: list[str]) -> dict[str, np.ndarray]:
@@ -97,7 +100,10 @@ def _class_moments(wide: DataFrame, label: str, columns: list[str]) -> dict[str,
 
 def discriminant(wide: DataFrame, label: str, columns: list[str]) -> Discriminant:
     """Fitted with the classes' shares as priors; directions without variance (shares sum to 1) carry no weight."""
-    moments = _class_moments(wide, label, columns)
+    return _fitted(_class_moments(wide, label, columns), columns)
+
+
+def _fitted(moments: dict[str, np.ndarray], columns: list[str]) -> Discriminant:
     if len(moments) < 2:
         raise ValueError("a discriminant needs two classes")
     n = np.array([m[0, 0] for m in moments.values()])
@@ -145,13 +151,21 @@ def folds(units: DataFrame, strata: list[str], k: int, unit: str = "sample_short
 
 
 def cross_validate(wide: DataFrame, label: str, columns: list[str], k: int = 10, unit: str = "sample_short") -> DataFrame:
-    """Every row with the class that the discriminant of the other folds predicts: k fits, one table."""
+    """Every row with the class that the discriminant of the other folds predicts.
+
+    The sums of products of each fold come from one pass and add up to those of any choice of folds.
+    """
     dealt = folds(wide, [label], k, unit)
-    parts = [discriminant(dealt.where(F.col("fold") != i), label, columns).predict(dealt.where(F.col("fold") == i)) for i in range(k)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    parts = _class_moments(dealt.where(F.col(label).isNotNull()).withColumn("_part", F.concat_ws("|", "fold", label)), "_part", columns)
+    guess = F.lit(None).cast("string")
+    for i in {p.split("|", 1)[0] for p in parts}:
+        rest: dict[str, np.ndarray] = {}
+        for part, m in parts.items():
+            fold, name = part.split("|", 1)
+            if fold != i:
+                rest[name] = rest.get(name, 0) + m
+        guess = F.when(F.col("fold") == int(i), _fitted(rest, columns).predicted()).otherwise(guess)
+    return dealt.withColumn("predicted", guess)
 
 
 def worth(predictions: DataFrame, label: str, predicted: str = "predicted") -> DataFrame:
