@@ -1,0 +1,56 @@
+"""The pipeline's stages against brute force over planted cases."""
+
+import random
+
+import corpus_pipeline
+from tessera.llm import near_copies
+
+
+def brute_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(rows):
+    """Smallest doc_id reachable over pairs of Jaccard 0.8 or more."""
+    sets = {i: brute_set(t) for i, t in rows}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    group = {}
+    for i in sorted(sets):
+        if i not in group:
+            todo = [i]
+            while todo:
+                k = todo.pop()
+                if k not in group:
+                    group[k] = i
+                    todo += [j for j in sets if j not in group and alike(sets[k], sets[j])]
+    return group
+
+
+def planted():
+    """Texts with copies of which some words are replaced, so that pairs lie on both sides of 0.8."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    rows = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.choice([40, 120, 300, 900]))]
+        rows.append(base)
+        for share in (0.005, 0.01, 0.02, 0.03, 0.05):
+            rows.append([word() if rng.random() < share else w for w in base])
+        rows.append(base[: int(len(base) * 0.85)])
+    chain = [word() for _ in range(400)]
+    for step in range(8):  # each text is like the next one only
+        rows.append(chain[step * 30 : step * 30 + 190])
+    rng.shuffle(rows)
+    out = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    return out + [(9000, "one two"), (9001, "One  two"), (9002, ""), (9003, None), (9004, " ")]
+
+
+def test_near_duplicates_stage(spark):
+    rows = planted()
+    docs = spark.createDataFrame(rows + [(None, rows[0][1])], "doc_id long, text string").repartition(3)
+    want = brute_groups(rows)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == want
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(want.values())) and kept.count(None) == 1
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
