@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's words (split at white space, with their marks and case) and the character n-grams of each word, between ``<``
-and ``>``, are hashed into buckets with learned vectors. A document is the mean of its features' vectors, a linear layer
+A text's words (split at white space, with their marks and case) and the character n-grams of each whole word, between ``<``
+and ``>``, are hashed into buckets with learned vectors; a word may be of any length. A document is the mean of its features' vectors, a linear layer
 and softmax give the probability of label 1, and all is trained by numpy stochastic gradient descent. As the layer is
 linear, a word adds fixed amounts to the document's two sums, which workers keep for words they have met.
 
@@ -34,18 +34,60 @@ FOLDS = 5
 THRESHOLD = 0.3
 #: Words whose sums a worker keeps before it starts afresh.
 WORDS_KEPT = 300_000
+#: Words of more characters are hashed in tiles of ``TILE`` characters and their sums not kept.
+SHORT, TILE = 40, 1 << 14
 
 
 def word_buckets(word: str) -> list[int]:
-    """Buckets of the word itself and of its n-grams."""
-    data = f"<{word}>".encode("utf-8", "surrogatepass") if len(word) <= 40 else f"<{word[:20]}…{word[-20:]}>".encode("utf-8", "surrogatepass")
+    """Buckets of a short word itself and of its n-grams."""
+    data = f"<{word}>".encode("utf-8", "surrogatepass")
     crc = zlib.crc32
     out = [crc(data, 1) % BUCKETS]
+    if len(data) == len(word) + 2:
+        for n in range(NGRAMS[0], NGRAMS[1] + 1):
+            out += [crc(data[i : i + n]) % BUCKETS for i in range(len(data) - n + 1)]
+        return out
+    at = [i for i, b in enumerate(data) if b & 0xC0 != 0x80] + [len(data)]  # where characters start
     for n in range(NGRAMS[0], NGRAMS[1] + 1):
-        out += [crc(data[i : i + n]) % BUCKETS for i in range(len(data) - n + 1)]
+        out += [crc(data[i:j]) % BUCKETS for i, j in zip(at, at[n:])]
     return out
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def run_buckets(word: str) -> Iterator[np.ndarray]:
+    """The same buckets as ``word_buckets`` of a word of any length, a tile of its characters at a time."""
+    word = f"<{word}>"
+    yield np.array([zlib.crc32(word.encode("utf-8", "surrogatepass"), 1) % BUCKETS])
+    most = NGRAMS[1]
+    for low in range(0, len(word), TILE):
+        code = np.frombuffer(word[low : low + TILE + most - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)  # bytes of each character's UTF-8
+        wide = int(size.max())
+        octets = []
+        for k in range(wide):
+            tail = code >> (6 * np.maximum(size - 1 - k, 0)).astype(np.uint32)
+            lead = np.where(size == 1, code, tail | np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[size]) if k == 0 else tail & 0x3F | 0x80
+            octets.append(lead.astype(np.uint32) & 0xFF)
+        crc = np.full(min(TILE, len(code)), 0xFFFFFFFF, np.uint32)
+        for n in range(1, most + 1):
+            crc = crc[: len(code) - n + 1]
+            here = slice(n - 1, n - 1 + len(crc))
+            for k in range(wide):
+                next_ = _CRC[(crc ^ octets[k][here]) & 0xFF] ^ crc >> np.uint32(8)
+                crc = next_ if k == 0 else np.where(size[here] > k, next_, crc)
+            if n >= NGRAMS[0] and len(crc):
+                yield ((crc ^ np.uint32(0xFFFFFFFF)) % BUCKETS).astype(np.int64)
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, share of the text's features) of one text."""
     counts: dict[str, int] = {}
@@ -53,9 +95,16 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         counts[w] = counts.get(w, 0) + 1
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    lists = [word_buckets(w) for w in counts]
-    weight = np.repeat(np.fromiter(counts.values(), float, len(counts)), [len(x) for x in lists])
-    total = np.bincount(np.concatenate(lists), weight, BUCKETS)
+    total = np.zeros(BUCKETS)
+    short = [w for w in counts if len(w) <= SHORT]
+    if short:
+        lists = [word_buckets(w) for w in short]
+        weight = np.repeat(np.array([counts[w] for w in short], float), [len(x) for x in lists])
+        total += np.bincount(np.concatenate(lists), weight, BUCKETS)
+    for w in counts:
+        if len(w) > SHORT:
+            for at in run_buckets(w):
+                total += np.bincount(at, minlength=BUCKETS) * counts[w]
     at = np.flatnonzero(total)
     return at, (total[at] / total.sum()).astype(np.float32)
 
@@ -112,12 +161,15 @@ class Scorer:
         for w in text.split():
             x = kept.get(w)
             if x is None:
-                at = word_buckets(w)
-                x = (float(self.part[at].sum()), len(at))
-                if len(kept) >= WORDS_KEPT:
-                    kept.clear()
-                if len(w) <= 64:
+                if len(w) <= SHORT:
+                    at = word_buckets(w)
+                    x = (float(self.part[at].sum()), len(at))
+                    if len(kept) >= WORDS_KEPT:
+                        kept.clear()
                     kept[w] = x
+                else:
+                    tiles = [(float(self.part[at].sum()), len(at)) for at in run_buckets(w)]
+                    x = (sum(t[0] for t in tiles), sum(t[1] for t in tiles))
             total += x[0]
             n += x[1]
         return float(1 / (1 + np.exp(-(self.bias + (total / n if n else 0.0)))))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -66,6 +67,28 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, quality.train(empty, labels)).count() == 0
 
 
+def test_quality_reads_whole_runs():
+    def brute(word):
+        word = f"<{word}>"
+        grams = [word[i : i + n] for n in (2, 3, 4) for i in range(len(word) - n + 1)]
+        return sorted([zlib.crc32(word.encode("utf-8", "surrogatepass"), 1) % quality.BUCKETS] + [zlib.crc32(g.encode("utf-8", "surrogatepass")) % quality.BUCKETS for g in grams])
+
+    rng = random.Random(6)
+    for letters in ("ab1", "aé漢字😀\ud800", "汉字かな", "б"):
+        for size in (1, 2, 7, 40):
+            word = "".join(rng.choices(letters, k=size))
+            assert sorted(quality.word_buckets(word)) == brute(word) == sorted(np.concatenate(list(quality.run_buckets(word))).tolist())
+        for size in (41, quality.TILE - 3, quality.TILE - 2, quality.TILE + 1, 2 * quality.TILE + 5):
+            word = "".join(rng.choices(letters, k=size))
+            assert sorted(np.concatenate(list(quality.run_buckets(word))).tolist()) == brute(word)
+    ends = "始" * 30, "終" * 30
+    good, bad = ends[0] + "花鳥風月" * 200 + ends[1], ends[0] + "乱数雑音" * 200 + ends[1]
+    scorer = quality.Model().fit([good, bad] * 40, np.array([1, 0] * 40)).scorer()
+    assert scorer(good) > 0.5 > scorer(bad)
+    at, share = quality.features("x " + good)
+    assert len(at) > 20 and abs(share.sum() - 1) < 1e-5
+
+
 def test_fingerprint(docs, empty, texts):
     order = sorted([(i, t or "") for i, t in enumerate(texts)] + [(2, texts[2])], key=lambda x: (-x[0], x[1])) + [(None, texts[0])]
     want = []
