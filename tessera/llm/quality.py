@@ -6,7 +6,7 @@ and softmax give the probability of label 1, and all is trained by numpy stochas
 linear, a word adds fixed amounts to the document's two sums, which workers keep for words they have met.
 
 The fit uses at most ``TRAIN_ROWS`` labelled rows, those first by a hash of doc_id; of rows that repeat a labelled doc_id the
-smallest label counts, and only documents outside the held-out fold take part. Scores never see labels, lang, source or doc_id.
+smallest label counts (of rows of ``docs`` that repeat it the smallest text), and only documents outside the held-out fold take part. Scores never see labels, lang, source or doc_id.
 
 Defined cases: null and empty texts score as the bias alone; a null doc_id is scored (held_out null); null labels are not
 learned from; without any usable label each score is 0.5; an empty table gives no rows; other columns are kept by
@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", F.col("text").alias("t"), "_quality")
-    rows = rows.toPandas().sort_values(["_id", "t"], na_position="first").drop_duplicates("_id").head(most)
+    # one row per doc_id before any goes to the driver: the smallest text, null first
+    rows = rows.groupBy("_id", "_quality").agg(F.min(F.struct("t"))["t"].alias("t")).toPandas().sort_values("_id")
     if not len(rows):
         return Scorer(np.zeros(BUCKETS), 0.0)
     return Model().fit([t or "" for t in rows["t"]], (rows["_quality"].to_numpy() > 0).astype(np.int64)).scorer()

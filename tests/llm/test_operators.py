@@ -89,6 +89,17 @@ def test_quality_reads_whole_runs():
     assert len(at) > 20 and abs(share.sum() - 1) < 1e-5
 
 
+def test_quality_collects_one_row_a_label(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("if(id < 500, 1, id) as doc_id", "concat('text ', id) as text")
+    labels = spark.range(600).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    collected, kind = [], type(docs)
+    whole = kind.toPandas
+    monkeypatch.setattr(kind, "toPandas", lambda self: collected.append(whole(self)) or collected[-1])
+    quality.train(docs, labels, 40)
+    quality.train(docs, labels.where("doc_id = 1"), 40)
+    assert all(len(x) <= 40 and x["_id"].is_unique for x in collected) and list(collected[-1]["t"]) == ["text 0"]
+
+
 def test_fingerprint(docs, empty, texts):
     order = sorted([(i, t or "") for i, t in enumerate(texts)] + [(2, texts[2])], key=lambda x: (-x[0], x[1])) + [(None, texts[0])]
     want = []
