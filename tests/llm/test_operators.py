@@ -66,6 +66,28 @@ def test_secrets_cut_around_base_spans(spark):
     assert clean == ["key: [SECRET] end", "key: [SECRET] end", "see [SECRET]-short1 end"]
 
 
+def test_secrets_unnamed_runs_are_no_negatives(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = [rng.choice(["sk_", "ghp_"]) + "".join(rng.choices(letters, k=36)) for _ in range(600)]
+    rows = [(i, f"the service sends bearer {k} to the host and reads docs/page-one/file{i}/part2 on 2024-01-07T101500Z") for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    findings = secrets.sample_findings(docs)
+    runs = [(t[s:e], label) for t, s, e, label in findings]
+    assert not any(k.startswith(("sk_", "ghp_")) for k, label in runs if not label)
+    assert {k for k, label in runs if not label} >= {"2024-01-07T101500Z", "docs/page-one/file1/part2"}
+    few = [t for t, *_ in secrets.sample_findings(docs, 600)]
+    assert few != sorted(few)  # a bound keeps no range of texts
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, secrets.fit(docs)).collect()}
+    hit = [any(rows[i][1][s["start"] : s["end"]] == k for s in found[i]) for i, k in enumerate(keys)]
+    assert np.mean(hit) > 0.9
+    # base findings, which stay anyway, do not lower the threshold
+    base = [(f"password = {k}", 0, 11 + len(k), 1) for k in keys]
+    net = secrets.train(base + secrets.generated(2000, np.random.default_rng(3)), 1)
+    fresh = [x for x in secrets.generated(1000, np.random.default_rng(8)) if x[3] and not secrets.base_spans(x[0])]
+    assert (net.scores(np.stack([secrets.window(*x[:3]) for x in fresh])) >= net.threshold).mean() > 0.9
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(["river", "stone", "garden"] if i % 2 else ["$$$", "!!!", "###"], k=40))) for i in range(200)]
