@@ -103,34 +103,29 @@ def ks_stat(freqs: DataFrame, split: list[str]) -> DataFrame:
     return cdf.select(*split, pairs).groupBy(*split, "group1", "group2").agg(F.max("d").alias("ks"))
 
 
-def ks_permuted(freqs: DataFrame, n_perm: int = 1000, seed: int = 42, plus_one: bool = True) -> DataFrame:
-    """Permutation p of ``ks_stat`` for each pair of genotypes; the samples' small frequency matrix goes to the tasks."""
-    spark = freqs.sparkSession
-    matrix = freqs.groupBy("sample_short", "genotype").pivot("len", [r[0] for r in freqs.select("len").distinct().orderBy("len").collect()]).agg(F.sum("value")).na.fill(0).toPandas().sort_values("sample_short")
-    names, x = matrix["genotype"].to_numpy(), matrix.drop(columns=["sample_short", "genotype"]).to_numpy(float)
-
-    def distance(a: np.ndarray, b: np.ndarray) -> float:
-        m = [v.mean(0) / v.mean(0).sum() for v in (a, b)]
-        return float(np.abs(np.cumsum(m[0]) - np.cumsum(m[1])).max())
-
-    pairs = [(a, b) for i, a in enumerate(sorted(set(names))) for b in sorted(set(names))[i + 1 :]]
-    observed = {p: distance(x[names == p[0]], x[names == p[1]]) for p in pairs}
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for i in pdf["id"]:
-                for a, b in pairs:
-                    both = x[(names == a) | (names == b)]
-                    order = np.random.default_rng([seed, int(i)]).permutation(len(both))
-                    k = int((names == a).sum())
-                    rows.append((a, b, float(distance(both[order[:k]], both[order[k:]]) >= observed[a, b])))
-            yield pd.DataFrame(rows, columns=["group1", "group2", "hit"])
-
-    hits = spark.range(n_perm).mapInPandas(run, "group1 string, group2 string, hit double").groupBy("group1", "group2").agg(F.sum("hit").alias("hits"))
-    known = spark.createDataFrame([(a, b, d) for (a, b), d in observed.items()], "group1 string, group2 string, ks double")
+def ks_permuted(freqs: DataFrame, n_perm: int = 10_000, seed: int = 42, plus_one: bool = True, split: tuple[str, ...] = (), min_samples: int = 3) -> DataFrame:
+    """Per split, permutation p of ``ks_stat`` for each pair of genotypes with ``min_samples`` samples or more each.
+
+    Round 0 has the samples' own labels; every other round orders a pair's samples by a hash and labels as many as there were.
+    """
+    samples = freqs.select(*split, "genotype", "sample_short").distinct()
+    groups = samples.groupBy(*split, "genotype").agg(F.count("*").alias("k")).where(F.col("k") >= min_samples).withColumn("_one", F.lit(1))
+    pairs = groups.withColumnRenamed("genotype", "group1").join(groups.drop("k").withColumnRenamed("genotype", "group2"), [*split, "_one"]).where("group1 < group2")
+    members = samples.withColumn("_one", F.lit(1)).join(pairs, [*split, "_one"]).where("genotype = group1 OR genotype = group2").drop("_one")
+    key = [*split, "group1", "group2", "id"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), *key, "sample_short"), "sample_short"))
+    dealt = members.crossJoin(freqs.sparkSession.range(n_perm + 1)).withColumn("first", F.when(F.col("id") == 0, F.col("genotype") == F.col("group1")).otherwise(place <= F.col("k")))
+    sums = dealt.select(*key, "sample_short", "first").join(freqs.select(*split, "sample_short", "len", "value"), [*split, "sample_short"])
+    sums = sums.groupBy(*key, "len").agg(F.sum(F.when(F.col("first"), F.col("value")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("first"), 0.0).otherwise(F.col("value"))).alias("b"))
+    whole = Window.partitionBy(*key)
+    upto = whole.orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
+    far = sums.select(*key, gap.alias("d")).groupBy(*key).agg(F.max("d").alias("d"))
+    own = F.max(F.when(F.col("id") == 0, F.col("d"))).over(Window.partitionBy(*split, "group1", "group2"))
+    # equal labels may sum up in another order
+    hits = far.withColumn("ks", own).where("id > 0").groupBy(*split, "group1", "group2").agg(F.first("ks").alias("ks"), F.count_if(F.col("d") >= F.col("ks") - 1e-12).alias("hits"))
     p = (F.col("hits") + 1) / (n_perm + 1) if plus_one else F.col("hits") / n_perm
-    return known.join(hits, ["group1", "group2"]).select("group1", "group2", "ks", p.alias("p_perm"))
+    return hits.select(*split, "group1", "group2", "ks", p.alias("p_perm"))
 
 
 def ad_histogram(freqs: DataFrame, pseudo_n: int = 1000) -> DataFrame:

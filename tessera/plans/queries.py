@@ -272,7 +272,7 @@ add("ks_stat", _LEN + """, n AS (SELECT cells, genotype, count(DISTINCT sample_s
 q AS (SELECT *, m / sum(m) OVER (PARTITION BY cells, genotype) AS v FROM m), a AS (SELECT cells, len, sum(CASE WHEN genotype = 'hoDQ2' THEN v ELSE 0 END) AS x, sum(CASE WHEN genotype = 'hoDQ8' THEN v ELSE 0 END) AS y, sum(CASE WHEN genotype = 'heDQ2DQ8' THEN v ELSE 0 END) AS z FROM q GROUP BY ALL),
 c AS (SELECT cells, sum(x) OVER w AS x, sum(y) OVER w AS y, sum(z) OVER w AS z FROM a WINDOW w AS (PARTITION BY cells ORDER BY len))
 SELECT cells, 'hoDQ2' AS group1, 'hoDQ8' AS group2, max(abs(x - y)) AS ks FROM c GROUP BY 1 UNION ALL SELECT cells, 'hoDQ2', 'heDQ2DQ8', max(abs(x - z)) FROM c GROUP BY 1 UNION ALL SELECT cells, 'hoDQ8', 'heDQ2DQ8', max(abs(y - z)) FROM c GROUP BY 1""", ("ks",))(lambda s, d: comparisons.ks_stat(_lengths(s, d), ["cells"]))
-add("ks_perm")(lambda s, d: comparisons.ks_permuted(_lengths(s, d).where("cells = 'E'"), 200))
+add("ks_perm")(lambda s, d: comparisons.ks_permuted(_lengths(s, d), split=("cells",)))
 add("ad_stat", _LEN + """, sh AS (SELECT sample_short, genotype, len, value * 1000 AS share FROM lf), lo AS (SELECT *, floor(share) AS low FROM sh),
 rk AS (SELECT *, row_number() OVER (PARTITION BY sample_short ORDER BY round(share - low, 9) DESC, len DESC) AS r, 1000 - sum(low) OVER (PARTITION BY sample_short) AS rest FROM lo),
 h AS (SELECT genotype, len, sum(low + (r <= rest)::INT)::DOUBLE AS f FROM rk GROUP BY ALL), g AS (SELECT genotype, sum(f) AS n FROM h GROUP BY 1), l AS (SELECT len, sum(f) AS l FROM h GROUP BY 1 HAVING sum(f) > 0),

@@ -71,3 +71,33 @@ def test_groups():
         readers.groups_from_tokens(["A:"])
     assert readers.groups_from_yaml(readers.groups_to_yaml({"A": ["x", "y"]})) == {"A": ["x", "y"]}
     assert readers.delimiter_of("a\tb\tc") == "\t" and readers.delimiter_of("abc") == ","
+
+
+def test_ks_permuted_against_all_labels(spark):
+    """p of each split near the share of all label choices that reach the observed distance."""
+    from itertools import combinations
+
+    from tessera.operators.comparisons import ks_permuted
+
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for cells in "EN":
+        x = rng.dirichlet(np.ones(4), 7)
+        x[:3, 0] += 0.4 if cells == "E" else 0.0
+        x /= x.sum(1, keepdims=True)
+        rows += [(cells, "g1" if i < 3 else "g2", f"{cells}{i}", 10 + j, float(v)) for i, r in enumerate(x) for j, v in enumerate(r)]
+        rows += [(cells, "small", f"{cells}s{i}", 10, 1.0) for i in range(2)]
+        far = lambda a: np.abs(np.cumsum(x[a].mean(0)) - np.cumsum(np.delete(x, a, 0).mean(0))).max()  # noqa: B023, E731
+        every = [far(list(a)) for a in combinations(range(7), 3)]
+        want[cells] = every[0], np.mean(np.array(every) >= every[0] - 1e-12)
+    freqs = spark.createDataFrame(rows, "cells string, genotype string, sample_short string, len int, value double")
+    got = {r["cells"]: r for r in ks_permuted(freqs, 3000, split=("cells",)).collect()}
+    assert got.keys() == {"E", "N"} and {(r["group1"], r["group2"]) for r in got.values()} == {("g1", "g2")}
+    for cells, (ks, p) in want.items():
+        assert math.isclose(got[cells]["ks"], ks, rel_tol=1e-9) and abs(got[cells]["p_perm"] - p) < 0.04
+    at = queries.QUERIES["ks_perm"](spark, SF).toPandas()
+    stat = queries.QUERIES["ks_stat"](spark, SF).toPandas()
+    assert set(at["cells"]) == {"E", "N"}
+    known = {(r.cells, *sorted((r.group1, r.group2))): r.ks for r in stat.itertuples()}
+    for r in at.itertuples():
+        assert math.isclose(r.ks, known[r.cells, r.group1, r.group2], abs_tol=1e-8) and math.isclose(r.p_perm * 10_001, round(r.p_perm * 10_001), abs_tol=1e-4)
