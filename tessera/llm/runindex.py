@@ -1,15 +1,18 @@
-"""A run-compressed Burrows-Wheeler index of one shard of text, in numpy, and matching statistics streamed through it.
+"""A run-compressed Burrows-Wheeler index of many pieces of text, in numpy, and matching statistics streamed through it.
 
-The text is many strings, each ended by byte 0xFF (which UTF-8 never has). Kept per run of equal letters: its start,
-its letter, where last-to-first mapping sends it, and the text positions sampled at its two ends. A stream walks each
-pattern from its end: inside a run of the wanted letter it follows the mapping; otherwise it jumps to the nearest end
-of a run of that letter, above or below, whichever sampled suffix shares more with the current match.
+Each piece ends in byte 0xFF (which UTF-8 never has) and has a tag; a pattern meets pieces of its own tag only. Kept per
+run of equal letters, and nothing per row: the letter, the length, where last-to-first mapping sends the run (a run and
+an offset in it), and the text positions sampled at its two ends. A stream walks each pattern from its end: inside a run
+of the wanted letter it follows the mapping; otherwise it jumps to the nearest end of a run of that letter, above or
+below, whichever sampled suffix shares more with the current match.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+MARK = 0xFF
+
 
 def words_at(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one big-endian number; zeros beyond the end."""
@@ -21,124 +24,181 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return out[: len(text)]
 
 
-def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Suffix array by prefix doubling; also the ranks by the first ``depth`` bytes, depth the largest power of two up to ``length``."""
+def suffix_order(text: np.ndarray, left: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Places in the order of (tag, what follows up to the piece's mark, place), by prefix doubling.
+
+    ``left``: bytes from each place to its piece's mark.
+    """
     n = len(text)
     key = words_at(text)
+    short = np.flatnonzero(left < 7)
+    key[short] &= ~((np.uint64(1) << (np.uint64(8) * (7 - left[short]).astype(np.uint64))) - np.uint64(1))
     order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    if tag.any():
+        order = order[np.argsort(tag[order], kind="stable")]
+        new = np.concatenate([[True], np.diff(tag[order]) != 0])
+    else:
+        new = np.zeros(n, bool)
+        new[:1] = True
+    key = key[order]
+    new[1:] |= key[1:] != key[:-1]
+    del key
+    new |= left[order] < 8  # ended: equal ones stay by place
     rank = np.empty(n, np.int64)
-    rank[order] = head
-    depth, kept = 8, None
-    while True:
-        if depth <= length < 2 * depth:
-            kept = rank.copy(), depth
-        tied = ~(new & np.concatenate([new[1:], [True]]))
-        slots = np.flatnonzero(tied)
-        if not len(slots):
-            break
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    slots, depth = np.flatnonzero(~(new & np.append(new[1:], True))), 8
+    while len(slots):
         at = order[slots]
-        after = at + depth
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        both = rank[at] * (n + 1) + second
+        both = rank[at] * (n + 1) + rank[at + depth]
         by = np.argsort(both, kind="stable")
         at, both = at[by], both[by]
         order[slots] = at
-        first = np.concatenate([[True], both[1:] != both[:-1]])
-        new[slots] = first
-        rank[at] = np.maximum.accumulate(np.where(first, slots, 0))
         depth *= 2
-    return order, *(kept or (rank, depth))
+        first = np.concatenate([[True], both[1:] != both[:-1]]) | (left[at] < depth)
+        rank[at] = np.maximum.accumulate(np.where(first, slots, 0))
+        slots = slots[~(first & np.append(first[1:], True))]
+    return order
 
 
 class RunIndex:
-    def __init__(self, text: bytes, length: int):
-        self.length = length
-        self.text = np.frombuffer(text, np.uint8)
-        n = len(self.text)
-        self.order, rank, depth = suffix_order(self.text, length)
-        letters = self.text[self.order - 1]  # place 0 wraps to the last byte
+    def __init__(self, pieces: list[bytes], tags: np.ndarray):
+        """``tags``: small numbers from 0, one per piece."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        data = b"\xff".join([*pieces, b""])
+        text = np.frombuffer(data, np.uint8)
+        n = len(text)
+        tag = np.repeat(tags.astype(np.int32), sizes)
+        left = np.repeat(np.cumsum(sizes) - 1, sizes) - np.arange(n)
+        order = suffix_order(text, left, tag)
+        del left
+        letters = (tag * 256 + text)[order - 1]  # place 0 wraps to the last mark
         change = np.flatnonzero(letters[1:] != letters[:-1]) + 1
-        self.start = np.concatenate([[0], change]).astype(np.int64)
-        self.letter = letters[self.start]
-        self.run = np.zeros(n, np.int32)  # of each row; faster than a search among the run starts
-        self.run[change] = 1
-        self.run = np.cumsum(self.run, dtype=np.int32)
-        end = np.concatenate([change, [n]])
-        first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=256))])[:256]
-        by = np.argsort(self.letter, kind="stable")
-        sizes = (end - self.start)[by]
-        before = np.concatenate([[0], np.cumsum(sizes)[:-1]])  # runs by letter are also rows by letter
-        self.to = np.empty(len(by), np.int64)
-        self.to[by] = before
-        assert len(by) == 0 or first[self.letter[by[0]]] == 0
-        self.top, self.bottom = self.order[self.start], self.order[end - 1]  # sampled run ends
-        self.last = end - 1
-        self.of_letter = self.letter[by].astype(np.int64) * (len(by) + 1) + by  # sorted
-        # rows whose suffixes share their first ``length`` bytes form a class
-        far = np.minimum(self.order + (length - depth), n - 1)
-        a, b = rank[self.order], rank[far]
-        differs = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        self.klass = np.concatenate([[0], np.cumsum(differs)]).astype(np.int64)
-        self.klass_start = np.concatenate([[0], np.flatnonzero(differs) + 1]).astype(np.int64)
-
-    def lowest(self, value: np.ndarray) -> np.ndarray:
-        """The least value per class, of a value for each place in the text."""
-        return np.minimum.reduceat(value[self.order], self.klass_start)
-
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Bytes that the suffixes at a and b share, ``length`` at most."""
-        n, out, live = len(self.text), np.zeros(len(a), np.int64), np.arange(len(a))
-        for t in range(self.length):
-            x, y = a[live] + t, b[live] + t
-            same = (x < n) & (y < n)
-            same &= self.text[np.minimum(x, n - 1)] == self.text[np.minimum(y, n - 1)]
-            live = live[same]
-            if not len(live):
-                break
-            out[live] += 1
-        return out
-
-    def stream(self, text: np.ndarray, start: np.ndarray, size: np.ndarray):
-        """Over patterns text[start:start + size]: yields (patterns, their place from the start, matched bytes up to a cap, class) from the ends backwards.
-
-        The matched length is exact below ``length``; from there on it says ``length`` at least, and the class is that of the matched window.
-        """
+        start, end = np.concatenate([[0], change]), np.append(change, n)
+        self.letter, self.size = letters[start], end - start
+        self.top, self.bottom = order[start], order[end - 1]  # sampled run ends
+        del order, letters
+        runs = len(start)
+        by = np.argsort(self.letter, kind="stable")  # runs by letter are also rows by letter
+        to = np.empty(runs, np.int64)
+        to[by] = np.cumsum(self.size[by]) - self.size[by]
+        self.to_run = np.searchsorted(start, to, side="right") - 1
+        self.to_offset = to - start[self.to_run]
+        self.of_letter = self.letter[by].astype(np.int64) * runs + by  # sorted
+        self.padded = data + bytes(64)
+        self.words = np.ndarray((n + 56,), ">u8", self.padded, strides=(1,))  # eight bytes from any place on
+
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Bytes that the suffixes at a and b share, ``most`` at most."""
+        out, live, t = most.copy(), np.flatnonzero(most > 0), 0
+        while len(live):
+            x = (self.words[a[live] + t] ^ self.words[b[live] + t]).astype(np.uint64)
+            odd = x != 0
+            out[live[odd]] = t + 8 - np.searchsorted(_BYTES, x[odd], side="right")
+            t += 8
+            live = live[~odd]
+            live = live[most[live] > t]
+        return np.minimum(out, most)
+
+    def long_matches(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, tags: np.ndarray, length: int) -> np.ndarray:
+        """For each of the patterns text[start:start + size], window by window of ``length`` bytes, end to end: whether the index has it in a piece of the pattern's tag."""
+        windows = size - length + 1
+        hit = np.zeros(windows.sum(), bool)
         by = np.argsort(-size, kind="stable")
-        start, size = start[by], size[by]
-        row, at, matched = np.zeros(len(by), np.int64), self.order[np.zeros(len(by), np.int64)], np.zeros(len(by), np.int64)
-        runs = len(self.start)
-        for step in range(int(size.max(initial=0))):
-            m = int(np.searchsorted(-size, -step, side="left"))  # patterns longer than step
-            q, pos, have = row[:m], at[:m], matched[:m]
-            want = text[start[:m] + size[:m] - 1 - step]
-            run = self.run[q].astype(np.int64)
-            odd = np.flatnonzero(self.letter[run] != want)
+        start, size, wide = start[by], size[by], tags[by].astype(np.int64) * 256
+        last = (np.cumsum(windows) - 1)[by]  # of each pattern its last window's place in hit
+        runs = len(self.letter)
+        run, offset, have = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
+        at = np.full(len(by), self.top[0])
+        upto = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")  # patterns longer than each step
+        for step, m in enumerate(upto.tolist()):
+            q, o, pos, got = run[:m], offset[:m], at[:m], have[:m]
+            want = wide[:m] + text[start[:m] + size[:m] - 1 - step]
+            odd = np.flatnonzero(self.letter[q] != want)
+            lost = odd[:0]
             if len(odd):
-                c = want[odd].astype(np.int64) * (runs + 1)
-                j = np.searchsorted(self.of_letter, c + run[odd])
-                none = np.int64(-1)
-                down = np.where(j < runs, self.of_letter[np.minimum(j, runs - 1)] - c, none)
-                up = np.where(j > 0, self.of_letter[np.maximum(j - 1, 0)] - c, none)
-                down, up = np.where((down >= 0) & (down < runs), down, none), np.where((up >= 0) & (up < runs), up, none)
-                here = pos[odd]
-                less = np.where(up >= 0, np.minimum(self._common(self.bottom[up], here), have[odd]), none)
-                more = np.where(down >= 0, np.minimum(self._common(self.top[down], here), have[odd]), none)
+                c = want[odd] * runs
+                j = np.searchsorted(self.of_letter, c + q[odd])
+                down, up = self.of_letter[np.minimum(j, runs - 1)] - c, self.of_letter[np.maximum(j - 1, 0)] - c
+                below, above = (j < runs) & (down >= 0) & (down < runs), (j > 0) & (up >= 0) & (up < runs)
+                down, up, here, most = np.where(below, down, 0), np.where(above, up, 0), pos[odd], got[odd]
+                more = np.where(below, self._common(self.top[down], here, np.where(below, most, 0)), -1)
+                less = np.where(above, self._common(self.bottom[up], here, np.where(above, most, 0)), -1)
                 lower = more > less
                 taken = np.where(lower, down, up)
-                ok = taken >= 0
-                run[odd] = np.where(ok, taken, run[odd])
-                q[odd] = np.where(ok, np.where(lower, self.start[taken], self.last[taken]), q[odd])
-                pos[odd] = np.where(ok, np.where(lower, self.top[taken], self.bottom[taken]), here)
-                have[odd] = np.where(ok, np.maximum(less, more), none)
-                lost = odd[~ok]
-            else:
-                lost = odd
-            q += self.to[run] - self.start[run]
+                q[odd], o[odd] = taken, np.where(lower, 0, self.size[taken] - 1)
+                pos[odd], got[odd] = np.where(lower, self.top[taken], self.bottom[taken]), np.maximum(more, less)
+                lost = odd[~(below | above)]
+            o += self.to_offset[q]
+            q[:] = self.to_run[q]
+            on = np.flatnonzero(o >= self.size[q])
+            while len(on):
+                o[on] -= self.size[q[on]]
+                q[on] += 1
+                on = on[o[on] >= self.size[q[on]]]
             pos -= 1
-            have += 1
-            if len(lost):  # a letter that the text lacks
-                q[lost], pos[lost], have[lost] = 0, self.order[0], 0
-            yield by[:m], size[:m] - 1 - step, np.minimum(have, self.length), self.klass[q]
+            got += 1
+            np.minimum(got, length, out=got)
+            if len(lost):  # a letter that the index lacks
+                q[lost], o[lost], pos[lost], got[lost] = 0, 0, self.top[0], 0
+            if step >= length - 1:
+                hit[last[:m] - (step - length + 1)] = got >= length
+        return hit
+
+
+_BYTES = np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))
+
+
+def in_smaller(text: np.ndarray, start: np.ndarray, windows: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For strings text[start:start + windows + length - 1], window by window, end to end: whether a string of the same group and a smaller owner has it.
+
+    Each group's owners are halved again and again: the strings of the smaller half are the reference, which is indexed, those of
+    the larger half are streamed through it. What a stream finds is cut off before the halves are treated on their own: it is in the
+    smaller half, so it is needed no more, neither as a reference. Windows must be unlike between groups.
+    """
+    base = np.cumsum(windows) - windows
+    hit = np.zeros(windows.sum(), bool)
+    by = np.lexsort((owner, group))
+    new_group = np.concatenate([[True], group[by][1:] != group[by][:-1]])[: len(by)]
+    new = new_group | np.concatenate([[True], owner[by][1:] != owner[by][:-1]])[: len(by)]
+    rank, low, high = (np.empty(len(by), np.int64) for _ in range(3))
+    serial = np.cumsum(new) - 1
+    heads = np.flatnonzero(new_group)
+    of = np.cumsum(new_group) - 1
+    rank[by], low[by], high[by] = serial, serial[heads][of], np.append(serial[heads[1:]], serial[-1:] + 1)[of]
+    tag = np.zeros(len(by), np.int64)
+    item, first, count = np.arange(len(by)), np.zeros(len(by), np.int64), windows.copy()
+    while True:
+        live = high[item] - low[item] > 1
+        item, first, count = item[live], first[live], count[live]
+        if not len(item):
+            return hit
+        middle = (low + high) // 2
+        upper = rank >= middle
+        side = upper[item]
+        both = [np.bincount(low[item[s]], minlength=len(by)) > 0 for s in (~side, side)]
+        met = (both[0] & both[1])[low[item]]
+        left, right = np.flatnonzero(met & ~side), np.flatnonzero(met & side)
+        if len(left):
+            _, tags = np.unique(np.concatenate([tag[item[left]], tag[item[right]]]), return_inverse=True)
+            begin = start[item] + first
+            end = begin + count + length - 1
+            data = text.data
+            index = RunIndex([bytes(data[a:b]) for a, b in zip(begin[left].tolist(), end[left].tolist())], tags[: len(left)])
+            found = index.long_matches(text, begin[right], (end - begin)[right], tags[len(left) :], length)
+            del index
+            n = count[right]
+            seg = np.repeat(np.arange(len(right)), n)
+            within = np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)
+            place = base[item[right]][seg] + first[right][seg] + within
+            hit[place[found]] = True
+            # what is left of the streamed strings: runs of windows that were not found
+            rest = ~found
+            opens = rest & ((within == 0) | np.concatenate([[True], found[:-1]]))
+            heads = np.flatnonzero(opens)
+            length_of = np.bincount((np.cumsum(opens) - 1)[rest], minlength=len(heads))
+            keep = np.ones(len(item), bool)
+            keep[right] = False
+            item, first, count = (np.concatenate([x[keep], y]) for x, y in ((item, item[right][seg[heads]]), (first, first[right][seg[heads]] + within[heads]), (count, length_of)))
+        wide = high - low > 1
+        tag = np.where(wide, 2 * tag + upper, tag)
+        low, high = np.where(wide & upper, middle, low), np.where(wide & ~upper, middle, high)

@@ -3,19 +3,24 @@
 1. Documents are packed, as they are read, into chunk rows in a table bucketed by chunk, which later steps join
    without moving the text again.
 2. Every ``length``-byte window has an anchor: the least hash of the ``GRAM``-byte strings in it, which equal windows
-   share wherever they stand. Each chunk sends its anchors (once each, with a mark when two documents have it) to
-   shards; those of two chunks or with the mark come back. Other windows cannot repeat and go no further.
-3. Runs of windows with one returned anchor are cut out as strings, each distinct string of a chunk once with its
-   smallest doc_id, and dealt by anchor. Anchors that very many chunks hold are dealt by the window itself instead.
-4. Equal strings are one, with the smallest doc_id. A string alone under its anchor, by the strings' hashes, matches
-   itself and nothing else, as windows under different anchors differ: its bytes never move. Of all others each shard
-   builds a run-compressed Burrows-Wheeler index, streams them through it for matching statistics, and reads for each
-   window the smallest doc_id in its class of matches.
+   share wherever they stand. Each chunk sends its anchors (once each, 31 bits beside the shard's number, with a mark
+   when two documents have it) to shards; those of two chunks or with the mark come back. Other windows cannot repeat.
+3. Runs of windows with one returned anchor are strings. Of each distinct string of a chunk its hash, its anchor and
+   its smallest doc_id in the chunk go to the anchor's shard, which answers: the string is in a smaller document and
+   goes whole; nothing else under the anchor has a say; or other strings of the anchor may hold some of its windows.
+4. Only strings of the last kind move, from the chunk with the smallest doc_id, and meet by anchor. A shard halves each
+   anchor's documents again and again: the smaller half's strings are the reference, of which a run-compressed
+   Burrows-Wheeler index is built, the larger half's are streamed through it, and what matches ``length`` bytes goes.
+   An anchor with over ``MANY_STRINGS`` strings is dealt by its windows' hashes instead, so no shard holds it whole.
 5. The answers return to the chunk; every byte of a window with a smaller doc_id elsewhere goes.
 
+Strings are told apart by their anchor and a 64-bit hash of their bytes.
+
 Defined cases: null text is empty; a null doc_id counts as larger than any other, and is not smaller than another null;
 rows with the same doc_id never remove from one another; texts under ``length`` bytes stay whole; an empty table gives
 no rows; other columns are not read.
+
+The session's Arrow batches are set to ``BATCH_BYTES``: the last step runs when the result is read.
 """
 
 from __future__ import annotations
@@ -31,17 +36,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import freeze, release, table
-from tessera.llm.runindex import RunIndex, words_at
+from tessera.llm.common import freeze, shared_dir, table
+from tessera.llm.runindex import in_smaller, words_at
 
 GRAM = 20
 CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch; set in the session, as the last step runs when the result is read.
 BATCH_BYTES = 8 << 20
 #: Bytes of strings, and anchors, for which one shard is planned.
-SHARD_BYTES, SHARD_ANCHORS = 3 << 19, 1 << 20
-#: An anchor that more chunks than this hold is dealt by window.
-HOT_CHUNKS = 64
+SHARD_BYTES, SHARD_ANCHORS = 4 << 20, 1 << 20
+#: Distinct strings of one anchor that a shard indexes; beyond, they are dealt by window.
+MANY_STRINGS = 1 << 14
 #: Longest run of windows in one string.
 RUN_WINDOWS = 256
 NO_ID = np.iinfo(np.int64).max
@@ -60,6 +65,12 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     return _mix(h ^ w[GRAM - 8 : GRAM - 8 + n]) >> np.uint64(1)
 
 
+def keys(anchor: np.ndarray, shards: int) -> np.ndarray:
+    """Shard (upper half) and 31 other bits of the anchor."""
+    a = _mix(anchor)
+    return ((a >> np.uint64(33)) % np.uint64(shards)) << np.uint64(32) | a & np.uint64(0x7FFFFFFF)
+
+
 def window_runs(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, windows) of each run of windows with one anchor, over documents laid end to end."""
     anchors, firsts, counts = [], [], []
@@ -98,6 +109,12 @@ def window_runs(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.nd
     return np.concatenate(anchors), np.concatenate(firsts), np.concatenate(counts)
 
 
+def _bucketed(rows: DataFrame, name: str, buckets: int) -> str:
+    """The rows as a table bucketed by chunk, its files in the shared folder."""
+    rows.write.option("compression", "zstd").option("path", f"{shared_dir(rows.sparkSession)}/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
+    return name
+
+
 def _chunks(docs: DataFrame, buckets: int) -> str:
     """Name of a table of chunk rows: chunk, doc_ids, sizes, text (the documents' bytes end to end)."""
 
@@ -126,8 +143,7 @@ def _chunks(docs: DataFrame, buckets: int) -> str:
 
     name = "chunks_" + uuid.uuid4().hex
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "chunk long, doc_ids array<long>, sizes array<long>, text binary")
-    rows.write.option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
-    return name
+    return _bucketed(rows, name, buckets)
 
 
 def _laid_out(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +157,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
+
+def _kind(*binary: str) -> pa.Schema:
+    return pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), *((n, pa.binary()) for n in binary)])
+
+
 def _anchor_rows(length: int, shards: int):
+    kind = _kind("anchors")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             ids, sizes, text = _laid_out(row)
@@ -149,17 +175,15 @@ def _anchor_rows(length: int, shards: int):
             if not len(anchor):
                 continue
             owner = ids[np.searchsorted(np.cumsum(sizes), first, side="right")]
-            by = np.argsort(anchor)
-            anchor, owner = anchor[by], owner[by]
-            head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            key = keys(anchor, shards)
+            by = np.argsort(key)
+            key, owner = key[by], owner[by]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             several = np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head)
-            packed = (anchor[head] << np.uint64(1)) | several.astype(np.uint64)
-            shard = (_mix(anchor[head]) % np.uint64(shards)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            packed, shard = packed[by], shard[by]
+            shard = (key[head] >> np.uint64(32)).astype(np.int64)
+            packed = key[head].astype(np.uint32) << np.uint32(1) | several
             cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            blobs = [packed[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(packed)])]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), pa.array([row["chunk"]] * len(cuts), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "chunk", "anchors"])
+            yield _batch([{"shard": shard[a], "chunk": row["chunk"], "anchors": packed[a:b].tobytes()} for a, b in zip(cuts, [*cuts[1:], len(packed)])], kind)
 
     return run
 
@@ -176,82 +200,69 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
+def _joined(rows: list[dict], name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join([r[name] for r in rows]), kind)
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each shard's anchors those that repeat, back to their chunks; the lowest bit now marks hot ones."""
+    """Of each shard's anchors those that repeat, back to their chunks."""
     for rows in _by_shard(batches):
-        packed = np.concatenate([np.frombuffer(r["anchors"], np.uint64) for r in rows])
-        source = np.repeat(np.arange(len(rows)), [len(r["anchors"]) // 8 for r in rows])
-        by = np.argsort(packed >> np.uint64(1), kind="stable")
+        packed = _joined(rows, "anchors", np.uint32)
+        source = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["anchors"]) // 4 for r in rows])
+        by = np.argsort(packed, kind="stable")
         packed, source = packed[by], source[by]
-        anchor = packed >> np.uint64(1)
+        anchor = packed >> np.uint32(1)
         new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         head = np.flatnonzero(new)
-        held = np.diff(np.concatenate([head, [len(anchor)]]))
-        several = np.maximum.reduceat(packed & np.uint64(1), head)
-        group = np.cumsum(new) - 1
-        keep = ((held > 1) | (several > 0))[group]
-        answer = (anchor << np.uint64(1)) | (held > HOT_CHUNKS)[group].astype(np.uint64)
-        answer, source = answer[keep], source[keep]
+        repeats = (np.diff(np.append(head, len(anchor))) > 1) | (np.maximum.reduceat(packed & np.uint32(1), head) > 0)
+        keep = repeats[np.cumsum(new) - 1]
+        anchor, source = anchor[keep], source[keep]
         by = np.argsort(source, kind="stable")
-        answer, source = answer[by], source[by]
-        cuts = np.searchsorted(source, np.arange(len(rows) + 1))
-        some = [i for i in range(len(rows)) if cuts[i + 1] > cuts[i]]
-        yield pa.RecordBatch.from_arrays([pa.array([rows[i]["chunk"] for i in some], pa.int64()), pa.array([answer[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())], names=["chunk", "anchors"])
+        anchor, cuts = anchor[by], np.searchsorted(source[by], np.arange(len(rows) + 1))
+        yield _batch([{"shard": r["shard"], "chunk": r["chunk"], "anchors": anchor[a:b].tobytes()} for r, a, b in zip(rows, cuts, cuts[1:]) if b > a], _kind("anchors"))
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
+    """The least id and what the others have beyond it, in as few bytes as all of them fit in."""
+    low = ids.min()
+    over = ids.view(np.uint64) - low.view(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or over.max() >> np.uint64(8 * w) == 0)
+    return low.tobytes() + over.astype(f"<u{width}").tobytes()
+
+
+def unpack_ids(data: bytes, n: int) -> np.ndarray:
+    return (np.frombuffer(data, f"<u{(len(data) - 8) // n}", n, 8).astype(np.uint64) + np.frombuffer(data, np.uint64, 1)).view(np.int64)
 
 
-PART = "struct<shard:long,text:binary,sizes:binary,anchors:binary,lowest:binary,copies:binary,places:binary>"
-_PART = pa.struct([("shard", pa.int64()), *((n, pa.binary()) for n in ("text", "sizes", "anchors", "lowest", "copies", "places"))])
+PART = ("anchors", "hashes", "lowest", "sizes", "copies", "places")
+_PART = pa.struct([("shard", pa.int64()), *((n, pa.binary()) for n in PART)])
+STRINGS = f"chunk long, parts array<struct<shard:long,{','.join(n + ':binary' for n in PART)}>>"
 
 
-def _string_rows(length: int, shards: int):
+def _string_rows(length: int, before: int, shards: int):
+    """Per chunk and shard its distinct strings: 31 bits of the anchor, hash, smallest doc_id, bytes, and the places of its copies, smallest doc_id first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             ids, sizes, text = _laid_out(row)
             anchor, first, count = window_runs(text, sizes, length)
-            answer = np.sort(np.frombuffer(b"".join(row["anchors"]), np.uint64))
-            known = answer >> np.uint64(1)
-            j = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-            found = known[j] == anchor
-            anchor, first, count, hot = anchor[found], first[found], count[found], (answer[j[found]] & np.uint64(1)) > 0
-            shard = (_mix(anchor + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
-            if hot.any():  # window by window, dealt by the window's own bytes
-                n = np.where(hot, count, 1)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                single = np.repeat(hot, n)
-                first, shard = np.repeat(first, n) + step, np.repeat(shard, n)
-                count = np.where(single, 1, np.repeat(count, n))
-                at = np.flatnonzero(single)
-                w = np.zeros(len(at), np.uint64)
-                words = words_at(text)
-                for k in [*range(0, length - 7, 8), length - 8]:
-                    w = _mix(w ^ words[first[at] + k])
-                shard[at] = (_mix(w) % np.uint64(shards)).astype(np.int64)
-                anchor = np.repeat(anchor, n)
-                anchor[at] = w
+            known = np.sort(np.concatenate([np.frombuffer(x["anchors"], np.uint32).astype(np.uint64) | np.uint64(x["shard"] << 32) for x in row["back"]]))
+            key = keys(anchor, before)
+            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
+            first, size, key = first[at], count[at] + length - 1, keys(anchor[at] + np.uint64(1), shards)
             owner = ids[np.searchsorted(np.cumsum(sizes), first, side="right")]
-            by = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[by], np.unique(shard))
-            data = row["text"]
-            out: list[dict] = []
-            for a, b in zip(cuts, [*cuts[1:], len(by)]):
-                mine = by[a:b]
-                seen: dict[bytes, int] = {}
-                number = np.array([seen.setdefault(data[s:e], len(seen)) for s, e in zip(first[mine].tolist(), (first[mine] + count[mine] + length - 1).tolist())], np.int64)
-                order = np.argsort(number, kind="stable")
-                place, doc, number = first[mine][order], owner[mine][order], number[order]
-                head = np.searchsorted(number, np.arange(len(seen)))
-                strings = list(seen)
-                out.append(
-                    {
-                        "shard": int(shard[mine[0]]),
-                        "text": b"".join(strings),
-                        "sizes": np.array([len(s) for s in strings], np.int32).tobytes(),
-                        "anchors": anchor[mine][order][head].astype(np.uint32).tobytes(),
-                        "lowest": np.minimum.reduceat(doc, head).tobytes(),
-                        "copies": np.diff(np.concatenate([head, [len(number)]])).astype(np.int32).tobytes(),
-                        "places": place.astype(np.int32).tobytes(),
-                    }
-                )
+            data, digest = row["text"], xxhash.xxh3_64_digest
+            value = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(first.tolist(), (first + size).tolist())]), np.uint64)
+            by = np.lexsort((owner, value, key))
+            first, size, key, owner, value = first[by], size[by], key[by], owner[by], value[by]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (value[1:] != value[:-1])]))
+            ends = np.append(new[1:], len(key))
+            shard = (key[new] >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            out = []
+            for a, b in zip(cuts, [*cuts[1:], len(new)]):
+                h = new[a:b]
+                out.append({"shard": int(shard[a]), "anchors": key[h].astype(np.uint32).tobytes(), "hashes": value[h].tobytes(), "lowest": pack_ids(owner[h]), "sizes": size[h].astype(np.uint32).tobytes(), "copies": (ends[a:b] - h).astype(np.int32).tobytes(), "places": first[h[0] : ends[b - 1]].astype(np.int32).tobytes()})
             yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([out], pa.list_(_PART))], names=["chunk", "parts"])
 
     return run
@@ -263,152 +274,171 @@ def _only(strings: DataFrame, *names: str) -> DataFrame:
     return strings.select("chunk", F.arrays_zip(*(F.col(f"parts.{n}") for n in names)).cast(f"array<struct<{kind}>>").alias("parts"))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each part's strings as 64-bit hashes, which suffice to tell whether an anchor has one string or several."""
-    for row in _rows(batches):
-        parts = row["parts"]
-        hashes = []
-        for p in parts:
-            ends = np.cumsum(np.frombuffer(p["sizes"], np.int32)).tolist()
-            hashes.append(b"".join([xxhash.xxh3_64_digest(p["text"][i:j]) for i, j in zip([0, *ends], ends)]))
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([p["shard"] for p in parts], pa.int64()), pa.array([row["chunk"]] * len(parts), pa.int64()), *(pa.array([p[n] for p in parts], pa.binary()) for n in ("anchors", "lowest")), pa.array(hashes, pa.binary())], names=["shard", "chunk", "anchors", "lowest", "hashes"])
+#: What becomes of a string: none of its windows is elsewhere in a smaller document; all are; its anchor's other strings decide; likewise, but they are many.
+STAYS, GOES, OTHERS, MANY = range(4)
 
 
-def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per (shard, chunk) and string: whether its anchor has other strings, and the smallest doc_id that has the string itself."""
-    for rows in _by_shard(batches):
-        anchor, value, low = (np.concatenate([np.frombuffer(r[n], t) for r in rows]) for n, t in (("anchors", np.uint32), ("hashes", np.uint64), ("lowest", np.int64)))
-        by = np.lexsort((value, anchor))
-        a, v = anchor[by], value[by]
-        new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
-        new = new_anchor | np.concatenate([[True], v[1:] != v[:-1]])
-        group, under = np.cumsum(new) - 1, np.cumsum(new_anchor) - 1
-        several = np.bincount(under, new) > 1
-        least = np.minimum.reduceat(low[by], np.flatnonzero(new))
-        need, lowest = np.empty(len(by), np.uint8), np.empty(len(by), np.int64)
-        need[by], lowest[by] = several[under], least[group]
-        ends = np.cumsum([len(r["anchors"]) // 4 for r in rows])
-        cut = [slice(i, j) for i, j in zip([0, *ends], ends)]
-        yield pa.RecordBatch.from_arrays([pa.array([r["shard"] for r in rows], pa.int64()), pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([need[c].tobytes() for c in cut], pa.binary()), pa.array([lowest[c].tobytes() for c in cut], pa.binary())], names=["shard", "chunk", "need", "low"])
-
-
-def _strings_to_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(many: int):
+    """Per (shard, chunk): for each string what becomes of the copy in the chunk's smallest document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_shard(batches):
+            anchor, value = _joined(rows, "anchors", np.uint32), _joined(rows, "hashes", np.uint64)
+            counts = [len(r["anchors"]) // 4 for r in rows]
+            low = np.concatenate([unpack_ids(r["lowest"], n) for r, n in zip(rows, counts)])
+            by = np.lexsort((value, anchor))
+            a, v, d = anchor[by], value[by], low[by]
+            new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
+            new = new_anchor | np.concatenate([[True], v[1:] != v[:-1]])
+            string, under = np.cumsum(new) - 1, np.cumsum(new_anchor) - 1
+            least = np.minimum.reduceat(d, np.flatnonzero(new))
+            heads = np.flatnonzero(new_anchor)
+            kinds = np.bincount(under, new)
+            several = (kinds > 1) & (np.minimum.reduceat(d, heads) != np.maximum.reduceat(least[string], heads))
+            code = np.where(d > least[string], GOES, np.where(several, np.where(kinds > many, MANY, OTHERS), STAYS)[under])
+            out = np.empty(len(by), np.uint8)
+            out[by] = code
+            ends = np.cumsum(counts)
+            parts = [out[i:j] for i, j in zip(ends - counts, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array([r["shard"] for r in rows], pa.int64()), pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([int((p == MANY).sum()) for p in parts], pa.int64())], names=["shard", "chunk", "codes", "many"])
+
+    return run
+
+
+def _codes(row: dict) -> dict[int, np.ndarray]:
+    return {x["shard"]: np.frombuffer(x["codes"], np.uint8) for x in row["codes"] or []}
+
+
+def _owners(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """doc_ids of a chunk's documents, and their ends."""
+    return np.array([NO_ID if i is None else i for i in row["doc_ids"]], np.int64), np.cumsum(np.array(row["sizes"], np.int64))
+
+
+def _copies(part: dict, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per copy: its string and place; per string: bytes and smallest doc_id; per copy its doc_id."""
+    copies, place = np.frombuffer(part["copies"], np.int32), np.frombuffer(part["places"], np.int32).astype(np.int64)
+    return np.repeat(np.arange(len(copies)), copies), place, np.frombuffer(part["sizes"], np.uint32).astype(np.int64), unpack_ids(part["lowest"], len(copies)), ids[np.searchsorted(ends, place, side="right")]
+
+
+def _of(row: dict, code: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per part of a chunk with strings of that code: the part, which strings they are, their places and sizes."""
+    codes = _codes(row)
+    for part in row["parts"] or []:
+        at = np.flatnonzero(codes[part["shard"]] == code)
+        if len(at):
+            copies = np.frombuffer(part["copies"], np.int32)
+            first = np.frombuffer(part["places"], np.int32)[(np.cumsum(copies) - copies)[at]].astype(np.int64)
+            yield part, at, first, np.frombuffer(part["sizes"], np.uint32)[at].astype(np.int64)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings that others decide on, to their shard."""
     for row in _rows(batches):
-        needs = {x["shard"]: np.frombuffer(x["need"], np.uint8) > 0 for x in row["alone"]}
-        out: list[list] = [[] for _ in range(6)]
-        for p in row["parts"]:
-            need = np.flatnonzero(needs[p["shard"]])
-            if len(need):
-                sizes = np.frombuffer(p["sizes"], np.int32)
-                ends = np.cumsum(sizes)
-                text = b"".join([p["text"][i:j] for i, j in zip((ends - sizes)[need].tolist(), ends[need].tolist())])
-                for column, v in zip(out, (p["shard"], row["chunk"], text, sizes[need].tobytes(), np.frombuffer(p["anchors"], np.uint32)[need].tobytes(), np.frombuffer(p["lowest"], np.int64)[need].tobytes())):
-                    column.append(v)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["shard", "chunk", "text", "sizes", "anchors", "lowest"])
-
-
-def _lowest_ids(length: int):
-    """For each (shard, chunk): per string its runs of windows with one smallest doc_id."""
+        out = []
+        for part, at, first, size in _of(row, OTHERS):
+            text = b"".join([row["text"][a:b] for a, b in zip(first.tolist(), (first + size).tolist())])
+            low = unpack_ids(part["lowest"], len(part["sizes"]) // 4)[at]
+            out.append({"shard": part["shard"], "chunk": row["chunk"], "text": text, "sizes": size.astype(np.uint32).tobytes(), "anchors": np.frombuffer(part["anchors"], np.uint32)[at].tobytes(), "lowest": pack_ids(low)})
+        if out:
+            yield _batch(out, _kind("text", "sizes", "anchors", "lowest"))
+
+
+def _streamed(length: int):
+    """Per (shard, chunk): a bit for each window of its strings, whether a smaller document has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_shard(batches):
-            seen: dict[bytes, int] = {}
-            numbers, lows, anchors = [], [], []
-            for r in rows:
-                sizes = np.frombuffer(r["sizes"], np.int32)
-                ends, data = np.cumsum(sizes), r["text"]
-                numbers.append(np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.int64))
-                lows.append(np.frombuffer(r["lowest"], np.int64))
-                anchors.append(np.frombuffer(r["anchors"], np.uint32))
-            low = np.full(len(seen), NO_ID, np.int64)
-            np.minimum.at(low, np.concatenate(numbers), np.concatenate(lows))
-            size = np.fromiter(map(len, seen), np.int64, len(seen))
+            size = _joined(rows, "sizes", np.uint32).astype(np.int64)
+            counts = [len(r["sizes"]) // 4 for r in rows]
+            low = np.concatenate([unpack_ids(r["lowest"], n) for r, n in zip(rows, counts)])
             windows = size - length + 1
-            base = np.concatenate([[0], np.cumsum(windows)])
-            value = np.repeat(low, windows)
-            anchor = np.empty(len(seen), np.uint32)
-            anchor[np.concatenate(numbers)] = np.concatenate(anchors)
-            _, group, under = np.unique(anchor, return_inverse=True, return_counts=True)
-            met = np.flatnonzero(under[group] > 1)
-            if len(met):
-                strings = list(seen)
-                text = b"\xff".join([strings[i] for i in met]) + b"\xff"
-                start = np.concatenate([[0], np.cumsum(size[met] + 1)[:-1]])
-                index = RunIndex(text, length)
-                least = index.lowest(np.repeat(low[met], size[met] + 1))
-                for patterns, place, matched, klass in index.stream(index.text, start, size[met]):
-                    full = matched >= length
-                    value[base[met[patterns[full]]] + place[full]] = least[klass[full]]
-                del index, strings
-            of = np.repeat(np.arange(len(size)), windows)
-            head = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (value[1:] != value[:-1])]))
-            per = np.bincount(of[head], minlength=len(size))
-            offset = np.concatenate([[0], np.cumsum(per)])
-            first = (head - base[of[head]]).astype(np.int32)
-            value = value[head]
-            out: list[list] = [[], [], []]
-            for mine in numbers:
-                n = per[mine]
-                pick = np.repeat(offset[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                for column, v in zip(out, (n.astype(np.int32), first[pick], value[pick])):
-                    column.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([r["shard"] for r in rows], pa.int64()), pa.array([r["chunk"] for r in rows], pa.int64()), *(pa.array(c, pa.binary()) for c in out)], names=["shard", "chunk", "runs", "first", "least"])
+            hit = in_smaller(_joined(rows, "text", np.uint8), np.cumsum(size) - size, windows, _joined(rows, "anchors", np.uint32), low, length)
+            ends = np.concatenate([[0], np.cumsum(windows)])[np.concatenate([[0], np.cumsum(counts)])]
+            yield _batch([{"shard": r["shard"], "chunk": r["chunk"], "hits": np.packbits(hit[a:b]).tobytes()} for r, a, b in zip(rows, ends, ends[1:])], _kind("hits"))
+
+    return run
+
+
+def _single_windows(row: dict, length: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, hash, place, doc_id) of each window of the strings under anchors with many, of each copy in the chunk's smallest document, by key and place."""
+    place, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ids, ends = _owners(row)
+    for part in row["parts"] or []:
+        string, at, size, least, owner = _copies(part, ids, ends)
+        pick = np.flatnonzero((_codes(row)[part["shard"]] == MANY)[string] & (owner == least[string]))
+        n = size[string[pick]] - length + 1
+        place.append(np.repeat(at[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+        low.append(np.repeat(owner[pick], n))
+    at, low = np.concatenate(place), np.concatenate(low)
+    data = row["text"]
+    value = np.frombuffer(b"".join([xxhash.xxh3_64_digest(data[a : a + length]) for a in at.tolist()]), np.uint64)
+    key = keys(value, shards)
+    by = np.lexsort((at, key))
+    return key[by], value[by], at[by], low[by]
+
+
+def _window_rows(length: int, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            key, value, _, low = _single_windows(row, length, shards)
+            shard = (key >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])[: len(shard)])
+            out = [{"shard": shard[a], "chunk": row["chunk"], "anchors": key[a:b].astype(np.uint32).tobytes(), "hashes": value[a:b].tobytes(), "lowest": pack_ids(low[a:b])} for a, b in zip(cuts, [*cuts[1:], len(key)])]
+            if out:
+                yield _batch(out, _kind("anchors", "hashes", "lowest"))
 
     return run
 
 
-def _spans(part: dict, alone: dict, answer: dict | None, length: int, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(start, end) in the chunk of the removed windows of one part's strings; ``ids`` and ``ends`` of its documents."""
-    sizes, copies = np.frombuffer(part["sizes"], np.int32).astype(np.int64), np.frombuffer(part["copies"], np.int32)
-    place = np.frombuffer(part["places"], np.int32).astype(np.int64)
-    doc = ids[np.searchsorted(ends, place, side="right")]
-    need = np.frombuffer(alone["need"], np.uint8) > 0
-    runs = np.ones(len(sizes), np.int64)
-    if answer:
-        runs[need] = np.frombuffer(answer["runs"], np.int32)
-    starts = np.cumsum(runs) - runs
-    first, least = np.zeros(runs.sum(), np.int64), np.empty(runs.sum(), np.int64)
-    asked = np.repeat(need, runs)
-    least[~asked] = np.frombuffer(alone["low"], np.int64)[~need]
-    if answer:
-        first[asked], least[asked] = np.frombuffer(answer["first"], np.int32), np.frombuffer(answer["least"], np.int64)
-    after = np.concatenate([first[1:], [0]])
-    after[starts + runs - 1] = sizes - length + 1
-    string = np.repeat(np.arange(len(sizes)), copies)
-    n = runs[string]
-    pick = np.repeat(starts[string] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    gone = least[pick] < np.repeat(doc, n)
-    at = np.repeat(place, n)[gone]
-    return np.stack([at + first[pick][gone], at + after[pick][gone] + length - 1], axis=1)
-
-
-def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _removed_windows(row: dict, n: int, length: int, shards: int) -> np.ndarray:
+    """True where a window of a smaller document's starts, over the chunk's n bytes."""
+    depth, one = np.zeros(n + 1, np.int32), np.zeros(n, bool)
+    hits, codes = {x["shard"]: x["hits"] for x in row["hits"] or []}, _codes(row)
+    ids, ends = _owners(row)
+    for part in row["parts"] or []:
+        string, place, size, low, owner = _copies(part, ids, ends)
+        code, windows = codes[part["shard"]], size - length + 1
+        whole = (owner > low[string]) | (code == GOES)[string]
+        np.add.at(depth, place[whole], 1)
+        np.add.at(depth, (place + windows[string])[whole], -1)
+        if part["shard"] in hits:
+            count = windows * (code == OTHERS)
+            begin = np.cumsum(count) - count
+            found = np.unpackbits(np.frombuffer(hits[part["shard"]], np.uint8), count=int(count.sum())) > 0
+            pick = np.flatnonzero((code == OTHERS)[string] & (owner == low[string]))  # each copy in the smallest document
+            m = windows[string[pick]]
+            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            gone = found[np.repeat(begin[string[pick]], m) + step]
+            one[(np.repeat(place[pick], m) + step)[gone]] = True
+    if row["single"]:
+        at = _single_windows(row, length, shards)[2]
+        code = np.concatenate([np.frombuffer(x["codes"], np.uint8) for x in sorted(row["single"], key=lambda x: x["shard"])])
+        one[at[code == GOES]] = True
+    return one | (np.cumsum(depth[:-1]) > 0)
+
+
+def _cut(length: int, shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        ids, sizes, text = _laid_out(row)
+        _, sizes, text = _laid_out(row)
+        before = np.concatenate([np.zeros(length, np.int32), np.cumsum(_removed_windows(row, len(text), length, shards), dtype=np.int32)])
+        gone = before[length:] > before[:-length]  # a removed window starts at one of the last ``length`` places
         ends = np.cumsum(sizes)
-        alone, answers = ({x["shard"]: x for x in row[n] or []} for n in ("alone", "answers"))
-        found = [_spans(p, alone[p["shard"]], answers.get(p["shard"]), length, ids, ends) for p in row["parts"] or []]
-        spans = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        depth = np.zeros(len(text) + 1, np.int32)
-        np.add.at(depth, spans[:, 0], 1)
-        np.add.at(depth, spans[:, 1], -1)
-        gone = np.cumsum(depth[:-1], out=depth[:-1]) > 0
+        edge = np.concatenate([[False], gone, [False]])
         kept, spans = [], []
-        for a, b in zip(ends - sizes, ends):
-            g = gone[a:b]
-            kept.append(text[a:b][~g].tobytes())
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-            spans.append(edge.tolist())
+        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+            g = edge[a : b + 2].copy()
+            g[0] = g[-1] = False
+            at = np.flatnonzero(g[1:] != g[:-1])
+            kept.append(text[a:b][~gone[a:b]].tobytes() if len(at) else row["text"][a:b])
+            spans.append(at.tolist())
         yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "kept", "edges"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, many: int = MANY_STRINGS) -> DataFrame:
     """(doc_id, n_bytes, kept binary, edges array<long>) per document.
 
     ``kept``: its bytes outside every ``length``-byte string that a document with a smaller doc_id also has;
-    ``edges``: start, end, start, end ... of the removed runs.
+    ``edges``: start, end, start, end ... of the removed runs. ``many``: see MANY_STRINGS; it changes no result.
     """
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
@@ -416,33 +446,33 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     # a row here is a chunk of megabytes; small Arrow batches keep few of them in a worker at once
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = _chunks(docs, parts)
-    chunks = spark.table(name)
+    chunks = spark.table(_chunks(docs, parts))
     total = chunks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
-    shards = max(parts, total // 14 // SHARD_ANCHORS)
-    sent = chunks.mapInArrow(_anchor_rows(length, shards), "shard long, chunk long, anchors binary")
-    sent = sent.repartition(int(shards), "shard").sortWithinPartitions("shard")
-    back = freeze(sent.mapInArrow(_repeated, "chunk long, anchors binary"), "anchors")
-    del sent
-    release(spark)
-    size = back.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0))).first()[0] // 8 * (length + 18)
-    shards = max(parts, size // SHARD_BYTES)
-    answered = chunks.join(back.groupBy("chunk").agg(F.collect_list("anchors").alias("anchors")), "chunk")
-    names = "strings_" + uuid.uuid4().hex
-    rows = answered.mapInArrow(_string_rows(length, shards), f"chunk long, parts array<{PART}>")
-    rows.write.option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(names)
-    strings = spark.table(names)
-    keyed = _only(strings, "shard", "text", "sizes", "anchors", "lowest").mapInArrow(_digests, "shard long, chunk long, anchors binary, lowest binary, hashes binary")
-    keyed = keyed.repartition(int(shards), "shard").sortWithinPartitions("shard")
-    alone = freeze(keyed.mapInArrow(_alone, "shard long, chunk long, need binary, low binary"), "alone")
-    del keyed, answered, rows
-    release(spark)
+    met = lambda df, n: df.repartition(int(n), "shard").sortWithinPartitions("shard")
     by_chunk = lambda df, name, *columns: df.groupBy("chunk").agg(F.collect_list(F.struct("shard", *columns)).alias(name))
-    asked = _only(strings, "shard", "text", "sizes", "anchors", "lowest").join(by_chunk(alone, "alone", "need"), "chunk").mapInArrow(_strings_to_index, "shard long, chunk long, text binary, sizes binary, anchors binary, lowest binary")
-    asked = asked.repartition(int(shards), "shard").sortWithinPartitions("shard")
-    least = freeze(asked.mapInArrow(_lowest_ids(length), "shard long, chunk long, runs binary, first binary, least binary"), "lowest")
-    told = chunks.join(_only(strings, "shard", "sizes", "copies", "places"), "chunk", "left").join(by_chunk(alone, "alone", "need", "low"), "chunk", "left").join(by_chunk(least, "answers", "runs", "first", "least"), "chunk", "left")
-    return told.mapInArrow(partial(_cut, length), "doc_id long, n_bytes long, kept binary, edges array<long>")
+
+    before = max(parts, total // 14 // SHARD_ANCHORS)
+    sent = chunks.mapInArrow(_anchor_rows(length, before), "shard long, chunk long, anchors binary")
+    back = freeze(met(sent, before).mapInArrow(_repeated, "shard long, chunk long, anchors binary"), "anchors")
+    size = back.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0))).first()[0] // 4 * (length + 18)
+    shards = max(parts, size // SHARD_BYTES)
+    rows = chunks.join(by_chunk(back, "back", "anchors"), "chunk").mapInArrow(_string_rows(length, before, shards), STRINGS)
+    strings = spark.table(_bucketed(rows, "strings_" + uuid.uuid4().hex, parts))
+
+    digests = ("shard", "anchors", "hashes", "lowest")
+    sent = _only(strings, *digests).select("chunk", F.inline("parts")).select("shard", "chunk", *digests[1:])
+    answers = freeze(met(sent, shards).mapInArrow(_answers(many), "shard long, chunk long, codes binary, many long"), "answers")
+    asked = chunks.join(_only(strings, "shard", "anchors", "lowest", "sizes", "copies", "places"), "chunk").join(by_chunk(answers, "codes", "codes"), "chunk")
+    sent = asked.mapInArrow(_texts, "shard long, chunk long, text binary, sizes binary, anchors binary, lowest binary")
+    hits = freeze(met(sent, shards).mapInArrow(_streamed(length), "shard long, chunk long, hits binary"), "hits")
+    if answers.where("many > 0").isEmpty():
+        single = answers.select("shard", "chunk", "codes").where("false")
+    else:
+        sent = asked.mapInArrow(_window_rows(length, shards), "shard long, chunk long, anchors binary, hashes binary, lowest binary")
+        single = freeze(met(sent, shards).mapInArrow(_answers(many), "shard long, chunk long, codes binary, many long"), "windows")
+    told = chunks.join(_only(strings, "shard", "lowest", "sizes", "copies", "places"), "chunk", "left").join(by_chunk(answers, "codes", "codes"), "chunk", "left")
+    told = told.join(by_chunk(hits, "hits", "hits"), "chunk", "left").join(by_chunk(single, "single", "codes"), "chunk", "left")
+    return told.mapInArrow(partial(_cut, length, shards), "doc_id long, n_bytes long, kept binary, edges array<long>")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

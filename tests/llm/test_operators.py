@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import embedding_dedup, fingerprint, licenses, mixing, packing, quality, secrets, simhash, suffix_dedup, warc
+from tessera.llm import embedding_dedup, fingerprint, licenses, mixing, packing, quality, runindex, secrets, simhash, suffix_dedup, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, canonical string, fp long"
 
@@ -157,7 +157,8 @@ def test_suffix_dedup(docs, empty, texts):
         for p in range(len(b) - 49):
             w = b[p : p + 50]
             owner[w] = min(owner.get(w, i), i)
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs).collect())
+    # 1: also anchors of two strings are dealt by window
+    got, dealt = (sorted((-1 if r["doc_id"] is None else r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs, many=n).collect()) for n in (suffix_dedup.MANY_STRINGS, 1))
     want = []
     for i, b in rows:
         gone = bytearray(len(b))
@@ -165,10 +166,23 @@ def test_suffix_dedup(docs, empty, texts):
             if owner[b[p : p + 50]] < i:
                 gone[p : p + 50] = b"\1" * 50
         want.append((-1 if i == 1 << 62 else i, bytes(x for x, g in zip(b, gone) if not g)))
-    assert got == sorted(want)
+    assert got == sorted(want) and dealt == got
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_run_index_streams_other_strings():
+    rng = np.random.default_rng(0)
+    for trial in range(60):
+        length, rows = int(rng.integers(3, 9)), []
+        for _ in range(int(rng.integers(1, 40))):
+            group, n = int(rng.integers(0, 4)), int(rng.integers(length, length + 20))
+            rows.append((bytes((97 + 10 * group + rng.integers(0, 2 + trial % 2, n)).astype(np.uint8)), group, int(rng.integers(0, 12))))
+        size = np.array([len(s) for s, _, _ in rows])
+        got = runindex.in_smaller(np.frombuffer(b"".join([s for s, _, _ in rows]), np.uint8), np.cumsum(size) - size, size - length + 1, np.array([g for _, g, _ in rows]), np.array([o for _, _, o in rows]), length)
+        want = [any(s[w : w + length] in t for t, h, p in rows if h == g and p < o) for s, g, o in rows for w in range(len(s) - length + 1)]
+        assert got.tolist() == want
+
+
 def test_packing(docs, empty, texts):
     from tokenizers import Tokenizer
 
