@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -39,6 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_rows(df: DataFrame) -> Column:
+    """All columns as one, beside which an operator's own columns may have any name; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def keep_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs``, all columns: one row per doc_id that is its own component_id in ``groups``, and all rows with a null doc_id."""
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    first = docs.where("doc_id is not null").select(whole_rows(docs), F.col("doc_id").cast("long").alias("doc_id")).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.select("row.*").unionByName(docs.where("doc_id is null"))
+
+
 def texts_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of about ``most_bytes`` of text (one row at least) with their texts; null is the empty text."""
     for batch in batches:

@@ -13,8 +13,8 @@ The codebooks are fitted on a bounded sample (``TRAIN_ROWS`` classes, the first
 
 Defined cases: a null label, and a vector that is null, empty, zero or has null or non-finite components, links with
 nothing; vectors of unlike length do not link; equal vectors link with one another; every row of a table counts, also
-if its vec_id repeats; a null vec_id has no component and is kept; an empty table gives no rows; other columns are not
-read.
+if its vec_id repeats; a row with a null vec_id links like others and names no component, which is null where no row of
+the group has a vec_id; such a row is kept only then; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import connected_components, freeze, local_components, table
 
 TRAIN_ROWS = 20_000
-LISTS, SUBSPACES, CODES = 64, 8, 64
+#: Lists grow with the root of the number of classes, between these; the sample has some 20 rows for each of the most.
+LEAST_LISTS, MOST_LISTS = 64, 1024
+SUBSPACES, CODES = 8, 64
 BASE_ROWS, PROBE_ROWS = 1024, 4096
 SLACK = 1e-6
 
@@ -50,11 +52,11 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 class Codebook:
     """Coarse centroids and, per subspace, centroids of the residuals; for vectors of one dimension."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 6):
+    def __init__(self, sample: np.ndarray, lists: int = LEAST_LISTS, seed: int = 6):
         rng = np.random.default_rng(seed)
         self.dimension = sample.shape[1]
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.coarse = np.unique(k_means(unit, LISTS, 10, rng), axis=0)
+        self.coarse = np.unique(k_means(unit, lists, 10, rng), axis=0)
         self.cuts = np.linspace(0, self.dimension, min(SUBSPACES, self.dimension) + 1).astype(int)
         rest = unit - self.coarse[self.nearest(unit)]
         self.fine = [k_means(rest[:, a:b], CODES, 8, rng) for a, b in zip(self.cuts, self.cuts[1:])]
@@ -131,7 +133,7 @@ def _deal(book: Codebook | None, reach: float):
 def _compare(book: Codebook | None, least: float, reach: float):
     def run(block: pa.Table) -> pa.Table:
         left, right = block.filter(pc.invert(block.column("probe"))), block.filter(block.column("probe"))
-        names = ["cid", "rep", "links", "root"]
+        names = ["cid", "links", "root"]
         empty = pa.table({n: pa.array([], pa.int64()) for n in names})
         if not left.num_rows or not right.num_rows:
             return empty
@@ -157,10 +159,8 @@ def _compare(book: Codebook | None, least: float, reach: float):
                 a, c = a[good], c[good]
                 links += np.bincount(q_at[a], b_n[c], len(ids)).astype(np.int64) + np.bincount(b_at[c], q_n[a], len(ids)).astype(np.int64)
                 label = local_components(len(ids), np.concatenate([np.arange(len(ids)), q_at[a]]), np.concatenate([label, b_at[c]]))
-        rep = np.zeros(len(ids), np.int64)
-        rep[b_at], rep[q_at] = column(left, "rep"), column(right, "rep")
         met = np.flatnonzero(links)
-        return pa.table({"cid": ids[met], "rep": rep[met], "links": links[met], "root": rep[label[met]]})
+        return pa.table({"cid": ids[met], "links": links[met], "root": ids[label[met]]})
 
     return run
 
@@ -169,7 +169,7 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding, label)."""
     reach = math.sqrt(2 - 2 * least)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    fit = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    fit = usable(F.col("embedding")) & F.col("label").isNotNull()
     rows = rows.withColumn("fit", fit)
     classes = rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = freeze(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
@@ -177,7 +177,9 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     book = None
     if len(sample):
         sizes = sample.map(len)
-        book = Codebook(np.stack(sample[sizes == sizes.mode()[0]].to_list()).astype(float))
+        lists = min(MOST_LISTS, max(LEAST_LISTS, math.isqrt(classes.count())))
+        book = Codebook(np.stack(sample[sizes == sizes.mode()[0]].to_list()).astype(float), lists)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
@@ -187,19 +189,20 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     flat = classes.select("cid", "embedding").mapInArrow(pack, "cid long, vector binary")
     dealt = flat.mapInArrow(_deal(book, reach), "cid long, list int, probe boolean, vector binary, codes binary, error double")
-    dealt = freeze(dealt.join(classes.select("cid", "label", "rep", "n"), "cid"), "lists")
+    dealt = freeze(dealt.join(classes.select("cid", "label", "n"), "cid"), "lists")
     size = dealt.groupBy("label", "list").agg(F.ceil(F.count_if(~F.col("probe")) / BASE_ROWS).cast("int").alias("bases"), F.ceil(F.count_if("probe") / PROBE_ROWS).cast("int").alias("probes"))
     sized = dealt.join(size, ["label", "list"]).where("bases > 0 and probes > 0")
     salt = lambda n: F.pmod(F.xxhash64("cid", F.lit(3)), F.col(n)).cast("int")
     base = sized.where("not probe").withColumn("b", salt("bases")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("probes") - 1)))
     probe = sized.where("probe").withColumn("p", salt("probes")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("bases") - 1)))
     key = ["label", "list", "b", "p"]
-    columns = [*key, "probe", "cid", "rep", "n", "vector", "codes", "error"]
-    found = base.select(columns).union(probe.select(columns)).groupBy(*key).applyInArrow(_compare(book, least, reach), "cid long, rep long, links long, root long")
+    columns = [*key, "probe", "cid", "n", "vector", "codes", "error"]
+    found = base.select(columns).union(probe.select(columns)).groupBy(*key).applyInArrow(_compare(book, least, reach), "cid long, links long, root long")
     found = freeze(found, "vector-links")
-    groups = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counted = classes.join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    counted = counted.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    groups = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    counted = classes.join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(groups, F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("component", "cid"))
+    least_id = classes.select("cid", "rep").join(groups, F.col("cid") == F.col("node")).groupBy(F.col("component").alias("group")).agg(F.min("rep").alias("least"))
+    counted = counted.join(least_id, "group", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     linked = rows.where("fit").join(counted, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"))

@@ -6,7 +6,8 @@ exploded by its count, and all copies are shuffled by a hash of seed, doc_id and
 
 Defined cases: a null source is a source of its own; a null doc_id is hashed by its text instead; rows with the same
 doc_id get the same count; null text stays null; a source without a weight, or with weight 0, gives no rows; an empty table
-gives no rows; columns that the operator adds are named by parameters and replace input columns of those names.
+gives no rows; the two columns that the operator adds are named by parameters and replace input columns of those names; other
+input columns may have any name.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import freeze, table
+from tessera.llm.common import freeze, table, whole_rows
 
 SEED = 9
 #: Target weights by default: in proportion to documents ** TEMPERATURE.
@@ -49,7 +50,7 @@ def poisson(mean: Column, u: Column) -> Column:
 
 def rates(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """(source, rate): the mean number of copies. ``weights``: by source, in any unit; None: by temperature."""
-    n = docs.groupBy("source").agg(F.count("*").alias("n"))
+    n = docs.select("source").groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         w = F.pow(F.col("n").cast("double"), F.lit(temperature)) if temperature != 0.5 else F.sqrt(F.col("n").cast("double"))
         n = n.withColumn("w", w)
@@ -63,18 +64,18 @@ def rates(docs: DataFrame, weights: dict | None = None, temperature: float = TEM
 
 def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, seed: int = SEED, copy: str = "copy", key: str = "mix_key") -> DataFrame:
     """``docs`` with each row as often as drawn, in shuffled order, with its copy number (from 0) and its place's hash."""
-    rate = rates(docs, weights, temperature).withColumnRenamed("source", "_source")
+    rate = rates(docs, weights, temperature).withColumnRenamed("source", "of")
     if rate.count() <= BROADCAST_SOURCES:
         rate = F.broadcast(rate)
     columns = [c for c in docs.columns if c.lower() not in (copy.lower(), key.lower())]
-    rows = docs.select(*columns, identity().alias("_id")).join(rate, F.col("source").eqNullSafe(F.col("_source")))
+    rows = docs.select(whole_rows(docs.select(*[F.col(f"`{c}`") for c in columns])), F.col("source").alias("from"), identity().alias("id")).join(rate, F.col("from").eqNullSafe(F.col("of")))
     draws = F.greatest(F.ceil(F.col("rate") / LARGEST_MEAN), F.lit(1)).cast("int")
-    drawn = lambda j: poisson(F.col("rate") / draws, uniform(F.lit(seed), j.cast("string"), F.col("_id")))
+    drawn = lambda j: poisson(F.col("rate") / draws, uniform(F.lit(seed), j.cast("string"), F.col("id")))
     count = F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda a, j: a + drawn(j))
-    rows = rows.withColumn("_count", F.when(F.col("rate") > 0, count).otherwise(0)).where("_count > 0")
-    copies = rows.select(*columns, "_id", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias(copy))
-    copies = copies.withColumn(key, F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), "_id", copy)))
-    return copies.repartition(key).sortWithinPartitions(key).drop("_id")
+    rows = rows.withColumn("count", F.when(F.col("rate") > 0, count).otherwise(0)).where("count > 0")
+    copies = rows.select("row", "id", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("number"))
+    copies = copies.select("row.*", F.col("number").alias(copy), F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), "id", "number")).alias(key))
+    return copies.repartition(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

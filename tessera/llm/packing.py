@@ -5,8 +5,9 @@ binary decomposition of the rest, largest first. Each piece is a sequence of its
 bucket, and sequence numbers run without gaps bucket by bucket, longest first.
 
 Tokenizing: the byte-level pre-tokenizer's words are found over whole slices of text in numpy, each different word is
-encoded once by the tokenizers library, and ids are gathered by word. Words are told apart by two 64-bit hashes; on a
-clash, on a text with a special token's literal or on unassigned code points the library encodes the whole text.
+encoded once by the tokenizers library, and ids are gathered by word. Words are grouped by a 64-bit hash and each is then
+compared, character by character, with the one whose ids it gets; on a clash, on a text with a special token's literal or
+on unassigned code points the library encodes the whole text.
 
 Defined cases: null text is empty and gives the single end id; null and repeated doc_ids are packed like others; an
 empty table gives no rows; other columns are not read.
@@ -57,13 +58,15 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a blank, written as this letter
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        self.power = [np.ones(1, np.uint64)] * 4
+        self.power = [np.ones(1, np.uint64)] * 2
         self.forget()
 
     def forget(self) -> None:
-        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # sorted by key
+        self.key = np.zeros(0, np.uint64)  # sorted
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.word, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int32)  # where each word is among the characters kept, and its length
+        self.text, self.filled = np.zeros(1 << 18, np.uint32), 0
 
     def starts(self, code: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """True where a word starts; doc: the place of each document's first character, then the end."""
@@ -91,22 +94,24 @@ class WordEncoder:
             start[end[end < n]] = True
         return start
 
-    def hashes(self, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(code)
         if len(self.power[0]) < n:
-            for i, base in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-                for k, factor in ((2 * i, base), (2 * i + 1, pow(base, -1, 1 << 64))):
-                    factors = np.full(n + 1, factor, np.uint64)
-                    factors[0] = 1
-                    self.power[k] = np.cumprod(factors)
-        wide = code.astype(np.uint64) + np.uint64(1)
-        out = []
-        for i in (0, 2):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * self.power[i][:n])])
-            out.append((total[end] - total[start]) * self.power[i + 1][start])
-        return out[0], out[1]
-
-    def learn(self, key: np.ndarray, check: np.ndarray, words: list[str]) -> None:
+            base = 0x9E3779B97F4A7C15
+            for k, factor in enumerate((base, pow(base, -1, 1 << 64))):
+                factors = np.full(n + 1, factor, np.uint64)
+                factors[0] = 1
+                self.power[k] = np.cumprod(factors)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * self.power[0][:n])])
+        return (total[end] - total[start]) * self.power[1][start]
+
+    @staticmethod
+    def same(one: np.ndarray, at: np.ndarray, size: np.ndarray, other: np.ndarray, place: np.ndarray) -> bool:
+        """Whether each one[at:at + size] equals other[place:place + size]."""
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return bool((one[np.repeat(at, size) + step] == other[np.repeat(place, size) + step]).all())
+
+    def learn(self, key: np.ndarray, words: list[str]) -> None:
         """Encode new words and keep them. Words of a blank and letters are encoded as one text, which splits at its blanks."""
         run = self.blank_and_letters(words)
         alone = np.ones(len(words), bool)
@@ -129,8 +134,15 @@ class WordEncoder:
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         self.flat[self.used : self.used + len(new)] = new
         self.used += len(new)
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.fromiter(map(len, words), np.int32, len(words))
+        while self.filled + len(code) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(len(self.text), np.uint32)])
+        self.text[self.filled : self.filled + len(code)] = code
+        word = self.filled + np.cumsum(letters) - letters
+        self.filled += len(code)
         by = np.argsort(np.concatenate([self.key, key]), kind="stable")
-        self.key, self.check, self.begin, self.size = (np.concatenate(x)[by] for x in ((self.key, key), (self.check, check), (self.begin, begin), (self.size, size)))
+        self.key, self.begin, self.size, self.word, self.letters = (np.concatenate(x)[by] for x in ((self.key, key), (self.begin, begin), (self.size, size), (self.word, word), (self.letters, letters)))
 
     def blank_and_letters(self, words: list[str]) -> np.ndarray:
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -158,20 +170,23 @@ class WordEncoder:
         if len(code):
             start = np.flatnonzero(self.starts(code, kind, doc))
             end = np.append(start[1:], len(code))
-            key, check = self.hashes(code, start, end)
+            key = self.hashes(code, start, end)
             number, keys = pd.factorize(key)
             first = np.empty(len(keys), np.int64)
             first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+            own, letters = first[number], end - start
+            if (letters[own] != letters).any() or not self.same(code, start, letters, code, start[own]):
+                return [self.whole(t) for t in texts]
             if len(self.key) + len(keys) > WORDS_KEPT:
                 self.forget()
             at = np.minimum(np.searchsorted(self.key, keys), max(0, len(self.key) - 1))
             new = np.flatnonzero(self.key[at] != keys) if len(self.key) else np.arange(len(keys))
             if len(new):
-                self.learn(keys[new], check[first[new]], [joined[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+                self.learn(keys[new], [joined[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
                 at = np.searchsorted(self.key, keys)
-            slot = at[number]
-            if (self.check[slot] != check).any():
+            if (self.letters[at] != letters[first]).any() or not self.same(code, start[first], letters[first], self.text, self.word[at]):
                 return [self.whole(t) for t in texts]
+            slot = at[number]
             size = self.size[slot]
             before = np.cumsum(size) - size
             ids = self.flat[np.repeat(self.begin[slot] - before, size) + np.arange(size.sum())]
@@ -222,12 +237,16 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 def number_sequences(cut: DataFrame) -> DataFrame:
     """``pieces`` (or any columns of it with length, part and serial) with sequence_id and offset instead of part and serial.
 
-    The rows are written once, so that numbers given to a task's rows stay; the running total is over one row per length and task.
+    The rows are written once, so that numbers given to a task's rows stay. The running totals are within a length, over one row
+    per task; each length's first number comes from the sums of the (few) lengths.
     """
     kept = freeze(cut, "pieces")
-    sizes = kept.groupBy("length", "part").count()
-    base = F.sum("count").over(Window.orderBy(F.col("length").desc(), "part")) - F.col("count")
-    numbered = kept.join(sizes.select("length", "part", base.alias("base")), ["length", "part"])
+    sizes = freeze(kept.groupBy("length", "part").agg(F.count("*").alias("count")), "piece-sizes")
+    length = sizes.groupBy("length").agg(F.sum("count").alias("all"))
+    before = length.alias("a").join(F.broadcast(length.alias("b")), F.col("b.length") > F.col("a.length"), "left").groupBy("a.length").agg(F.coalesce(F.sum("b.all"), F.lit(0)).alias("before"))
+    base = F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")
+    sizes = sizes.select("length", "part", base.alias("base")).join(F.broadcast(before), "length")
+    numbered = kept.join(sizes.select("length", "part", (F.col("base") + F.col("before")).alias("base")), ["length", "part"])
     columns = [c for c in cut.columns if c not in ("part", "serial")]
     return numbered.select(*columns, (F.col("base") + F.col("serial")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 

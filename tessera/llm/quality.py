@@ -182,7 +182,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", F.col("text").alias("t"), "_quality")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("t")).join(F.broadcast(chosen), "_id")
     # one row per doc_id before any goes to the driver: the smallest text, null first
     rows = rows.groupBy("_id", "_quality").agg(F.min(F.struct("t"))["t"].alias("t")).toPandas().sort_values("_id")
     if not len(rows):

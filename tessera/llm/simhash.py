@@ -8,8 +8,8 @@ coordinate, pairs whose coordinates differ by more than ``max_bits`` anywhere ar
 the survivors are verified. Only spanning links leave a task.
 
 Defined cases: null text is empty; a text without words has fingerprint 0 and links like any other; equal texts and
-repeated rows share a fingerprint; rows with a null doc_id get a component (by their fingerprint) but name none; an
-empty table gives no rows; other columns of the input are not read.
+repeated rows share a fingerprint; rows with a null doc_id link like others but name no component, which is null where no
+row of the group has a doc_id; an empty table gives no rows; other columns of the input are kept by ``keep_one`` and not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, freeze, local_components, table, texts_of
+from tessera.llm.common import connected_components, freeze, keep_rows, local_components, table, texts_of
 
 PIVOTS = 16
 #: Rows of one key that are compared in one place; a key with more is cut into pairs of parts.
@@ -98,7 +98,7 @@ def blocks_for(n: int, max_bits: int) -> tuple[int, list[tuple[int, ...]]]:
 
 
 def links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
-    """(a, b): links that span each group of near fingerprints, from ``classes`` (fp, rep: one row per fingerprint)."""
+    """(a, b): links, as fingerprints, that span each group of near ones, from ``classes`` (fp: one row per fingerprint)."""
     n = classes.count()
     blocks, sets = blocks_for(n, max_bits)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -107,17 +107,17 @@ def links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
         mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
-    keyed = classes.where("rep is not null").select("fp", "rep", F.inline(keys))
+    keyed = classes.select("fp", F.inline(keys))
     # keys with more rows than PART are cut by hash into parts, and rows are sent to each pair of parts
     big = keyed.groupBy("t", "k").count().where(F.col("count") > PART).select("t", "k", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
     keyed = keyed.join(big, ["t", "k"], "left")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
     pairs = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")
-    keyed = keyed.withColumn("own", own).select("fp", "rep", "t", "k", F.explode(F.when(F.col("parts").isNull(), F.expr("array(struct(0 as i, 0 as j))")).otherwise(pairs)).alias("ij"))
-    dealt = keyed.select("fp", "rep", F.xxhash64("t", "k", "ij.i", "ij.j").alias("key")).repartition("key").sortWithinPartitions("key")
+    keyed = keyed.withColumn("own", own).select("fp", "t", "k", F.explode(F.when(F.col("parts").isNull(), F.expr("array(struct(0 as i, 0 as j))")).otherwise(pairs)).alias("ij"))
+    dealt = keyed.select("fp", F.xxhash64("t", "k", "ij.i", "ij.j").alias("key")).repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(fps: np.ndarray, reps: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        def found(fps: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
             label, left, right = np.arange(len(fps)), [], []
             for a, b in linked_pairs(key, fps, max_bits):
                 left.append(a)
@@ -127,14 +127,13 @@ def links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
                     left, right = [], []
             label = local_components(len(fps), np.concatenate([np.arange(len(fps)), *left]), np.concatenate([label, *right]))
             tied = np.flatnonzero(label != np.arange(len(fps)))
-            return pa.RecordBatch.from_arrays([pa.array(reps[tied]), pa.array(reps[label[tied]])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(fps[tied].view(np.int64)), pa.array(fps[label[tied]].view(np.int64))], names=["a", "b"])
 
         held = None
         for batch in batches:
-            fps, reps, key = (batch.column(i).to_numpy() for i in range(3))
-            now = (fps.view(np.uint64), reps, key)
+            now = (batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
             held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            cut = int(np.searchsorted(held[2], held[2][-1])) if len(held[2]) else 0  # the last key may go on
+            cut = int(np.searchsorted(held[1], held[1][-1])) if len(held[1]) else 0  # the last key may go on
             if cut:
                 yield found(*(x[:cut] for x in held))
                 held = tuple(x[cut:] for x in held)
@@ -149,7 +148,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, max_bits: i
     prints = freeze(fingerprints(docs, words, seed), "simhash")
     classes = freeze(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     groups = connected_components(links(classes, max_bits))
-    named = classes.join(groups, classes.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    grouped = classes.join(groups, classes.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    named = grouped.select("fp", "group").join(grouped.groupBy("group").agg(F.min("rep").alias("component_id")), "group")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -158,11 +158,7 @@ def keep_one(docs: DataFrame, words: int = 4, seed: int = 42, max_bits: int = 4)
 
     Of repeated rows with that doc_id one stays; rows with a null doc_id cannot be named as anyone's copy and stay.
     """
-    groups = near_duplicates(docs, words, seed, max_bits)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    columns = docs.columns
-    first = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return first.select(*columns).unionByName(docs.where("doc_id is null"))
+    return keep_rows(docs, near_duplicates(docs, words, seed, max_bits))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

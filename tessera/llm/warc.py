@@ -62,7 +62,10 @@ def with_roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     shared = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("response_id"), F.count("*").alias("copies")).where("copies > 1")
-    return rows.join(shared.drop("copies"), ["digest", "size"], "left")
+    columns = ["page_id", "url", "payload", "digest", "size"]
+    long = rows.where(F.col("size") >= least_bytes).join(shared.drop("copies"), ["digest", "size"], "left").select(*columns, "response_id")
+    # short payloads need no join, where all empty ones would meet under one key
+    return long.union(rows.where(F.col("size") < least_bytes).select(*columns, F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import embedding_dedup, fingerprint, licenses, mixing, packing, quality, runindex, secrets, simhash, suffix_dedup, warc
 
@@ -199,6 +200,23 @@ def test_packing(docs, empty, texts):
     assert packing.packed(empty).count() == 0
 
 
+def test_packing_tells_words_of_equal_hashes_apart():
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    for n in (512, 1024, 2048, 4096):  # Thue-Morse words and their complements: polynomial hashes agree
+        odd = [bin(i).count("1") & 1 for i in range(n)]
+        one, two = "".join("ab"[b] for b in odd), "".join("ba"[b] for b in odd)
+        for texts in ([one], [two], [one, two], [one + " " + two]):
+            assert [x.tolist() for x in encoder.encode(texts)] == [encoder.whole(t).tolist() for t in texts]
+
+
+def test_packing_repeated_and_null_ids(spark):
+    rows = [(None, "some words here"), (4, "some words here"), (4, "other"), (4, "other"), (None, None)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    assert sum(r["length"] for r in got) == sum(len(encoder.whole(t or "")) + 1 for _, t in rows)
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got))) and {r["doc_id"] for r in got} == {None, 4}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(6, 16))
@@ -206,16 +224,18 @@ def test_embeddings(spark):
     vectors += [(400, vectors[0][1], 0), (401, vectors[0][1], 0), (402, None, 0), (403, [0.0] * 16, 0), (404, [float("nan")] * 16, 0), (405, vectors[0][1], None), (406, [1.0, None], 0), (407, [1.0, 2.0], 0), (408, [2.0, 4.0], 0), (None, vectors[0][1], 0)]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
     got = {r["vec_id"]: r for r in embedding_dedup.near_links(frame).collect()}
-    usable = [(i, np.array(v, float), k) for i, v, k in vectors if i is not None and k is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
+    usable = [(-1 if i is None else i, np.array(v, float), k) for i, v, k in vectors if k is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
     links = {i: {j for j, b, m in usable if j != i and m == k and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98} for i, a, k in usable}
-    for i in got.keys() - {None}:
+    got[-1] = got.pop(None)
+    for i in got:
         seen, todo = {i}, [i]
         while todo:
             new = links.get(todo.pop(), set()) - seen
             seen |= new
             todo += new
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links.get(i, ())), min(seen), min(seen) == i)
-    assert got[None]["component_id"] is None and got[None]["kept"]
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links.get(i, ())), min(seen - {-1}), min(seen - {-1}) == i)
+    twice = spark.createDataFrame([(7, [1.0, 0.0], 1), (7, [1.0, 0.0], 1), (3, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (None, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_links(twice).collect()) == [(0, 1, None, True), (0, 1, None, True), (3, 2, 3, True), (7, 2, 3, False), (7, 2, 3, False)]
     assert embedding_dedup.near_links(frame.limit(0)).count() == 0
 
 
@@ -250,6 +270,9 @@ def test_mixing(spark, docs, empty):
     n = {r["source"]: r["count"] for r in mixing.mix(rows, {"a": 3, "b": 1}).groupBy("source").count().collect()}
     assert abs(n["a"] / 3000 - 1) < 0.1 and abs(n["b"] / 1000 - 1) < 0.15 and None not in n
     assert mixing.mix(docs).count() > 0 and mixing.mix(empty).count() == 0
+    clash = spark.createDataFrame([(1, "x", "a", 5, 6, 7, 8), (1, "x", "a", 5, 6, 7, 8), (None, "y", None, 5, 6, 7, 8), (None, "y", None, 5, 6, 7, 8)], "doc_id long, text string, source string, rate int, id int, count int, row int")
+    got = mixing.mix(clash, {"a": 1, None: 1}).drop("copy", "mix_key").groupBy(*clash.columns).agg(F.count("*").alias("rows")).collect()
+    assert all(r["rows"] % 2 == 0 and (r["rate"], r["id"], r["row"]) == (5, 6, 8) for r in got)
     counts = [r["c"] for r in mixing.mix(rows, {"a": 1}).groupBy("doc_id").agg({"*": "count"}).withColumnRenamed("count(1)", "c").collect()]
     assert min(counts) >= 1 and max(counts) > 2
 
@@ -275,6 +298,11 @@ def test_simhash(docs, empty, texts):
         assert (got[i]["fp"] % (1 << 64), got[i]["component_id"]) == (fp, min(seen))
     kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).where("doc_id IS NOT NULL").collect())
     assert kept == sorted({got[i]["component_id"] for i in range(len(fps))})
+    schema = "doc_id long, text string, _kept int, row int"
+    bridge = " ".join(f"w{i}" for i in range(3000))
+    some = spark.createDataFrame([(5, bridge, 1, 2), (9, bridge + " more", 1, 2), (None, bridge + " more still", 1, 2), (None, "alone here with no id at all", 1, 2)], schema)
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(some).collect()}
+    assert found == {(5, 5), (9, 5), (None, 5), (None, None)} and simhash.keep_one(some).count() == 3 and simhash.keep_one(some).columns == some.columns
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
