@@ -46,7 +46,7 @@ def test_secrets(docs, empty, texts):
         want |= {("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t or "") if len(m.group()) >= 24}
         assert {(s["kind"], s["start"], s["end"]) for s in got[i] if s["kind"] != "token"} == want
     fresh = secrets.generated(400, np.random.default_rng(8))
-    scores = net.scores(np.stack([secrets.window(t, s, e) for t, s, e, _ in fresh]))
+    scores = net.judge((t, s, e) for t, s, e, _ in fresh)
     label = np.array([x[3] for x in fresh])
     assert (scores[label == 1] >= net.threshold).mean() > 0.9 and (scores[label == 0] >= net.threshold).mean() < 0.3
     clean = {r["doc_id"]: r for r in secrets.redact(docs, net).collect()}
@@ -67,6 +67,26 @@ def test_secrets_cut_around_base_spans(spark):
     assert clean == ["key: [SECRET] end", "key: [SECRET] end", "see [SECRET]-short1 end"]
 
 
+def test_secrets_no_rule_names(spark):
+    """Keys of shapes that no rule and no training run has are found, whole long ones included; words, numbers and addresses are not."""
+    net = secrets.train(secrets.generated(secrets.GENERATED, np.random.default_rng(1)), 1)
+    report = secrets.unseen_report(net)
+    assert np.mean([report[k] for k in secrets.UNSEEN_KEYS]) > 0.8 and np.mean([report[k] for k in secrets.UNSEEN_PLAIN]) < 0.05
+    shapes = secrets.Shapes(np.random.default_rng(6))
+    keys = [shapes.key("url-safe", 0) for _ in range(30)] + [shapes.key("mixed", 5000)]
+    rows = [(i, f"the client sends bearer {k} and the answer is extraordinarily international", 5) for i, k in enumerate(keys)] + [(99, "the card is 4929348385146306 and see INTERNATIONALISATION now", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int").coalesce(2)
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, net).collect()}
+    assert sum(any(s["kind"] == "token" and (s["start"], s["end"]) == (24, 24 + len(k)) for s in found[i]) for i, k in enumerate(keys)) >= 28
+    assert found[30] and not found[99]
+    assert secrets.redact(docs, net).where("doc_id = 30").first()["text"] == "the client sends bearer [SECRET] and the answer is extraordinarily international"
+    # the middle of a long candidate counts: both ends are the same here
+    one, two = ("start" + m + "end" for m in ("x" * 200, shapes.key("mixed", 200)))
+    scores = net.judge([(one, 0, len(one)), (two, 0, len(two))])
+    assert scores[0] < scores[1]
+    assert all(e - s <= secrets.OWN for s, e in secrets.tiles(3, 500)) and {i for s, e in secrets.tiles(3, 500) for i in range(s, e)} == set(range(3, 500))
+
+
 def test_secrets_unnamed_runs_are_no_negatives(spark):
     rng = random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -86,7 +106,7 @@ def test_secrets_unnamed_runs_are_no_negatives(spark):
     base = [(f"password = {k}", 0, 11 + len(k), 1) for k in keys]
     net = secrets.train(base + secrets.generated(2000, np.random.default_rng(3)), 1)
     fresh = [x for x in secrets.generated(1000, np.random.default_rng(8)) if x[3] and not secrets.base_spans(x[0])]
-    assert (net.scores(np.stack([secrets.window(*x[:3]) for x in fresh])) >= net.threshold).mean() > 0.9
+    assert (net.judge(x[:3] for x in fresh) >= net.threshold).mean() > 0.9
 
 
 def test_quality(spark, docs, empty):
