@@ -1,9 +1,12 @@
 """Quality classifier: supervised subword embeddings.
 
 A text's words (split at white space, with their marks and case) and the character n-grams of each whole word, between ``<``
-and ``>``, are hashed into buckets with learned vectors; a word may be of any length. A document is the mean of its features' vectors, a linear layer
-and softmax give the probability of label 1, and all is trained by numpy stochastic gradient descent. As the layer is
-linear, a word adds fixed amounts to the document's two sums, which workers keep for words they have met.
+and ``>``, are hashed into buckets with learned vectors; a word may be of any length. Two more features, with learned vectors
+too, show what an average of words hides: a word that repeats the one before it, and a word of a line that the document has
+had before; each such word counts ``MARK_WEIGHT`` features. A document is the mean of its features' vectors, a linear layer
+and softmax give the probability of label 1, and all is trained by numpy stochastic gradient descent, with weight decay; the
+rate is chosen on an inner fold of the training rows. As the layer is linear, a word adds fixed amounts to the document's two
+sums, which workers keep for words they have met.
 
 The fit uses at most ``TRAIN_ROWS`` labelled rows, those first by a hash of doc_id; of rows that repeat a labelled doc_id the
 smallest label counts (of rows of ``docs`` that repeat it the smallest text), and only documents outside the held-out fold take part. Scores never see labels, lang, source or doc_id.
@@ -26,7 +29,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table, texts_of
 
 TRAIN_ROWS = 3_000
-BUCKETS, DIMENSION, BATCH, RATE = 1 << 15, 8, 32, 0.5
+BUCKETS, DIMENSION, BATCH = 1 << 15, 8, 32
+#: Rates tried on the inner fold; weight decay per batch, as a share of the rate.
+RATES, DECAY = (0.25, 0.5, 1.0), 1e-4
+#: Buckets of the two marks, beyond those of words, and the features that a marked word counts.
+AGAIN, LINE, MARK_WEIGHT = BUCKETS, BUCKETS + 1, 4
 #: Passes over the rows: so many that there are STEPS batches, EPOCHS at least.
 EPOCHS, STEPS = 5, 600
 NGRAMS = (2, 4)
@@ -88,36 +95,58 @@ def run_buckets(word: str) -> Iterator[np.ndarray]:
                 yield ((crc ^ np.uint32(0xFFFFFFFF)) % BUCKETS).astype(np.int64)
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, share of the text's features) of one text."""
+def marks(text: str, words: list[str]) -> tuple[int, int]:
+    """Words that repeat the one before, and words in lines that were there before."""
+    again = sum(map(str.__eq__, words, words[1:]))
+    if "\n" not in text:
+        return again, 0
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    if len(set(lines)) == len(lines):
+        return again, 0
+    seen, line = set(), 0
+    for x in lines:
+        if x in seen:
+            line += len(x.split())
+        seen.add(x)
+    return again, line
+
+
+def features(text: str, kept: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, share of the text's features) of one text. ``kept``: buckets of short words met so far."""
+    kept = {} if kept is None else kept
     counts: dict[str, int] = {}
-    for w in text.split():
+    words = text.split()
+    for w in words:
         counts[w] = counts.get(w, 0) + 1
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    total = np.zeros(BUCKETS)
+    total = np.zeros(BUCKETS + 2)
     short = [w for w in counts if len(w) <= SHORT]
     if short:
-        lists = [word_buckets(w) for w in short]
+        lists = []
+        for w in short:
+            if w not in kept:
+                kept[w] = word_buckets(w)
+            lists.append(kept[w])
         weight = np.repeat(np.array([counts[w] for w in short], float), [len(x) for x in lists])
-        total += np.bincount(np.concatenate(lists), weight, BUCKETS)
+        total += np.bincount(np.concatenate(lists), weight, BUCKETS + 2)
     for w in counts:
         if len(w) > SHORT:
             for at in run_buckets(w):
-                total += np.bincount(at, minlength=BUCKETS) * counts[w]
+                total += np.bincount(at, minlength=BUCKETS + 2) * counts[w]
+    total[AGAIN], total[LINE] = (MARK_WEIGHT * n for n in marks(text, words))
     at = np.flatnonzero(total)
     return at, (total[at] / total.sum()).astype(np.float32)
 
 
 class Model:
-    def __init__(self, seed: int = 2):
+    def __init__(self, seed: int = 2, rate: float = 0.5):
         rng = np.random.default_rng(seed)
-        self.vectors = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSION)).astype(np.float32)
+        self.vectors = rng.uniform(-0.5, 0.5, (BUCKETS + 2, DIMENSION)).astype(np.float32)
         self.layer, self.bias = np.zeros((DIMENSION, 2), np.float32), np.zeros(2, np.float32)
-        self.rng = rng
+        self.rng, self.rate = rng, rate
 
-    def fit(self, texts: list[str], labels: np.ndarray) -> "Model":
-        rows = [features(t) for t in texts]
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> "Model":
         batches = -(-len(rows) // BATCH)
         epochs = max(EPOCHS, -(-STEPS // batches))
         steps, total = 0, epochs * batches
@@ -125,22 +154,30 @@ class Model:
             order = self.rng.permutation(len(rows))
             for low in range(0, len(order), BATCH):
                 part = order[low : low + BATCH]
-                at = np.concatenate([rows[i][0] for i in part])
-                share = np.concatenate([rows[i][1] for i in part])
-                size = np.array([len(rows[i][0]) for i in part])
-                doc = np.repeat(np.arange(len(part)), size)
-                hidden = np.stack([np.bincount(doc, self.vectors[at, d] * share, len(part)) for d in range(DIMENSION)], axis=1).astype(np.float32)
+                shares = self._dense([rows[i] for i in part])
+                hidden = shares @ self.vectors
                 error = self.softmax(hidden @ self.layer + self.bias)
                 error[np.arange(len(part)), labels[part]] -= 1
-                rate = RATE * (1 - steps / total)
+                rate = self.rate * (1 - steps / total)
                 back = error @ self.layer.T
                 self.layer -= rate * hidden.T @ error / len(part) * 4
                 self.bias -= rate * error.mean(0)
-                for d in range(DIMENSION):
-                    self.vectors[:, d] -= (rate * 4) * np.bincount(at, back[doc, d] * share, BUCKETS).astype(np.float32)
+                self.vectors *= np.float32(1 - rate * DECAY)
+                self.vectors -= np.float32(rate * 4) * (shares.T @ back)
                 steps += 1
         return self
 
+    @staticmethod
+    def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS + 2), np.float32)
+        for i, (at, share) in enumerate(rows):
+            out[i, at] = share
+        return out
+
+    def loss(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> float:
+        p = np.concatenate([self.softmax(self._dense(rows[i : i + BATCH]) @ self.vectors @ self.layer + self.bias) for i in range(0, len(rows), BATCH)])
+        return float(-np.log(np.maximum(p[np.arange(len(rows)), labels], 1e-9)).mean())
+
     @staticmethod
     def softmax(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(axis=-1, keepdims=True))
@@ -150,15 +187,30 @@ class Model:
         return Scorer((self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float64), float(self.bias[1] - self.bias[0]))
 
 
+def fitted(texts: list[str], labels: np.ndarray) -> Model:
+    """A model of all the rows, with the rate that does best on every fifth row when fitted on the others."""
+    kept: dict[str, list[int]] = {}
+    rows = [features(t, kept) for t in texts]
+    inner = np.arange(len(rows)) % FOLDS == 0
+    rate = RATES[len(RATES) // 2]
+    if len(rows) >= 4 * FOLDS:
+        pick = lambda mask: ([rows[i] for i in np.flatnonzero(mask)], labels[mask])
+        rate = min(RATES, key=lambda r: Model(rate=r).fit(*pick(~inner)).loss(*pick(inner)))
+    return Model(rate=rate).fit(rows, labels)
+
+
 class Scorer:
     """Probability of label 1 of whole texts, from each bucket's part in the difference of the two sums."""
 
     def __init__(self, part: np.ndarray, bias: float):
         self.part, self.bias, self.kept = part, bias, {}
+        self.again, self.line = float(part[AGAIN]), float(part[LINE])
 
     def __call__(self, text: str) -> float:
-        kept, total, n = self.kept, 0.0, 0
-        for w in text.split():
+        kept, words = self.kept, text.split()
+        again, line = marks(text, words)
+        total, n = MARK_WEIGHT * (again * self.again + line * self.line), MARK_WEIGHT * (again + line)
+        for w in words:
             x = kept.get(w)
             if x is None:
                 if len(w) <= SHORT:
@@ -186,8 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
     # one row per doc_id before any goes to the driver: the smallest text, null first
     rows = rows.groupBy("_id", "_quality").agg(F.min(F.struct("t"))["t"].alias("t")).toPandas().sort_values("_id")
     if not len(rows):
-        return Scorer(np.zeros(BUCKETS), 0.0)
-    return Model().fit([t or "" for t in rows["t"]], (rows["_quality"].to_numpy() > 0).astype(np.int64)).scorer()
+        return Scorer(np.zeros(BUCKETS + 2), 0.0)
+    return fitted([t or "" for t in rows["t"]], (rows["_quality"].to_numpy() > 0).astype(np.int64)).scorer()
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
