@@ -2,7 +2,8 @@
 
 A text's canonical form is its NFKC normalisation, case-folded, with each run of white space as one blank and none at the
 ends. The fingerprint is the 128-bit XXH3 of its UTF-8 bytes in hex. Documents are grouped by fingerprint, and within
-a group canonical bytes are compared: a fingerprint shared by different texts is split by the texts themselves.
+a group canonical bytes are compared: a fingerprint shared by different texts is split by the texts themselves. Only texts
+whose fingerprint occurs twice are moved for that, and those of a group are combined before the shuffle.
 
 Defined cases: null text is empty; null and repeated doc_ids are fingerprinted like others; an empty table gives no rows; other
 columns are not read. Order "by descending doc_id" puts nulls last and rows with one doc_id by text.
@@ -22,6 +23,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import freeze, table, texts_of
 
 
+#: Shared fingerprints that are broadcast.
+BROADCAST_PRINTS = 200_000
+#: Text that a range of documents holds, about.
+RANGE_BYTES = 64 << 20
+
+
 def canonical(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
@@ -38,31 +45,38 @@ def likeness(a: str, b: str) -> float:
     return float(a == b)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, canonical, fingerprint) per document."""
+def fingerprints(docs: DataFrame, digits: int = 32) -> DataFrame:
+    """(doc_id, canonical, fingerprint) per document; ``digits``: of the digest, fewer only where tests want unlike texts to share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_of(batches):
             forms = [canonical(t) for t in texts]
-            digests = [xxhash.xxh3_128_hexdigest(c.encode("utf-8", "surrogatepass")) for c in forms]
+            digests = [xxhash.xxh3_128_hexdigest(c.encode("utf-8", "surrogatepass"))[:digits] for c in forms]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(forms, pa.string()), pa.array(digests, pa.string())], names=["doc_id", "canonical", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, canonical string, fingerprint string")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, group_id, copies): group_id the smallest doc_id with the same canonical text.
+def exact_groups(docs: DataFrame, prints: DataFrame | None = None, digits: int = 32) -> DataFrame:
+    """(doc_id, fingerprint, group_id, copies), a row per distinct (doc_id, fingerprint): group_id the smallest doc_id with the same canonical text, copies the rows that have it.
 
-    Bytes are compared by the smallest and largest canonical text of each fingerprint, combined before the shuffle, so
-    that a group of any size costs each task one row; where they differ the group is dealt by text.
+    ``prints``: (doc_id, fingerprint) of each row of docs, if already there. Bytes are compared by the smallest and largest
+    canonical text of each fingerprint that occurs twice; where they differ the group is dealt by text.
     """
-    rows = fingerprints(docs)
-    wide = freeze(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("copies"), (F.min("canonical") == F.max("canonical")).alias("same")), "fingerprints")
-    groups = wide.where("same").drop("same")
-    sound = rows.select("doc_id", "fingerprint").join(groups, "fingerprint")
-    split = rows.join(wide.where("not same").select("fingerprint"), "fingerprint", "left_semi")
+    rows = fingerprints(docs, digits)
+    prints = freeze(rows.select("doc_id", "fingerprint"), "fingerprints") if prints is None else prints
+    sizes = freeze(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("copies")), "fingerprint-sizes")
+    shared = sizes.where("copies > 1").select("fingerprint")
+    if shared.count() <= BROADCAST_PRINTS:  # some 50 bytes each; beyond, both sides are shuffled
+        shared = F.broadcast(shared)
+    met = rows.join(shared, "fingerprint", "left_semi")
+    unlike = freeze(met.groupBy("fingerprint").agg((F.min("canonical") < F.max("canonical")).alias("unlike")).where("unlike").select("fingerprint"), "fingerprint-clashes")
+    sound = prints.distinct().join(sizes, "fingerprint").join(unlike, "fingerprint", "left_anti")
+    if unlike.isEmpty():
+        return sound.select("doc_id", "fingerprint", "group_id", "copies")
+    split = rows.join(unlike, "fingerprint", "left_semi")
     by_text = split.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("copies"))
-    split = split.join(by_text, ["fingerprint", "canonical"])
+    split = split.join(by_text, ["fingerprint", "canonical"]).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"), F.max("copies").alias("copies"))
     return sound.select("doc_id", "fingerprint", "group_id", "copies").union(split.select("doc_id", "fingerprint", "group_id", "copies"))
 
 
@@ -122,10 +136,16 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per document."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs, parts).mapInArrow(_edits, kinds)
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_report(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    report = freeze(edit_report(docs), "edits")
+    groups = exact_groups(docs, report.select("doc_id", "fingerprint"))
+    same = (F.col("r.fingerprint") == F.col("g.fingerprint")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id"))
+    return report.alias("r").join(groups.alias("g"), same, "left").select("r.*", "g.group_id", "g.copies")
