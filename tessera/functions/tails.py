@@ -86,9 +86,21 @@ def t_p(t: Column, df: Column) -> Column:
     return F.pandas_udf(run, "double")(t, df)
 
 
+def normal_p(z: Column) -> Column:
+    """Two-sided p of a standard normal column; null where z is."""
+
+    def run(z: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)) for v in z], dtype=float)
+
+    return F.pandas_udf(run, "double")(z.cast("double"))
+
+
 def chi2_p(x: Column, df: Column) -> Column:
+    """Upper tail; null where x or df is."""
+
     def run(x: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series(gamma_q(df.to_numpy(float) / 2, x.to_numpy(float) / 2))
+        ok = (x.notna() & df.notna()).to_numpy()
+        return pd.Series(gamma_q(df.fillna(1).to_numpy(float) / 2, x.fillna(0).to_numpy(float) / 2)).where(ok, None)
 
     return F.pandas_udf(run, "double")(x, df.cast("double"))
 
@@ -103,4 +115,19 @@ def benjamini_hochberg(rows: DataFrame, p: str, by: list[str], q: str = "q_value
 
 
 def bonferroni(p: Column, tests: Column) -> Column:
-    return F.least(p * tests, F.lit(1.0))
+    """p times the number of tests, 1 at most; null where p is (``least`` alone would skip it)."""
+    return F.when(p.isNotNull(), F.least(p * tests, F.lit(1.0)))
+
+
+def adjusted(rows: DataFrame, p: str, by: list[str], method: str = "fdr", further: int = 1, out: str = "p_fully_adjusted") -> DataFrame:
+    """``rows`` with p adjusted within each group ("fdr", or "bonferroni" by the group's number of known p, or "none"), then times the ``further`` comparisons made beside it, 1 at most."""
+    match method:
+        case "fdr":
+            rows = benjamini_hochberg(rows, p, by, out)
+        case "bonferroni":
+            rows = rows.withColumn(out, bonferroni(F.col(p), F.count(p).over(Window.partitionBy(*by))))
+        case "none":
+            rows = rows.withColumn(out, F.col(p))
+        case _:
+            raise ValueError(method)
+    return rows.withColumn(out, F.when(F.col(out).isNotNull(), F.least(F.col(out) * further, F.lit(1.0))))

@@ -9,12 +9,12 @@ KEY = ["aminoAcid", "vFamilyName", "jGeneName"]
 
 
 def without(rows: DataFrame, removal: DataFrame) -> DataFrame:
-    """Rows whose (nucleotide, aminoAcid) is not in the removal list, a file of a few sequences."""
-    return rows.join(F.broadcast(removal), ["nucleotide", "aminoAcid"], "left_anti").select(*rows.columns)
+    """Rows whose (nucleotide, aminoAcid) is not in the removal list."""
+    return rows.join(removal, ["nucleotide", "aminoAcid"], "left_anti").select(*rows.columns)
 
 
 def only(rows: DataFrame, removal: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(removal), ["nucleotide", "aminoAcid"], "left_semi").select(*rows.columns)
+    return rows.join(removal, ["nucleotide", "aminoAcid"], "left_semi").select(*rows.columns)
 
 
 def with_genes(rows: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def productive() -> Column:
 
 def cleanup_summary(rows: DataFrame, removal: DataFrame) -> DataFrame:
     """Per sample and category the number of rows and their counts, in one pass."""
-    marked = rows.join(F.broadcast(removal.distinct().withColumn("_gone", F.lit(True))), ["nucleotide", "aminoAcid"], "left")
+    marked = rows.join(removal.distinct().withColumn("_gone", F.lit(True)), ["nucleotide", "aminoAcid"], "left")
     kept = F.col("_gone").isNull() & F.col("vFamilyName").isNotNull() & F.col("jGeneName").isNotNull()
     category = F.when(F.col("_gone").isNotNull(), "removed").when(kept & productive(), "productive").when(kept, "nonproductive")
     return marked.withColumn("category", category).where("category IS NOT NULL").groupBy("sample_short", "category").agg(F.count("*").alias("num_sequences"), F.sum("cnt").alias("sum_counts"))
@@ -39,18 +39,12 @@ def merged(rows: DataFrame, key: list[str] | None = None) -> DataFrame:
     return rows.groupBy("sample_short", *(key or KEY)).agg(F.sum("cnt").alias("cnt"))
 
 
+def clonotypes(rows: DataFrame, count: str = "cnt", key: list[str] | None = None) -> DataFrame:
+    """As ``merged``, of counts as they stand in a text file: one that is no number, or is missing, counts 1."""
+    value = F.coalesce(F.col(count).cast("string").try_cast("double"), F.lit(1.0))
+    return rows.groupBy("sample_short", *(key or KEY)).agg(F.sum(value).alias("cnt"))
+
+
 def wide(long: DataFrame, key: list[str], samples: list[str], value: str = "cnt") -> DataFrame:
     """The matrix itself, for export: a column per named sample, 0 where it lacks the key."""
     return long.groupBy(*key).pivot("sample_short", samples).agg(F.first(value)).na.fill(0, samples).orderBy(*key)
-
-
-def annotation(samples: DataFrame) -> DataFrame:
-    """patient, cells, source and genotype of the distinct samples, from their names."""
-    pid = F.substring("sample_short", 2, 3).cast("int") % 3
-    return samples.select("sample_short").distinct().select(
-        "sample_short",
-        F.left("sample_short", F.lit(4)).alias("patient"),
-        F.right("sample_short", F.lit(1)).alias("cells"),
-        F.left("sample_short", F.lit(1)).alias("source"),
-        F.when(pid == 0, "hoDQ2").when(pid == 1, "hoDQ8").otherwise("heDQ2DQ8").alias("genotype"),
-    )

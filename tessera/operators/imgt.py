@@ -81,3 +81,17 @@ def cruciani(spark: SparkSession) -> DataFrame:
         "PP3": [0.31, 0.99, 0.02, -1, 0.19, -0.99, -0.38, 0.49, 0.37, -0.18, -0.24, 1, -0.08, -0.58, -0.07, 0.57, 0.37, -0.47, -0.2, -0.1461],
     }
     return spark.createDataFrame([(a, p, float(v)) for p, row in values.items() for a, v in zip(letters, row)], "AA string, prop string, value double")
+
+
+def position_order() -> dict[str, int]:
+    """Place of every position along the loop, insertions after 111 upwards and before 112 downwards."""
+    longest = positions(25)
+    ends = positions(15)
+    names = [p for p in ends if int(p) <= 111] + [p for p in longest if not p.isdigit()] + [p for p in ends if int(p) > 111]
+    return {p: k for k, p in enumerate(names)}
+
+
+def with_order(rows: DataFrame, position: str = "IMGT_position") -> DataFrame:
+    """``rows`` with ``ord``, the position's place along the loop; null for other names."""
+    look_up = F.create_map(*[x for p, k in position_order().items() for x in (F.lit(p), F.lit(k))])
+    return rows.withColumn("ord", F.try_element_at(look_up, F.col(position)))

@@ -20,6 +20,8 @@ EXCHANGE = {
     "jGeneAllele": "j_allele",
     "dGeneName": "d_gene",
 }
+#: Columns of the exchange format that the vendor's table cannot fill, left out where it has them. Fixed values.
+EMPTIED = ["sequence_aa", "junction", "junction_length", "d_call", "c_call", "productive", "vj_in_frame", "stop_codon", "locus", "duplicate_frequency", "consensus_count", "d_family", "cdr1", "cdr1_aa", "cdr2", "cdr2_aa", "cdr3", "cdr3_aa", "clone_id", "cell_id"]
 #: Sample names sent in error -> the right ones. Fixed values.
 SENT_AS = {"FIN_6828": "FIN_6826", "TN0013371F01": "TN0013372F01"}
 
@@ -27,9 +29,10 @@ SENT_AS = {"FIN_6828": "FIN_6826", "TN0013371F01": "TN0013372F01"}
 def exchange_names(rows: DataFrame) -> DataFrame:
     """Known columns under their exchange names, lengths and counts as long, plus ``productive`` (null with the frame).
 
-    Other columns stay, unless they bear a name that a renamed one takes.
+    Other columns stay, unless they bear a name that a renamed one takes or one of ``EMPTIED``.
     """
-    taken = {EXCHANGE[c] for c in rows.columns if c in EXCHANGE}
+    renamed = {EXCHANGE[c] for c in rows.columns if c in EXCHANGE}
+    taken = renamed | set(EMPTIED)
     out = []
     for c, t in rows.dtypes:
         name = EXCHANGE.get(c, c)
@@ -37,7 +40,7 @@ def exchange_names(rows: DataFrame) -> DataFrame:
             whole = "length" in name or "count" in name
             out.append((F.col(c).try_cast("long") if whole else F.col(c)).alias(name))
     known = rows.select(*out)
-    return known.withColumn("productive", F.col("frame_type") == "In") if "frame_type" in taken else known
+    return known.withColumn("productive", F.col("frame_type") == "In") if "frame_type" in renamed else known
 
 
 def individual_names(people: DataFrame) -> DataFrame:

@@ -31,16 +31,20 @@ def overlap(counts: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 def overlap_draws(draws: DataFrame) -> DataFrame:
     """Jaccard index of every pair of draws within E, within N and between E and N of one patient."""
-    rows = draws.where("iter > 0 AND n > 0").select(F.col("sample_short").alias("s"), "iter", F.concat_ws("|", *[F.upper(F.trim(k)) for k in KEY]).alias("k")).distinct()
+    rows = draws.where("iter > 0 AND n > 0").select(F.col("sample_short").alias("s"), "iter", F.to_json(F.array(*[F.upper(F.trim(k)) for k in KEY])).alias("k")).distinct()
     own = rows.groupBy("s", "iter").agg(F.count("*").alias("u"))
     side = lambda df, i: df.select(*[F.col(c).alias(f"{c}{i}") for c in df.columns])
     cells, patient = (lambda i: F.right(f"s{i}", F.lit(1))), (lambda i: F.left(f"s{i}", F.lit(4)))
-    kind = F.when((cells(1) == cells(2)) & (F.col("s1") < F.col("s2")), F.concat(F.lit("within_"), cells(1))).when((cells(1) == "E") & (cells(2) == "N") & (patient(1) == patient(2)), "E_vs_N")
-    pairs = side(own, 1).crossJoin(F.broadcast(side(own, 2))).withColumn("comparison_type", kind).where("comparison_type IS NOT NULL")
-    met = side(rows, 1).join(side(rows, 2), F.col("k1") == F.col("k2")).where(kind.isNotNull()).groupBy("s1", "iter1", "s2", "iter2").agg(F.count("*").alias("unique_overlap"))
+    # each draw stands in the classes that it can be compared in: its cells, and its patient; the join is on them, so that no other pair is made
+    within, across = F.concat(F.lit("within_"), F.right("s", F.lit(1))), F.concat(F.lit("E_vs_N "), F.left("s", F.lit(4)))
+    classed = lambda df: df.withColumn("c", F.explode(F.array(within, across)))
+    wanted = (F.col("c1").startswith("within_") & (F.col("s1") < F.col("s2"))) | (~F.col("c1").startswith("within_") & (cells(1) == "E") & (cells(2) == "N") & (patient(1) == patient(2)))
+    kind = F.regexp_extract("c1", "^[^ ]+", 0)
+    pairs = side(classed(own), 1).join(side(classed(own), 2), F.col("c1") == F.col("c2")).where(wanted).withColumn("comparison_type", kind).drop("c1", "c2")
+    met = side(classed(rows), 1).join(side(classed(rows), 2), (F.col("k1") == F.col("k2")) & (F.col("c1") == F.col("c2"))).where(wanted).groupBy("s1", "iter1", "s2", "iter2").agg(F.count("*").alias("unique_overlap"))
     out = pairs.join(met, ["s1", "iter1", "s2", "iter2"], "left").na.fill(0, ["unique_overlap"])
     jaccard = F.col("unique_overlap") / (F.col("u1") + F.col("u2") - F.col("unique_overlap"))
-    return out.select(F.col("s1").alias("sample1"), F.col("iter1").alias("subsample1"), F.col("s2").alias("sample2"), F.col("iter2").alias("subsample2"), "unique_overlap", F.col("u1").alias("unique1"), F.col("u2").alias("unique2"), jaccard.alias("jaccard"), "comparison_type")
+    return out.select(F.col("s1").alias("sample1"), F.col("iter1").alias("subsample1"), F.col("s2").alias("sample2"), F.col("iter2").alias("subsample2"), "unique_overlap", F.col("u1").alias("unique1"), F.col("u2").alias("unique2"), jaccard.alias("jaccard"), "comparison_type", F.lit("_".join(k[:4].upper() for k in KEY)).alias("short_id"))
 
 
 def overlap_mean(draw_pairs: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def publicity(draws: DataFrame, groups: DataFrame, key: list[str] | None = None)
     """(key, grp, k, n_shared): samples of the group whose k-th draw has the clonotype; zeros implicit."""
     key = key or KEY
     seen = draws.where("iter > 0 AND n > 0").select(*key, "sample_short", "iter").distinct()
-    return seen.join(F.broadcast(groups), "sample_short").groupBy(*key, "grp", F.col("iter").alias("k")).agg(F.count("*").alias("n_shared"))
+    return seen.join(groups, "sample_short").groupBy(*key, "grp", F.col("iter").alias("k")).agg(F.count("*").alias("n_shared"))
 
 
 def sharing_at_least(shared: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -74,9 +78,10 @@ def sharing_summary(shared: DataFrame, least: int = 2, key: list[str] | None = N
 def pairwise(draws: DataFrame, groups: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Shared clonotypes of each pair of samples and round, within a group or between two."""
     key = key or KEY
-    seen = draws.where("iter > 0 AND n > 0").select(*key, "sample_short", F.col("iter").alias("k")).distinct().join(F.broadcast(groups), "sample_short")
+    seen = draws.where("iter > 0 AND n > 0").select(*key, "sample_short", F.col("iter").alias("k")).distinct().join(groups, "sample_short")
     a = seen.select(*key, "k", F.col("sample_short").alias("sample_a"), F.col("grp").alias("grp_a"))
     b = seen.select(*key, "k", F.col("sample_short").alias("sample_b"), F.col("grp").alias("grp_b"))
-    met = a.join(b, [*key, "k"]).where("(grp_a = grp_b AND sample_a < sample_b) OR (grp_a < grp_b AND sample_a != sample_b)").groupBy("sample_a", "sample_b", "grp_a", "grp_b", "k").agg(F.count("*").alias("shared"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "k")]
+    met = a.alias("a").join(b.alias("b"), same).select("sample_a", "sample_b", "grp_a", "grp_b", "a.k").where("(grp_a = grp_b AND sample_a < sample_b) OR (grp_a < grp_b AND sample_a != sample_b)").groupBy("sample_a", "sample_b", "grp_a", "grp_b", "k").agg(F.count("*").alias("shared"))
     kind = F.when(F.col("grp_a") == F.col("grp_b"), "within").otherwise("between")
     return met.select(kind.alias("type_of_sharing"), F.when(kind == "within", F.col("grp_a")).otherwise(F.concat_ws("|", "grp_a", "grp_b")).alias("grps"), "sample_a", "sample_b", "k", "shared")

@@ -110,3 +110,49 @@ def prevalent(freqs: DataFrame, level: str, share: float = 1 / 3) -> DataFrame:
     seen = freqs.groupBy(level).agg(F.count_if(F.col("value") > 0).alias("_seen"))
     kept = seen.join(F.broadcast(draws), F.col("_seen") >= F.col("_draws") * share).select(level)
     return freqs.join(kept, level, "left_semi").select(*freqs.columns)
+
+
+#: Positions that the loop filter leaves out: the ends of the numbered range. Fixed values.
+OUTER = [*map(str, range(104, 111)), *map(str, range(113, 119))]
+
+
+def inner_positions(stats: DataFrame, p: str = "p_value", most_p: float | None = None, d: str = "cohen_d", least_d: float | None = None) -> DataFrame:
+    """Rows outside ``OUTER``, with p under ``most_p`` and |d| over ``least_d`` where given; nulls pass no such bound."""
+    rows = stats.where(~F.col("IMGT_position").isin(OUTER))
+    rows = rows if most_p is None else rows.where(F.col(p) < most_p)
+    return rows if least_d is None else rows.where(F.abs(d) > least_d)
+
+
+def frequent_everywhere(freqs: DataFrame, by: list[str], least: float = 0.01, value: str = "value") -> DataFrame:
+    """Groups whose smallest value over all samples is ``least`` or more."""
+    return freqs.groupBy(*by).agg(F.min(value).alias("_least")).where(F.col("_least") >= least).select(*by)
+
+
+def annotated_pairs(pairs: DataFrame, sheet: DataFrame, columns: list[str], compare: str | None = None) -> DataFrame:
+    """Pairs (sample1, sample2) with the sheet's columns of both, suffixed 1 and 2, and ``{compare}_comp``, both values in order; a sample without a sheet row keeps nulls."""
+    out = pairs
+    for i in "12":
+        side = sheet.select(F.col("sample_short").alias(f"sample{i}"), *[F.col(c).alias(f"{c}{i}") for c in columns])
+        out = out.join(side, f"sample{i}", "left")
+    if compare:
+        a, b = F.col(f"{compare}1"), F.col(f"{compare}2")
+        out = out.withColumn(f"{compare}_comp", F.when(a.isNotNull() & b.isNotNull(), F.concat_ws("-", F.least(a, b), F.greatest(a, b))))
+    return out.select(*pairs.columns, *[f"{c}{i}" for i in "12" for c in columns], *([f"{compare}_comp"] if compare else []))
+
+
+def values_of_significant(values: DataFrame, stats: DataFrame, index: list[str], hit: Column) -> DataFrame:
+    """The values of each index that has a test which satisfies ``hit``, to be tested again by group."""
+    chosen = stats.where(hit).select(*index).distinct()
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"c.{c}")) for c in index]
+    return values.alias("v").join(chosen.alias("c"), same, "left_semi")
+
+
+def position_matrix(stats: DataFrame, by: list[str], least_freq: float = 0.0) -> DataFrame:
+    """(by, IMGT_position, AA, side, freq): each side's mean frequency of a letter, those under ``least_freq`` left out, as shares of their position's sum.
+
+    ``stats`` may have several rows of a letter (cells): their mean counts.
+    """
+    mean = stats.groupBy(*by, "IMGT_position", "AA").agg(F.avg("mean_a").alias("a"), F.avg("mean_b").alias("b"))
+    long = mean.select(*by, "IMGT_position", "AA", F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("freq")) for s in "ab"])))
+    long = long.where((F.col("freq") >= least_freq) & (F.col("freq") > 0))
+    return long.withColumn("freq", F.col("freq") / F.sum("freq").over(Window.partitionBy(*by, "IMGT_position", "side")))

@@ -1,8 +1,8 @@
 """Weighted sampling with replacement, reproducible under any partitioning.
 
-``subsample`` draws multinomially in numpy, one group per sample with a seed of its own; a sample is one sequencing run,
-so a group has a run's clonotypes and no more. ``subsample_hashed`` draws by md5 in plain DataFrame functions, which any
-SQL engine repeats exactly.
+``subsample`` draws multinomially in numpy: of a sample's parts (clonotypes dealt by hash) the totals first, then within each
+part, so that no task holds a whole sample. ``subsample_hashed`` draws by md5 in plain DataFrame functions, which any SQL engine
+repeats exactly.
 """
 
 from __future__ import annotations
@@ -21,53 +21,86 @@ def _rng(*parts) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.md5("|".join(map(str, parts)).encode()).digest()[:8], "big"))
 
 
-def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf[pdf["cnt"] > 0].sort_values(KEY, na_position="first", ignore_index=True)
+#: Clonotypes of a sample's part, about, for draws in numpy; slices of its cumulated counts and letters of the leading key, for hashed ones.
+PART_ROWS, SLICES, LETTERS = 100_000, 16, 6
 
 
-def subsample(counts: DataFrame, depth: int, iterations: int, seed: int = 42) -> DataFrame:
-    """(sample_short, key, iter, n): iteration 0 is the original; drawn zeros are implicit."""
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _sorted(pdf)
-        out = [rows.assign(iter=0, n=rows["cnt"])]
-        if len(rows):
-            p = rows["cnt"].to_numpy(float) / rows["cnt"].sum()
-            for i in range(1, iterations + 1):
-                n = _rng(seed, rows["sample_short"].iloc[0], i).multinomial(depth, p)
-                out.append(rows[n > 0].assign(iter=i, n=n[n > 0]))
-        return pd.concat(out)[["sample_short", *KEY, "iter", "n"]]
+def draw_counts(counts: DataFrame, iterations: int, seed: int = 42, part_rows: int = PART_ROWS) -> DataFrame:
+    """(sample_short, key, depth, iter, n) at each of the depths in column ``depths``; drawn zeros are implicit."""
+    some = counts.where("cnt > 0")
+    parts = some.groupBy("sample_short").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
+    rows = some.join(parts, "sample_short").withColumn("part", F.pmod(F.xxhash64(*KEY), F.col("parts")).cast("int"))
+    depths = F.array_sort(F.array_distinct(F.first("depths")))
+    totals = rows.groupBy("sample_short", "part").agg(F.sum("cnt").alias("size"), depths.alias("depths"))
 
-    return counts.select("sample_short", *KEY, "cnt").groupBy("sample_short").applyInPandas(draw, "sample_short string, aminoAcid string, vFamilyName string, jGeneName string, iter int, n long")
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values("part"), []
+        p = pdf["size"].to_numpy(float) / pdf["size"].sum()
+        for depth in pdf["depths"].iloc[0]:
+            n = [_rng(seed, pdf["sample_short"].iloc[0], depth, i).multinomial(depth, p) for i in range(1, iterations + 1)]
+            out += [(pdf["sample_short"].iloc[0], part, depth, list(row)) for part, row in zip(pdf["part"], np.array(n).T.reshape(len(pdf), -1))]
+        return pd.DataFrame(out, columns=["sample_short", "part", "depth", "shares"])
 
+    dealt = totals.groupBy("sample_short").applyInPandas(deal, "sample_short string, part int, depth long, shares array<long>")
+    dealt = dealt.groupBy("sample_short", "part").agg(F.sort_array(F.collect_list(F.struct("depth", "shares"))).alias("plan"))
 
-def draw_counts(counts: DataFrame, iterations: int, seed: int = 42) -> DataFrame:
-    """(sample_short, key, depth, iter, n) at each of the depths in column ``depths``."""
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, out = _sorted(pdf), []
-        if len(rows):
+    def draw(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows, out = left.sort_values(KEY, na_position="first", ignore_index=True), []
+        if len(rows) and len(right):
             p = rows["cnt"].to_numpy(float) / rows["cnt"].sum()
-            for depth in rows["depths"].iloc[0]:
-                for i in range(1, iterations + 1):
-                    n = _rng(seed, rows["sample_short"].iloc[0], depth, i).multinomial(depth, p)
-                    out.append(rows[n > 0].assign(depth=depth, iter=i, n=n[n > 0]))
+            for step in right["plan"].iloc[0]:
+                for i, share in enumerate(step["shares"], 1):
+                    n = _rng(seed, *key, step["depth"], i).multinomial(share, p)
+                    out.append(rows[n > 0].assign(depth=step["depth"], iter=i, n=n[n > 0]))
         columns = ["sample_short", *KEY, "depth", "iter", "n"]
         return pd.concat(out)[columns] if out else pd.DataFrame({c: [] for c in columns})
 
     schema = "sample_short string, aminoAcid string, vFamilyName string, jGeneName string, depth long, iter int, n long"
-    return counts.select("sample_short", *KEY, "cnt", "depths").groupBy("sample_short").applyInPandas(draw, schema)
+    by = ["sample_short", "part"]
+    return rows.select(*by, *KEY, "cnt").groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(draw, schema)
+
+
+def subsample(counts: DataFrame, depth: int, iterations: int, seed: int = 42) -> DataFrame:
+    """(sample_short, key, iter, n): iteration 0 is the original; drawn zeros are implicit."""
+    columns = ["sample_short", *KEY, "iter", "n"]
+    drawn = draw_counts(counts.withColumn("depths", F.array(F.lit(depth).cast("long"))), iterations, seed)
+    own = counts.where("cnt > 0").select("sample_short", *KEY, F.lit(0).alias("iter"), F.col("cnt").cast("long").alias("n"))
+    return own.union(drawn.select(*columns))
+
+
+def cumulated(counts: DataFrame) -> DataFrame:
+    """Rows with their stretch [lo, hi) of the sample's cumulated counts in the order of the key, and the sample's total.
+
+    Sums run within the key's first letters and over the sums of those, so that a sample is not one task's.
+    """
+    rows = counts.where("cnt > 0").select("sample_short", *KEY, "cnt", F.substring(KEY[0], 1, LETTERS).alias("block"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = rows.groupBy("sample_short", "block").agg(F.sum("cnt").alias("size"))
+    whole = Window.partitionBy("sample_short")
+    blocks = blocks.select("sample_short", "block", (F.sum("size").over(upto(whole.orderBy("block"))) - F.col("size")).alias("before"), F.sum("size").over(whole).alias("total"))
+    inner = F.sum("cnt").over(upto(Window.partitionBy("sample_short", "block").orderBy(*KEY)))
+    same = (F.col("r.sample_short") == F.col("b.sample_short")) & F.col("r.block").eqNullSafe(F.col("b.block"))
+    out = rows.withColumn("hi", inner).alias("r").join(blocks.alias("b"), same)
+    high = F.col("before") + F.col("hi")
+    return out.select("r.sample_short", *KEY, "cnt", high.alias("hi"), (high - F.col("cnt")).alias("lo"), "total")
 
 
 def subsample_hashed(counts: DataFrame, depth: int, iterations: int, seed: int = 42) -> DataFrame:
-    """As ``subsample``, each draw the clonotype whose stretch of the cumulated counts holds a hashed uniform number."""
-    order = Window.partitionBy("sample_short").orderBy(*KEY)
-    high = F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    stretch = counts.where("cnt > 0").select("sample_short", *KEY, "cnt", high.alias("hi"), (high - F.col("cnt")).alias("lo"))
-    total = counts.groupBy("sample_short").agg(F.sum("cnt").alias("total"))
+    """As ``subsample``, each draw the clonotype whose stretch of the cumulated counts holds a hashed uniform number.
+
+    Stretches and draws are sorted together, slice by slice of the cumulated counts, and each draw takes the last stretch that
+    starts before it: no draw is compared with more than that.
+    """
+    stretch = cumulated(counts)
+    total = counts.where("cnt > 0").groupBy("sample_short").agg(F.sum("cnt").alias("total"))
     draws = total.select("sample_short", "total", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iter")).select("*", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("j"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "sample_short", "iter", "j")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    draws = draws.select(F.col("sample_short").alias("s"), "iter", (u * F.col("total")).alias("x"))
-    hit = stretch.join(draws, (F.col("sample_short") == F.col("s")) & (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
+    slice_of = lambda at: F.expr(f"({at}) * {SLICES} div total")
+    draws = draws.select("sample_short", "iter", F.floor(u * F.col("total")).cast("long").alias("at"), "total").withColumn("slice", slice_of("at"))
+    starts = stretch.select("sample_short", F.struct(*KEY).alias("own"), F.col("lo").alias("at"), F.explode(F.sequence(slice_of("lo"), slice_of("hi - 1"))).alias("slice"))
+    none = F.lit(None).cast(starts.schema["own"].dataType)
+    rows = starts.select("sample_short", "slice", "at", F.lit(0).alias("iter"), "own").union(draws.select("sample_short", "slice", "at", "iter", none.alias("own")))
+    last = F.last("own", True).over(Window.partitionBy("sample_short", "slice").orderBy("at", "iter").rowsBetween(Window.unboundedPreceding, 0))
+    hit = rows.select("sample_short", "iter", last.alias("own")).where("iter > 0").select("sample_short", "own.*", "iter")
     drawn = hit.groupBy("sample_short", *KEY, "iter").agg(F.count("*").alias("n"))
     return stretch.select("sample_short", *KEY, F.lit(0).alias("iter"), F.col("cnt").alias("n")).union(drawn)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import clean, comparisons, diversity, imgt, overlap, sampling
-from tessera.sources.adapter import REMOVED, REPERTOIRE, removal, repertoire
+from tessera.sources.adapter import REMOVED, REPERTOIRE, annotation, removal, repertoire
 
 KEY = clean.KEY
 DEPTH, DRAWS, SEED = 50, 3, 42
@@ -82,7 +82,7 @@ def _merged(spark, d):
 
 
 def _ann(spark, d):
-    return clean.annotation(_rep(spark, d))
+    return annotation(_rep(spark, d))
 
 
 def _sub(spark, d):
@@ -137,7 +137,7 @@ add("slice_max", "SELECT sample_short, aminoAcid, cnt FROM (SELECT *, rank() OVE
 add("cumsum_cdf", """, a AS (SELECT sample_short, length(aminoAcid) AS len, sum(cnt)::BIGINT AS c FROM merged GROUP BY ALL)
 SELECT sample_short, len::INT AS len, sum(c) OVER (PARTITION BY sample_short ORDER BY len) / sum(c) OVER (PARTITION BY sample_short) AS cdf FROM a""", ("cdf",))(
     lambda s, d: _merged(s, d).groupBy("sample_short", F.length("aminoAcid").alias("len")).agg(F.sum("cnt").alias("c")).select("sample_short", "len", (F.sum("c").over(Window.partitionBy("sample_short").orderBy("len")) / F.sum("c").over(Window.partitionBy("sample_short"))).alias("cdf")))
-add("join_annotation", "SELECT m.*, patient, cells, genotype FROM merged m LEFT JOIN ann USING (sample_short)")(lambda s, d: _merged(s, d).join(F.broadcast(_ann(s, d).drop("source")), "sample_short", "left").select("sample_short", *KEY, "cnt", "patient", "cells", "genotype"))
+add("join_annotation", "SELECT m.*, patient, cells, genotype FROM merged m LEFT JOIN ann USING (sample_short)")(lambda s, d: _merged(s, d).join(_ann(s, d).drop("source"), "sample_short", "left").select("sample_short", *KEY, "cnt", "patient", "cells", "genotype"))
 
 _OVER = """, r AS (SELECT sample_short, {key}, sum(cnt)::BIGINT AS cnt FROM merged GROUP BY ALL), o AS (SELECT sample_short, count(*) AS u, sum(cnt)::BIGINT AS c FROM r GROUP BY 1),
 b AS (SELECT x.sample_short AS A, y.sample_short AS B, count(*) AS n, sum(x.cnt)::BIGINT AS ca, sum(y.cnt)::BIGINT AS cb FROM r x JOIN r y ON {on} AND x.sample_short < y.sample_short GROUP BY ALL)
@@ -167,7 +167,7 @@ SELECT i.sample_short, i.vFamilyName, median(coalesce(c, 0)) AS median FROM i, r
 _DRAWN = """, k AS (SELECT DISTINCT sample_short AS s, iter, concat_ws('|', upper(trim(aminoAcid)), upper(trim(vFamilyName)), upper(trim(jGeneName))) AS k FROM sub WHERE iter > 0), u AS (SELECT s, iter, count(*) AS u FROM k GROUP BY ALL),
 p AS (SELECT a.s AS s1, a.iter AS i1, b.s AS s2, b.iter AS i2, a.u AS u1, b.u AS u2, CASE WHEN right(a.s, 1) = right(b.s, 1) AND a.s < b.s THEN 'within_' || right(a.s, 1) WHEN right(a.s, 1) = 'E' AND right(b.s, 1) = 'N' AND left(a.s, 4) = left(b.s, 4) THEN 'E_vs_N' END AS t FROM u a, u b),
 o AS (SELECT a.s AS s1, a.iter AS i1, b.s AS s2, b.iter AS i2, count(*) AS n FROM k a JOIN k b USING (k) GROUP BY ALL),
-w AS (SELECT s1 AS sample1, i1 AS subsample1, s2 AS sample2, i2 AS subsample2, coalesce(n, 0) AS unique_overlap, u1 AS unique1, u2 AS unique2, coalesce(n, 0) / (u1 + u2 - coalesce(n, 0)) AS jaccard, t AS comparison_type FROM p LEFT JOIN o USING (s1, i1, s2, i2) WHERE t IS NOT NULL)"""
+w AS (SELECT s1 AS sample1, i1 AS subsample1, s2 AS sample2, i2 AS subsample2, coalesce(n, 0) AS unique_overlap, u1 AS unique1, u2 AS unique2, coalesce(n, 0) / (u1 + u2 - coalesce(n, 0)) AS jaccard, t AS comparison_type, 'AMIN_VFAM_JGEN' AS short_id FROM p LEFT JOIN o USING (s1, i1, s2, i2) WHERE t IS NOT NULL)"""
 add("overlap_subs", _DRAWN + " SELECT * FROM w", ("jaccard",))(lambda s, d: overlap.overlap_draws(_sub(s, d)))
 add("overlap_mean", _DRAWN + " SELECT sample1, sample2, comparison_type, avg(jaccard) AS mean_jaccard, median(jaccard) AS median_jaccard FROM w GROUP BY ALL", ("mean_jaccard", "median_jaccard"))(lambda s, d: overlap.overlap_mean(overlap.overlap_draws(_sub(s, d))))
 _PUB = """, sh AS (SELECT aminoAcid, vFamilyName, jGeneName, genotype AS grp, iter AS k, count(*) AS n_shared FROM sub JOIN ann USING (sample_short) WHERE iter > 0 GROUP BY ALL),
@@ -203,7 +203,7 @@ add("weighted_mean_property", _prop_sql() + " SELECT * FROM pm", ("mean_value",)
 
 def _positional(s, d):
     rows = imgt.aa_table(imgt.residues(_merged(s, d))).select("sample_short", "IMGT_position", "AA", F.col("counts_freq").alias("value"))
-    return imgt.min_support(rows, ["IMGT_position", "AA"], 0.0, 5, "value").join(F.broadcast(_ann(s, d).drop("source")), "sample_short")
+    return imgt.min_support(rows, ["IMGT_position", "AA"], 0.0, 5, "value").join(_ann(s, d).drop("source"), "sample_short")
 
 
 _TEST = """, g AS (SELECT sample_short, IMGT_position, AA_ AS AA, sum(cnt) AS c FROM res GROUP BY ALL), f AS (SELECT sample_short, IMGT_position, AA, c / sum(c) OVER (PARTITION BY sample_short, IMGT_position) AS value FROM g),
@@ -229,7 +229,7 @@ SELECT IMGT_position, AA, stratum, n_pairs, mean_diff, sd_diff, CASE WHEN sd_dif
 
 
 def _prop_test(s, d):
-    return _props(s, d).join(F.broadcast(_ann(s, d).drop("source")), "sample_short")
+    return _props(s, d).join(_ann(s, d).drop("source"), "sample_short")
 
 
 _PROP_TEST = _prop_sql() + _TEST + ", pt AS (SELECT pm.*, patient, cells, genotype FROM pm JOIN ann USING (sample_short))"
@@ -264,7 +264,7 @@ def _bh(s, d):
 def _lengths(s, d):
     rows = _merged(s, d).groupBy("sample_short", F.length("aminoAcid").alias("len")).agg(F.sum("cnt").alias("c"))
     share = rows.select("sample_short", "len", (F.col("c") / F.sum("c").over(Window.partitionBy("sample_short"))).alias("value"))
-    return share.join(F.broadcast(_ann(s, d)), "sample_short").select("sample_short", "cells", "genotype", "len", "value")
+    return share.join(_ann(s, d), "sample_short").select("sample_short", "cells", "genotype", "len", "value")
 
 
 _LEN = """, lf AS (SELECT sample_short, cells, genotype, len, c / sum(c) OVER (PARTITION BY sample_short) AS value FROM (SELECT sample_short, length(aminoAcid) AS len, sum(cnt) AS c FROM merged GROUP BY ALL) JOIN ann USING (sample_short))"""
@@ -284,7 +284,7 @@ SELECT round(max((NN - 1) / NN) * sum(s / n), 6) AS A2, count(*) AS k FROM z""",
 
 def _usage(s, d):
     rows = _merged(s, d).groupBy("sample_short", "vFamilyName").agg(F.sum("cnt").alias("c"))
-    return rows.select("sample_short", "vFamilyName", "c").join(F.broadcast(_ann(s, d)), "sample_short")
+    return rows.select("sample_short", "vFamilyName", "c").join(_ann(s, d), "sample_short")
 
 
 _RANK = ", v AS (SELECT sample_short, vFamilyName, sum(cnt)::BIGINT AS c, any_value(cells) AS cells, any_value(genotype) AS genotype FROM merged JOIN ann USING (sample_short) GROUP BY ALL)"

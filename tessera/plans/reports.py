@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.tails import benjamini_hochberg, t_p
+from tessera.functions.tails import adjusted, benjamini_hochberg, t_p
 from tessera.operators import clean, comparisons, diversity, imgt, metadata, multivariate, overlap, reports, sampling
 from tessera.plans import queries as q
 from tessera.plans.queries import add
@@ -53,7 +53,7 @@ add("bonferroni_count", _TT + " SELECT cells, tag, count(*) AS tests FROM (SELEC
 
 def _by_length(s, d, family):
     rows = imgt.aa_table(imgt.residues(q._merged(s, d)), True, family)
-    return rows.withColumnRenamed("counts_freq", "value").join(F.broadcast(q._ann(s, d).drop("source")), "sample_short")
+    return rows.withColumnRenamed("counts_freq", "value").join(q._ann(s, d).drop("source"), "sample_short")
 
 
 _FREQ = "SELECT g.*, c / sum(c) OVER (PARTITION BY sample_short, IMGT_position, {by}) AS value FROM (SELECT sample_short, IMGT_position, {by}, AA_ AS AA, sum(cnt) AS c FROM res GROUP BY ALL) g"
@@ -136,7 +136,7 @@ add("pairwise_np")(lambda s, d: overlap.pairwise(sampling.subsample(q._merged(s,
 
 def _usage_rows(s, d):
     """(long usage per draw with labels, feature names)."""
-    long = reports.prevalent(_families(s, d), "grp").join(F.broadcast(q._ann(s, d).drop("source")), "sample_short")
+    long = reports.prevalent(_families(s, d), "grp").join(q._ann(s, d).drop("source"), "sample_short")
     return long, multivariate.features(long, "grp")
 
 
@@ -176,3 +176,53 @@ def _glm(s, d):
     wide, columns, _ = _split(s, d)
     model = multivariate.classifier("glm", wide.where("NOT held_out"), "genotype", columns)
     return model.transform(wide.where("held_out")).select("sample_short", "iter", "genotype", "predicted")
+
+
+add("ttest_pooled_p")(lambda s, d: comparisons.with_t_p(q._pooled(s, d), ["cells", "tag"]))
+add("ttest_paired_p")(lambda s, d: comparisons.with_t_p(comparisons.ttest_paired(q._positional(s, d), ["IMGT_position", "AA"]), ["stratum"]))
+add("welch_p")(lambda s, d: comparisons.with_t_p(q._welch(s, d), ["cells", "tag"]))
+add("wilcoxon_cells_p")(lambda s, d: comparisons.with_z_p(comparisons.wilcoxon(q._usage(s, d).select("vFamilyName", F.col("cells").alias("grp"), F.col("c").alias("value")), ["vFamilyName"], ("E", "N"))))
+add("kruskal_genotype_p")(lambda s, d: comparisons.with_h_p(comparisons.kruskal(q._usage(s, d).select("vFamilyName", F.col("genotype").alias("grp"), F.col("c").alias("value")), ["vFamilyName"])))
+add("ad_test")(lambda s, d: comparisons.ad_test(q._lengths(s, d), ["cells"]))
+add("ad_test_all_cells")(lambda s, d: comparisons.ad_test(q._lengths(s, d).withColumn("cells", F.lit("all")), ["cells"], n_perm=200))
+
+
+def _wide_props(s, d):
+    rows = q._prop_test(s, d)
+    props = [r[0] for r in imgt.cruciani(s).select("prop").distinct().orderBy("prop").collect()]
+    return rows.groupBy("sample_short", "genotype", "cells", "IMGT_position").pivot("prop", props).agg(F.first("mean_value"))
+
+
+add("props_hotelling")(lambda s, d: comparisons.property_tables(_wide_props(s, d), ["cells", "IMGT_position"])[0])
+add("props_collate")(lambda s, d: comparisons.property_tables(_wide_props(s, d), ["cells", "IMGT_position"])[1])
+
+_PAIRS = """, tp(tag, genotype, side) AS (VALUES ('heDQ2DQ8-hoDQ2','heDQ2DQ8','a'), ('heDQ2DQ8-hoDQ2','hoDQ2','b'), ('heDQ2DQ8-hoDQ8','heDQ2DQ8','a'), ('heDQ2DQ8-hoDQ8','hoDQ8','b'), ('hoDQ2-hoDQ8','hoDQ2','a'), ('hoDQ2-hoDQ8','hoDQ8','b')),
+ws AS (SELECT cells, len, tag, count(*) FILTER (side = 'a') AS n_a, count(*) FILTER (side = 'b') AS n_b, avg(value) FILTER (side = 'a') AS mean_a, avg(value) FILTER (side = 'b') AS mean_b,
+ var_samp(value) FILTER (side = 'a') AS va, var_samp(value) FILTER (side = 'b') AS vb FROM lf JOIN tp USING (genotype) GROUP BY ALL)
+SELECT cells, len::INT AS len, tag, n_a, n_b, mean_a, mean_b, CASE WHEN n_a >= 2 AND n_b >= 2 AND va / n_a + vb / n_b > 0 THEN round((mean_a - mean_b) / sqrt(va / n_a + vb / n_b), 6) END AS t FROM ws"""
+add("welch_all_pairs", q._LEN + _PAIRS, ("mean_a", "mean_b", "t"))(
+    lambda s, d: comparisons.welch(q._lengths(s, d), ["cells", "len"], tags=comparisons.all_pairs(_GENOTYPES)).select("cells", "len", "tag", "n_a", "n_b", "mean_a", "mean_b", F.round("t", 6).alias("t")))
+add("min_freq_lengths", q._LEN + " SELECT cells, len::INT AS len FROM lf GROUP BY ALL HAVING min(value) >= 0.01")(lambda s, d: reports.frequent_everywhere(q._lengths(s, d), ["cells", "len"]))
+add("inner_positions", _TT + " SELECT cells, IMGT_position, AA, tag, n_a, n_b, mean_a, mean_b, cohen_d, t, n_a + n_b - 2 AS df FROM tt WHERE IMGT_position NOT IN (" + ", ".join(f"'{p}'" for p in reports.OUTER) + ") AND abs(cohen_d) > 0.8", ("mean_a", "mean_b", "cohen_d", "t"))(
+    lambda s, d: reports.inner_positions(_plain(s, d), least_d=0.8))
+add("annotated_pairs", q._DRAWN + """, m AS (SELECT sample1, sample2, comparison_type, avg(jaccard) AS mean_jaccard FROM w GROUP BY ALL)
+SELECT m.*, a.genotype AS genotype1, a.patient AS patient1, b.genotype AS genotype2, b.patient AS patient2, least(a.genotype, b.genotype) || '-' || greatest(a.genotype, b.genotype) AS genotype_comp FROM m LEFT JOIN ann a ON sample1 = a.sample_short LEFT JOIN ann b ON sample2 = b.sample_short""", ("mean_jaccard",))(
+    lambda s, d: reports.annotated_pairs(overlap.overlap_mean(overlap.overlap_draws(q._sub(s, d))).drop("median_jaccard"), q._ann(s, d), ["genotype", "patient"], "genotype"))
+add("logo_matrix", _TT + """, pm AS (SELECT tag, IMGT_position, AA, avg(mean_a) AS a, avg(mean_b) AS b FROM tt GROUP BY ALL), lg AS (SELECT tag, IMGT_position, AA, 'a' AS side, a AS freq FROM pm UNION ALL SELECT tag, IMGT_position, AA, 'b', b FROM pm)
+SELECT tag, IMGT_position, AA, side, freq / sum(freq) OVER (PARTITION BY tag, IMGT_position, side) AS freq FROM lg WHERE freq >= 0.01""", ("freq",))(lambda s, d: reports.position_matrix(_plain(s, d), ["tag"], 0.01))
+_ORDER = imgt.position_order()
+add("imgt_order", "SELECT DISTINCT IMGT_position, CASE IMGT_position " + " ".join(f"WHEN '{p}' THEN {k}" for p, k in _ORDER.items()) + " END AS ord FROM res")(lambda s, d: imgt.with_order(imgt.residues(q._merged(s, d)).select("IMGT_position").distinct()))
+_AGAIN = _TT + """, hi AS (SELECT DISTINCT cells, IMGT_position, AA FROM tt WHERE tag = 'oo' AND abs(t) >= 1.5), av AS (SELECT tr.* REPLACE (round(value, 9) AS value) FROM tr SEMI JOIN hi USING (cells, IMGT_position, AA) WHERE genotype IN ('hoDQ2', 'hoDQ8')),
+ar AS (SELECT *, rank() OVER (PARTITION BY cells, IMGT_position, AA ORDER BY value) + (count(*) OVER (PARTITION BY cells, IMGT_position, AA, value) - 1) / 2 AS r FROM av),
+ag AS (SELECT cells, IMGT_position, AA, count(*) FILTER (genotype = 'hoDQ2') AS n1, count(*) FILTER (genotype = 'hoDQ8') AS n2, sum(r) FILTER (genotype = 'hoDQ2') AS r1 FROM ar GROUP BY ALL)
+SELECT cells, IMGT_position, AA, n1, n2, r1 - n1 * (n1 + 1) / 2 AS U FROM ag WHERE n1 > 0 AND n2 > 0"""
+
+
+@add("signif_values", _AGAIN, ("U",))
+def _signif_values(s, d):
+    stats = _plain(s, d)
+    rows = reports.values_of_significant(q._positional(s, d), stats, INDEX, (F.col("tag") == "oo") & (F.abs("t") >= 1.5))
+    return comparisons.wilcoxon(rows.select(*INDEX, F.col("genotype").alias("grp"), F.round("value", 9).alias("value")), INDEX, ("hoDQ2", "hoDQ8")).drop("z")
+
+
+add("p_adjust")(lambda s, d: adjusted(_plain(s, d).transform(comparisons.with_t_p), "p_value", ["cells", "tag"], "bonferroni", 3))

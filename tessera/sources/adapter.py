@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPERTOIRE = """
 SELECT concat(CASE WHEN pid % 2 = 0 THEN 'F' ELSE 'T' END, lpad(cast(pid AS string), 3, '0'),
@@ -28,3 +29,15 @@ def repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def removal(rows: DataFrame) -> DataFrame:
     return rows.where(f"nucleotide IN ({', '.join(REMOVED)})").select("nucleotide", "aminoAcid").distinct()
+
+
+def annotation(samples: DataFrame) -> DataFrame:
+    """patient, cells, source and genotype of the distinct samples, from their made-up names; real ones come with a sheet."""
+    pid = F.substring("sample_short", 2, 3).cast("int") % 3
+    return samples.select("sample_short").distinct().select(
+        "sample_short",
+        F.left("sample_short", F.lit(4)).alias("patient"),
+        F.right("sample_short", F.lit(1)).alias("cells"),
+        F.left("sample_short", F.lit(1)).alias("source"),
+        F.when(pid == 0, "hoDQ2").when(pid == 1, "hoDQ8").otherwise("heDQ2DQ8").alias("genotype"),
+    )

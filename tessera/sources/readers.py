@@ -4,30 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-REARRANGEMENT = T.StructType(
-    [
-        T.StructField("nucleotide", T.StringType()),
-        T.StructField("aminoAcid", T.StringType()),
-        T.StructField("count (templates/reads)", T.LongType()),
-        T.StructField("cdr3Length", T.IntegerType()),
-        T.StructField("vFamilyName", T.StringType()),
-        T.StructField("vGeneName", T.StringType()),
-        T.StructField("jFamilyName", T.StringType()),
-        T.StructField("jGeneName", T.StringType()),
-        T.StructField("sequenceStatus", T.StringType()),
-    ]
-)
+
+#: Column of a rearrangement file -> its name and type here.
+REARRANGEMENT = {
+    "nucleotide": ("nucleotide", "string"),
+    "aminoAcid": ("aminoAcid", "string"),
+    "count (templates/reads)": ("cnt", "bigint"),
+    "cdr3Length": ("cdr3Length", "int"),
+    "vFamilyName": ("vFamilyName", "string"),
+    "vGeneName": ("vGeneName", "string"),
+    "jFamilyName": ("jFamilyName", "string"),
+    "jGeneName": ("jGeneName", "string"),
+    "sequenceStatus": ("sequenceStatus", "string"),
+}
+
+
+def sample_of_file() -> Column:
+    """The file's name up to its first dot or underscore."""
+    return F.regexp_extract("_metadata.file_name", r"^([^_.]+)", 1)
+
+
+def read_tsv(spark: SparkSession, paths: str | list[str], columns: dict[str, tuple[str, str]], sample: Column | None = None) -> DataFrame:
+    """(sample_short, the columns' new names) of (gzipped) TSVs with headers, file by file.
+
+    ``columns``: header -> (name, type). Columns are found by name in each file: others are not read, their order does not
+    matter, and one that a file lacks is null there, as is a value that is not of the type. Empty values are null.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", F.lit(1).alias("_")).select("path")
+    heads = spark.read.text(paths, wholetext=False).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = heads.where("at = 0").groupBy("path").agg(F.first("value").alias("head"))
+    groups: dict[str, list[str]] = {}
+    for r in first.collect():  # a header per file
+        groups.setdefault((r["head"] or "").removeprefix("﻿"), []).append(r["path"])
+    del files
+    out = None
+    for head, own in sorted(groups.items()):
+        names = [h.strip().strip('"') for h in head.split("\t")]
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        rows = spark.read.schema(schema).option("sep", "\t").option("header", True).option("enforceSchema", True).csv(own)
+        at = {n: f"c{i}" for i, n in reversed(list(enumerate(names)))}
+        value = lambda h, t: F.expr(f"try_cast(nullif(trim({at[h]}), '') as {t})") if h in at else F.lit(None).cast(t)  # noqa: B023, E731
+        part = rows.select((sample_of_file() if sample is None else sample).alias("sample_short"), *[value(h, t).alias(n) for h, (n, t) in columns.items()])
+        out = part if out is None else out.union(part)
+    if out is None:
+        return spark.createDataFrame([], "sample_short string, " + ", ".join(f"`{n}` {t}" for n, t in columns.values()))
+    return out
 
 
 def read_rearrangements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All samples' (gzipped) TSVs as one table; the sample is the file name up to its first dot or underscore."""
-    rows = spark.read.schema(REARRANGEMENT).option("sep", "\t").option("header", True).option("enforceSchema", False).csv(paths)
-    name = F.regexp_extract("_metadata.file_name", r"^([^_.]+)", 1)
-    return rows.select(name.alias("sample_short"), "*").withColumnRenamed("count (templates/reads)", "cnt")
+    """All samples' files as one table; the sample is the file name up to its first dot or underscore."""
+    return read_tsv(spark, paths, REARRANGEMENT)
+
+
+def read_lengths(spark: SparkSession, paths: str | list[str], value: str = "mean_subsamples") -> DataFrame:
+    """(sample_short, len, value) from frequency summaries (``param``, ``group``, ...): the rows of CDR3 lengths, unparsable ones dropped."""
+    rows = read_tsv(spark, paths, {"param": ("param", "string"), "group": ("len", "int"), value: ("value", "double")}, F.regexp_extract("_metadata.file_name", r"^(.*?)_[^_]*$", 1))
+    return rows.where("param = 'cdr3_length' AND len IS NOT NULL AND value IS NOT NULL").select("sample_short", "len", "value")
 
 
 def read_removal(spark: SparkSession, path: str) -> DataFrame:
@@ -35,16 +69,22 @@ def read_removal(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delimiter_of(head: str, default: str = ",") -> str:
-    """The most frequent of tab, comma, semicolon and bar in a first line; comma where there is none."""
-    line = head.splitlines()[0] if head else ""
+    """The most frequent of tab, comma, semicolon and bar in a first line; where there is none, a blank if the line has one, else comma."""
+    line = head.splitlines()[0].strip() if head else ""
     best = max("\t,;|", key=line.count)
-    return best if best in line else default
+    return best if best in line else " " if " " in line else default
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A sheet with a header, all columns strings, the separator told from its first line."""
+    """A sheet with a header, all columns strings, the separator told from its first line; runs of blanks separate once."""
     head = spark.read.text(path).limit(1).collect()
-    return spark.read.option("header", True).option("sep", delimiter_of(head[0][0] if head else "")).csv(path)
+    mark = delimiter_of(head[0][0] if head else "")
+    if mark != " ":
+        return spark.read.option("header", True).option("sep", mark).csv(path)
+    names = head[0][0].split()
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("v"))
+    rows = lines.where(F.concat_ws(" ", "v") != " ".join(names))
+    return rows.select(*[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def samplesheet(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -86,6 +126,16 @@ def groups_from_yaml(text: str) -> dict[str, list[str]]:
     return {str(k): [str(s) for s in v] for k, v in spec.items()}
 
 
+def groups_from_sheet(sheet: DataFrame, group: str, sample: str = "sample_short", renames: dict[str, str] | None = None) -> dict[str, list[str]]:
+    """Group -> its samples in the order of names, from a sheet of samples; rows with a blank group or sample are left out, groups renamed as said."""
+    name = F.trim(F.col(group))
+    rows = sheet.select(name.alias("g"), F.trim(F.col(sample)).alias("s")).where("g != '' AND s != ''").distinct().orderBy("g", "s").collect()
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault((renames or {}).get(r["g"], r["g"]), []).append(r["s"])
+    return out
+
+
 def groups_frame(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame([(g, s) for g, members in groups.items() for s in members], "grp string, sample_short string")
 
@@ -98,6 +148,11 @@ def write_tsv(df: DataFrame, path: str, gzip: bool = True) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
 
 
+def publish(df: DataFrame, path: str, by: tuple[str, ...] = ("sample_short",)) -> None:
+    """Parquet under ``path``, a folder per value of ``by``, which a reader prunes by; only folders with new rows are replaced."""
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def require(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
