@@ -63,6 +63,45 @@ def test_near_duplicates_stage(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_groups_around_one_text_and_loose_ones(spark, monkeypatch):
+    """Copies of one text that are not alike among themselves, the same without that text, and bands cut into parts."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    rows = []
+    for hub in (True, False):
+        base = [word() for _ in range(80)]
+        rows += [base] * hub
+        for _ in range(150):
+            copy = list(base)
+            for at in rng.sample(range(10, 70), rng.choice([1, 1, 2])):
+                copy[at] = word()
+            rows.append(copy)
+    rng.shuffle(rows)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    want = brute_groups(rows)
+    monkeypatch.setattr(near_copies, "PART", 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == want
+
+
+def test_block_comparison():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 9000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, k, False), rng.integers(0, 1 << 60, 40, dtype=np.uint64)])) for k in rng.integers(6500, 9000, 30)]
+    sets += [np.zeros(0, np.uint64), np.array([5], np.uint64), np.array([5], np.uint64), np.zeros(0, np.uint64)]
+    group = np.arange(len(sets))
+    group[3] = group[31]
+    label = near_copies.linked(sets, group, 0.8)
+    for i in range(len(sets)):
+        reach, todo = {i}, [i]
+        while todo:
+            k = todo.pop()
+            new = {j for j in range(len(sets)) if group[j] == group[k] or near_copies.similarity(sets[j], sets[k]) >= 0.8} - reach
+            reach |= new
+            todo += new
+        assert label[i] == min(reach)
+
+
 def brute_copies(doc_id, rate):
     """Poisson count of one document, by its md5."""
     u = (int(hashlib.md5(f"9|1|{doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
