@@ -339,6 +339,31 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_finds_edited_copies():
+    """Recall and false alarms against brute force: all shingles of the whole text, on copies with words replaced, dropped and added."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    shingles = lambda t: set(licenses.exact_shingles(*(w := licenses.words_of(t.encode())), 0, len(w[1])))
+    made = []
+    for name, given in licenses.TEMPLATES.items():
+        for template in given:
+            for edits in [0, 1, 1, 2, 2, 3, 4, 6, 8] * 30:
+                words = template.split()
+                for _ in range(min(edits, len(words) // 2)):
+                    at = rng.randrange(len(words))
+                    words[at : at + 1] = rng.choice([[word()], [], [words[at], word()]])
+                made.append(" ".join([*(word() for _ in range(rng.randrange(60))), *words, *(word() for _ in range(rng.randrange(60)))]))
+    found = licenses.matches(made, licenses.Templates(licenses.TEMPLATES))
+    wanted = missed = 0
+    for text, got in zip(made, found):
+        held = shingles(text)
+        want = {n for n, given in licenses.TEMPLATES.items() for t in given if len((k := shingles(t)) & held) >= licenses.CONTAINED * len(k)}
+        names = {m[0] for m in got}
+        assert names <= want
+        wanted, missed = wanted + len(want), missed + len(want - names)
+    assert wanted > 400 and missed <= 0.005 * wanted
+
+
 def test_mixing(spark, docs, empty):
     rows = spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text", "if(id % 10 = 0, null, if(id % 3 = 0, 'a', 'b')) as source", "'x' as copy")
     n = {r["source"]: r["count"] for r in mixing.mix(rows, {"a": 3, "b": 1}).groupBy("source").count().collect()}
