@@ -51,8 +51,8 @@ def keep_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return first.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of about ``most_bytes`` of text (one row at least) with their texts; null is the empty text."""
+def texts_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20, empty: str | bytes = "") -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of about ``most_bytes`` of text (one row at least) with their texts (bytes where ``text`` is binary); null is ``empty``."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index("text"))
         if batch.num_rows == 0:
@@ -64,10 +64,29 @@ def texts_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> It
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             part = batch.slice(start, stop - start)
-            yield part, [t or "" for t in part.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield part, [t or empty for t in part.column(batch.schema.get_field_index("text")).to_pylist()]
             start = stop
 
 
+def in_blocks(items: DataFrame, size: Column, key: list[Column], most_bytes: int) -> Iterator[list]:
+    """The rows of a query set, block by block: each block's ``size`` adds up to about ``most_bytes`` (one row at least), so that it may go to all tasks.
+
+    Rows are dealt by the hash of ``key``; the table is written once and the driver holds one block at a time.
+    """
+    kept = freeze(items.withColumn("_size", size.cast("long")).withColumn("_hash", F.xxhash64(*key)), "items")
+    total, widest, rows = kept.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0)), F.count("*")).first()
+    blocks = total // most_bytes + 1
+    while blocks < rows:
+        sizes = kept.groupBy(F.pmod("_hash", F.lit(blocks)).alias("block")).agg(F.sum("_size").alias("size"))
+        if (sizes.agg(F.max("size")).first()[0] or 0) <= 2 * max(most_bytes, widest):
+            break
+        blocks *= 2
+    for block in range(blocks):
+        found = kept.where(F.pmod("_hash", F.lit(blocks)) == block).drop("_size", "_hash").collect()
+        if found:
+            yield found
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of ``n`` places the smallest place reachable over the pairs (a, b)."""
     label = np.arange(n)

@@ -127,7 +127,10 @@ class WordEncoder:
             ids.append(np.array(encoding.ids, np.uint32))
             size[i] = len(ids[-1])
         order = np.concatenate([np.array(run, np.int64), np.array(alone, np.int64)])
-        new = np.concatenate(ids)
+        self.store(key, words, np.concatenate(ids), size, order)
+
+    def store(self, key: np.ndarray, words: list[str], new: np.ndarray, size: np.ndarray, order: np.ndarray) -> None:
+        """Keep words with their ids ``new``, which stand in the ``order`` given; ``size``: ids of each word."""
         begin = np.empty(len(words), np.int64)
         begin[order] = self.used + np.cumsum(size[order]) - size[order]
         while self.used + len(new) > len(self.flat):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, fingerprint, licenses, mixing, packing, quality, secrets, simhash, suffix_dedup, warc
+from tessera.llm import alignment, decontamination, embedding_dedup, fingerprint, lexical, licenses, mixing, packing, quality, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_decontamination": decontamination.op12_decontamination,
+    "op13_lexical": lexical.op13_lexical,
 }
 
 ORACLE_SQL = {
     "op7_warc": warc.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op12_decontamination": decontamination.OP12_SQL,
+    "op13_lexical": lexical.OP13_SQL,
 }

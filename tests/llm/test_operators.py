@@ -384,7 +384,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def test_simhash(docs, empty, texts):
+def test_simhash(spark, docs, empty, texts):
     fps = [brute_fingerprint(t) for t in texts]
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
     for i, fp in enumerate(fps):
