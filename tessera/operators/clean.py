@@ -6,15 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["aminoAcid", "vFamilyName", "jGeneName"]
+REMOVAL = ["nucleotide", "aminoAcid"]
+
+
+def _listed(rows: DataFrame, removal: DataFrame, how: str) -> DataFrame:
+    """Null meets null: nonproductive rearrangements have no aminoAcid."""
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"x.{c}")) for c in REMOVAL]
+    return rows.alias("r").join(removal.select(*REMOVAL).alias("x"), on, how)
 
 
 def without(rows: DataFrame, removal: DataFrame) -> DataFrame:
     """Rows whose (nucleotide, aminoAcid) is not in the removal list."""
-    return rows.join(removal, ["nucleotide", "aminoAcid"], "left_anti").select(*rows.columns)
+    return _listed(rows, removal, "left_anti")
 
 
 def only(rows: DataFrame, removal: DataFrame) -> DataFrame:
-    return rows.join(removal, ["nucleotide", "aminoAcid"], "left_semi").select(*rows.columns)
+    return _listed(rows, removal, "left_semi")
 
 
 def with_genes(rows: DataFrame) -> DataFrame:
@@ -28,7 +35,8 @@ def productive() -> Column:
 
 def cleanup_summary(rows: DataFrame, removal: DataFrame) -> DataFrame:
     """Per sample and category the number of rows and their counts, in one pass."""
-    marked = rows.join(removal.distinct().withColumn("_gone", F.lit(True)), ["nucleotide", "aminoAcid"], "left")
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"x.{c}")) for c in REMOVAL]
+    marked = rows.alias("r").join(removal.select(*REMOVAL).distinct().withColumn("_gone", F.lit(True)).alias("x"), on, "left").select("r.*", "_gone")
     kept = F.col("_gone").isNull() & F.col("vFamilyName").isNotNull() & F.col("jGeneName").isNotNull()
     category = F.when(F.col("_gone").isNotNull(), "removed").when(kept & productive(), "productive").when(kept, "nonproductive")
     return marked.withColumn("category", category).where("category IS NOT NULL").groupBy("sample_short", "category").agg(F.count("*").alias("num_sequences"), F.sum("cnt").alias("sum_counts"))

@@ -1,7 +1,7 @@
 """Weighted sampling with replacement, reproducible under any partitioning.
 
-``subsample`` draws multinomially in numpy: of a sample's parts (clonotypes dealt by hash) the totals first, then within each
-part, so that no task holds a whole sample. ``subsample_hashed`` draws by md5 in plain DataFrame functions, which any SQL engine
+``subsample`` draws in numpy: how many of a sample's draws fall in each of its parts (clonotypes dealt by hash) first, then within
+each part, so that no task holds a whole sample; ``draw_rounds`` keeps of the same draws only which rounds have a clonotype. ``subsample_hashed`` draws by md5 in plain DataFrame functions, which any SQL engine
 repeats exactly.
 """
 
@@ -11,10 +11,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.clean import KEY
+from tessera.sources.staging import written
 
 
 def _rng(*parts) -> np.random.Generator:
@@ -25,9 +27,14 @@ def _rng(*parts) -> np.random.Generator:
 PART_ROWS, SLICES, LETTERS = 100_000, 16, 6
 
 
-def draw_counts(counts: DataFrame, iterations: int, seed: int = 42, part_rows: int = PART_ROWS) -> DataFrame:
-    """(sample_short, key, depth, iter, n) at each of the depths in column ``depths``; drawn zeros are implicit."""
-    some = counts.where("cnt > 0")
+def _drawn(rng: np.random.Generator, share: int, upto: np.ndarray) -> np.ndarray:
+    """``share`` draws by weight: places, one each, repeats included. ``upto``: cumulated weights."""
+    return np.minimum(np.searchsorted(upto, rng.random(share) * upto[-1], side="right"), len(upto) - 1)
+
+
+def _dealt(counts: DataFrame, iterations: int, seed: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The counts by part of a sample, and for each part its share of every draw (plan: depth, shares by iteration)."""
+    some = written(counts.where("cnt > 0"), "counts")
     parts = some.groupBy("sample_short").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
     rows = some.join(parts, "sample_short").withColumn("part", F.pmod(F.xxhash64(*KEY), F.col("parts")).cast("int"))
     depths = F.array_sort(F.array_distinct(F.first("depths")))
@@ -43,21 +50,53 @@ def draw_counts(counts: DataFrame, iterations: int, seed: int = 42, part_rows: i
 
     dealt = totals.groupBy("sample_short").applyInPandas(deal, "sample_short string, part int, depth long, shares array<long>")
     dealt = dealt.groupBy("sample_short", "part").agg(F.sort_array(F.collect_list(F.struct("depth", "shares"))).alias("plan"))
+    return rows.select("sample_short", "part", *KEY, "cnt"), dealt
+
+
+def draw_rounds(counts: DataFrame, depth: int, rounds: int, seed: int = 42, part_rows: int = PART_ROWS) -> DataFrame:
+    """(sample_short, key, rounds): the rounds of ``subsample`` that drew the clonotype, as bits (round k is bit k - 1, low bits first); others are left out.
+
+    One row for a sample and clonotype, whatever the number of rounds, and no row for a draw.
+    """
+    rows, dealt = _dealt(counts.withColumn("depths", F.array(F.lit(depth).cast("long"))), rounds, seed, part_rows)
+
+    def draw(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.sort_by([(c, "ascending") for c in KEY])
+        bits = np.zeros((left.num_rows, -(-rounds // 8)), np.uint8)
+        if left.num_rows and right.num_rows:
+            name, part = (k.as_py() for k in key)
+            upto = np.cumsum(rows.column("cnt").to_numpy().astype(float))
+            for step in right.column("plan")[0].as_py():
+                for i, share in enumerate(step["shares"], 1):
+                    hit = _drawn(_rng(seed, name, part, step["depth"], i), share, upto)
+                    column = bits[:, (i - 1) >> 3]
+                    column[hit] |= np.uint8(1 << (i - 1 & 7))
+        some = np.flatnonzero(bits.any(axis=1))
+        packed = pa.array([r.tobytes() for r in bits[some]], pa.binary())
+        return rows.select(["sample_short", *KEY]).take(pa.array(some)).append_column("rounds", packed)
+
+    by = ["sample_short", "part"]
+    return rows.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(draw, "sample_short string, aminoAcid string, vFamilyName string, jGeneName string, rounds binary")
+
+
+def draw_counts(counts: DataFrame, iterations: int, seed: int = 42, part_rows: int = PART_ROWS) -> DataFrame:
+    """(sample_short, key, depth, iter, n) at each of the depths in column ``depths``; drawn zeros are implicit."""
+    rows, dealt = _dealt(counts, iterations, seed, part_rows)
 
     def draw(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows, out = left.sort_values(KEY, na_position="first", ignore_index=True), []
+        rows, out = left.sort_values(KEY, na_position="last", ignore_index=True), []
         if len(rows) and len(right):
-            p = rows["cnt"].to_numpy(float) / rows["cnt"].sum()
+            upto = np.cumsum(rows["cnt"].to_numpy(float))
             for step in right["plan"].iloc[0]:
                 for i, share in enumerate(step["shares"], 1):
-                    n = _rng(seed, *key, step["depth"], i).multinomial(share, p)
+                    n = np.bincount(_drawn(_rng(seed, *key, step["depth"], i), share, upto), minlength=len(rows))
                     out.append(rows[n > 0].assign(depth=step["depth"], iter=i, n=n[n > 0]))
         columns = ["sample_short", *KEY, "depth", "iter", "n"]
         return pd.concat(out)[columns] if out else pd.DataFrame({c: [] for c in columns})
 
     schema = "sample_short string, aminoAcid string, vFamilyName string, jGeneName string, depth long, iter int, n long"
     by = ["sample_short", "part"]
-    return rows.select(*by, *KEY, "cnt").groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(draw, schema)
+    return rows.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(draw, schema)
 
 
 def subsample(counts: DataFrame, depth: int, iterations: int, seed: int = 42) -> DataFrame:
@@ -73,7 +112,7 @@ def cumulated(counts: DataFrame) -> DataFrame:
 
     Sums run within the key's first letters and over the sums of those, so that a sample is not one task's.
     """
-    rows = counts.where("cnt > 0").select("sample_short", *KEY, "cnt", F.substring(KEY[0], 1, LETTERS).alias("block"))
+    rows = written(counts.where("cnt > 0").select("sample_short", *KEY, "cnt"), "counts").select("*", F.substring(KEY[0], 1, LETTERS).alias("block"))
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     blocks = rows.groupBy("sample_short", "block").agg(F.sum("cnt").alias("size"))
     whole = Window.partitionBy("sample_short")
@@ -91,8 +130,8 @@ def subsample_hashed(counts: DataFrame, depth: int, iterations: int, seed: int =
     Stretches and draws are sorted together, slice by slice of the cumulated counts, and each draw takes the last stretch that
     starts before it: no draw is compared with more than that.
     """
-    stretch = cumulated(counts)
-    total = counts.where("cnt > 0").groupBy("sample_short").agg(F.sum("cnt").alias("total"))
+    stretch = written(cumulated(counts), "stretches")
+    total = stretch.groupBy("sample_short").agg(F.max("total").alias("total"))
     draws = total.select("sample_short", "total", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iter")).select("*", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("j"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "sample_short", "iter", "j")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     slice_of = lambda at: F.expr(f"({at}) * {SLICES} div total")

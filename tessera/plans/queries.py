@@ -25,7 +25,7 @@ def _num() -> str:
 PREFIX = f"""
 WITH rep AS ({REPERTOIRE}),
 gone AS (SELECT DISTINCT nucleotide, aminoAcid FROM rep WHERE nucleotide IN ({', '.join(REMOVED)})),
-kept AS (SELECT * FROM rep WHERE (nucleotide, aminoAcid) NOT IN (SELECT (nucleotide, aminoAcid) FROM gone)),
+kept AS (SELECT * FROM rep WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.nucleotide IS NOT DISTINCT FROM rep.nucleotide AND gone.aminoAcid IS NOT DISTINCT FROM rep.aminoAcid)),
 genes AS (SELECT * FROM kept WHERE vFamilyName IS NOT NULL AND jGeneName IS NOT NULL),
 prod AS (SELECT * FROM genes WHERE sequenceStatus = 'In'),
 merged AS (SELECT sample_short, aminoAcid, vFamilyName, jGeneName, sum(cnt)::BIGINT AS cnt FROM prod GROUP BY ALL),
@@ -94,6 +94,18 @@ def _groups(spark, d):
 
 
 add("anti_semi_removal", "SELECT * FROM kept")(_kept)
+
+
+def _unread(rows: DataFrame) -> DataFrame:
+    """As in files of real runs: rearrangements out of frame have no amino acids."""
+    return rows.withColumn("aminoAcid", F.when(F.col("sequenceStatus") == "In", F.col("aminoAcid")))
+
+
+_UNREAD = """, ur AS (SELECT * REPLACE (CASE WHEN sequenceStatus = 'In' THEN aminoAcid END AS aminoAcid) FROM rep), ug AS (SELECT DISTINCT nucleotide, aminoAcid FROM ur WHERE nucleotide IN ({gone})),
+um AS (SELECT ur.*, EXISTS (SELECT 1 FROM ug WHERE ug.nucleotide = ur.nucleotide AND ug.aminoAcid IS NOT DISTINCT FROM ur.aminoAcid) AS listed FROM ur)""".format(gone=", ".join(REMOVED))
+add("anti_semi_removal_null", _UNREAD + " SELECT * EXCLUDE (listed) FROM um WHERE NOT listed")(lambda s, d: (lambda rows: clean.without(rows, removal(rows)))(_unread(_rep(s, d))))
+add("cleanup_summary_null", _UNREAD + """ SELECT sample_short, CASE WHEN listed THEN 'removed' WHEN sequenceStatus = 'In' THEN 'productive' ELSE 'nonproductive' END AS category, count(*) AS num_sequences, sum(cnt)::BIGINT AS sum_counts
+ FROM um WHERE listed OR (vFamilyName IS NOT NULL AND jGeneName IS NOT NULL) GROUP BY ALL""")(lambda s, d: (lambda rows: clean.cleanup_summary(rows, removal(rows)))(_unread(_rep(s, d))))
 add("filter_has_vj", "SELECT * FROM genes")(lambda s, d: clean.with_genes(_kept(s, d)))
 add("split_productive", "SELECT *, sequenceStatus IS NOT DISTINCT FROM 'In' AS productive FROM genes")(lambda s, d: clean.with_genes(_kept(s, d)).withColumn("productive", clean.productive()))
 add("merge_samples", "SELECT * FROM merged")(_merged)
@@ -173,11 +185,38 @@ add("overlap_mean", _DRAWN + " SELECT sample1, sample2, comparison_type, avg(jac
 _PUB = """, sh AS (SELECT aminoAcid, vFamilyName, jGeneName, genotype AS grp, iter AS k, count(*) AS n_shared FROM sub JOIN ann USING (sample_short) WHERE iter > 0 GROUP BY ALL),
 ge AS (SELECT aminoAcid, vFamilyName, jGeneName, grp, N, count(*) AS rounds FROM (SELECT *, unnest(range(2, n_shared + 1)) AS N FROM sh) GROUP BY ALL)"""
 add("rare_publicity", _PUB + " SELECT * FROM sh")(lambda s, d: overlap.publicity(_sub(s, d), _groups(s, d)))
-add("sharing_ge_n", _PUB + " SELECT * FROM ge")(lambda s, d: overlap.sharing_at_least(overlap.publicity(_sub(s, d), _groups(s, d))))
+
+
+def _packed(s, d):
+    """Sharing by round, a clonotype and group in one row."""
+    return overlap.packed_publicity(overlap.packed_draws(_sub(s, d), DRAWS), _groups(s, d), DRAWS)
+
+
+add("rare_publicity_packed", _PUB + " SELECT * FROM sh")(lambda s, d: overlap.unpacked(_packed(s, d)))
+add("sharing_ge_n", _PUB + " SELECT * FROM ge")(lambda s, d: overlap.packed_sharing(_packed(s, d)))
 add("sharing_summary", _PUB + " SELECT * FROM ge WHERE N >= 3 AND (aminoAcid, vFamilyName, jGeneName) IN (SELECT (aminoAcid, vFamilyName, jGeneName) FROM sh WHERE n_shared >= 3)")(lambda s, d: overlap.sharing_summary(overlap.publicity(_sub(s, d), _groups(s, d)), 3))
-add("pairwise_sharing", """, x AS (SELECT DISTINCT aminoAcid, vFamilyName, jGeneName, sample_short AS s, iter AS k, genotype AS g FROM sub JOIN ann USING (sample_short) WHERE iter > 0)
-SELECT CASE WHEN a.g = b.g THEN 'within' ELSE 'between' END AS type_of_sharing, CASE WHEN a.g = b.g THEN a.g ELSE a.g || '|' || b.g END AS grps, a.s AS sample_a, b.s AS sample_b, a.k, count(*) AS shared
-FROM x a JOIN x b USING (aminoAcid, vFamilyName, jGeneName, k) WHERE (a.g = b.g AND a.s < b.s) OR (a.g < b.g AND a.s != b.s) GROUP BY ALL""")(lambda s, d: overlap.pairwise(_sub(s, d), _groups(s, d)))
+_PAIRS = """, x AS (SELECT DISTINCT {key}, sample_short AS s, iter AS k FROM sub WHERE iter > 0), dp AS ({pairs}),
+m AS (SELECT a.s AS sample_a, b.s AS sample_b, a.k, count(*) AS shared FROM x a JOIN x b ON {on} AND a.k = b.k AND a.s != b.s GROUP BY ALL)
+SELECT type_of_sharing, grps, '{by}' AS sharing_by, sample_a, sample_b, k::INT AS k, coalesce(shared, 0) AS shared FROM dp CROSS JOIN range(1, {draws} + 1) r(k) LEFT JOIN m USING (sample_a, sample_b, k)"""
+_ALL_PAIRS = """SELECT CASE WHEN a.genotype = b.genotype THEN 'within' ELSE 'between' END AS type_of_sharing, CASE WHEN a.genotype = b.genotype THEN a.genotype ELSE a.genotype || '_' || b.genotype END AS grps,
+ a.sample_short AS sample_a, b.sample_short AS sample_b FROM ann a JOIN ann b ON (a.genotype = b.genotype AND a.sample_short < b.sample_short) OR (a.genotype < b.genotype AND a.sample_short != b.sample_short)"""
+# declared: one group with itself, and one pair of groups against the order of names; one sample of the sheet has no draws, and pairs with it share nothing
+_SOME_PAIRS = """SELECT 'within' AS type_of_sharing, 'hoDQ8' AS grps, a.s AS sample_a, b.s AS sample_b FROM sheet a JOIN sheet b ON a.g = 'hoDQ8' AND b.g = 'hoDQ8' AND a.s < b.s
+ UNION ALL SELECT 'between', 'hoDQ8_heDQ2DQ8', a.s, b.s FROM sheet a JOIN sheet b ON a.g = 'hoDQ8' AND b.g = 'heDQ2DQ8' AND a.s != b.s"""
+
+
+def _pair_sql(key, pairs):
+    return _PAIRS.format(key=", ".join(key), pairs=pairs, on=" AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in key), by="_".join(key), draws=DRAWS)
+
+
+def _sheet(s, d):
+    """The groups of a sheet that also names a sample without rearrangements."""
+    return _groups(s, d).unionByName(s.createDataFrame([("F999N", "hoDQ8")], "sample_short string, grp string"))
+
+
+add("pairwise_sharing", _pair_sql(KEY, _ALL_PAIRS))(lambda s, d: overlap.pairwise(_sub(s, d), overlap.declared_pairs(_groups(s, d)), DRAWS))
+add("pairwise_declared", ", sheet AS (SELECT sample_short AS s, genotype AS g FROM ann UNION ALL SELECT 'F999N', 'hoDQ8')" + _pair_sql(KEY[:2], _SOME_PAIRS))(
+    lambda s, d: overlap.pairwise(_sub(s, d), overlap.declared_pairs(_sheet(s, d), ["hoDQ8"], [("hoDQ8", "heDQ2DQ8")]), DRAWS, KEY[:2]))
 add("v_family_of_public", _PUB + """, p AS (SELECT DISTINCT aminoAcid, vFamilyName, jGeneName, grp FROM sh WHERE n_shared >= 2) SELECT grp, vFamilyName, n, n / sum(n) OVER (PARTITION BY grp) AS fraction FROM (SELECT grp, vFamilyName, count(*) AS n FROM p GROUP BY ALL)""", ("fraction",))(
     lambda s, d: overlap.publicity(_sub(s, d), _groups(s, d)).where("n_shared >= 2").select(*KEY, "grp").distinct().groupBy("grp", "vFamilyName").agg(F.count("*").alias("n")).withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy("grp"))))
 
@@ -300,4 +339,11 @@ add("groups_yml", "SELECT genotype AS grp, string_agg(sample_short, ',' ORDER BY
 add("subsample_np")(lambda s, d: sampling.subsample(_merged(s, d), 1000, 3))
 add("rarefied_diversity")(lambda s, d: diversity.rarefied(_merged(s, d), 1000, 5))
 add("rarefaction_curve")(lambda s, d: diversity.rarefaction_curve(_merged(s, d)))
-add("rare_publicity_np")(lambda s, d: overlap.publicity(sampling.subsample(_merged(s, d), 1000, 5), _groups(s, d)))
+
+
+def _packed_np(s, d):
+    return overlap.packed_publicity(sampling.draw_rounds(_merged(s, d), 1000, 5), _groups(s, d), 5)
+
+
+add("rare_publicity_np")(lambda s, d: overlap.unpacked(_packed_np(s, d)))
+add("sharing_np")(lambda s, d: overlap.packed_sharing(_packed_np(s, d)))

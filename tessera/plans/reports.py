@@ -131,7 +131,7 @@ add("map_sample_group", "SELECT sample_short, patient, cells, genotype, CASE WHE
     lambda s, d: metadata.group_of(q._ann(s, d).drop("source"), _members(s, d)).select("sample_short", "patient", "cells", "genotype", "grp"))
 add("slice_sample", "SELECT sample_short, patient, cells, genotype, row_number() OVER (PARTITION BY genotype, cells ORDER BY md5(sample_short), sample_short) <= floor(count(*) OVER (PARTITION BY genotype, cells) * 0.2) AS held_out FROM ann")(
     lambda s, d: multivariate.holdout(q._ann(s, d).drop("source"), ["genotype", "cells"]).select("sample_short", "patient", "cells", "genotype", "held_out"))
-add("pairwise_np")(lambda s, d: overlap.pairwise(sampling.subsample(q._merged(s, d), 1000, 5), q._groups(s, d)))
+add("pairwise_np")(lambda s, d: overlap.pairwise(sampling.subsample(q._merged(s, d), 1000, 5), overlap.declared_pairs(q._groups(s, d)), 5))
 
 
 def _usage_rows(s, d):

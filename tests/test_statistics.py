@@ -109,8 +109,8 @@ def test_null_keys_meet(spark):
     rows = [("F001E", None, "V1", "J1", 1, 3), ("F002E", None, "V1", "J1", 1, 2), ("F003E", "", "V1", "J1", 1, 2), ("F002E", "C", None, "J1", 1, 1), ("F003E", "C", None, "J1", 1, 1), ("F001N", None, "V1", "J1", 1, 3), ("F002E", "A|B", "C", "J1", 1, 1), ("F003E", "A", "B|C", "J1", 1, 1)]
     draws = spark.createDataFrame(rows, "sample_short string, aminoAcid string, vFamilyName string, jGeneName string, iter int, n long")
     groups = spark.createDataFrame([("F001E", "a"), ("F002E", "a"), ("F003E", "b"), ("F001N", "b")], "sample_short string, grp string")
-    got = {(r["sample_a"], r["sample_b"]): r["shared"] for r in overlap.pairwise(draws, groups).collect()}
-    assert got == {("F001E", "F002E"): 1, ("F001E", "F001N"): 1, ("F002E", "F001N"): 1, ("F002E", "F003E"): 1}
+    got = {(r["sample_a"], r["sample_b"]): r["shared"] for r in overlap.pairwise(draws, overlap.declared_pairs(groups), 1).collect()}
+    assert got == {("F001E", "F002E"): 1, ("F001E", "F001N"): 1, ("F002E", "F001N"): 1, ("F002E", "F003E"): 1, ("F001E", "F003E"): 0, ("F001N", "F003E"): 0}
     got = {(r["sample1"], r["sample2"]): (r["unique_overlap"], r["comparison_type"]) for r in overlap.overlap_draws(draws).collect()}
     assert got == {("F001E", "F002E"): (1, "within_E"), ("F001E", "F003E"): (0, "within_E"), ("F002E", "F003E"): (1, "within_E"), ("F001E", "F001N"): (1, "E_vs_N")}
 
