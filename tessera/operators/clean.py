@@ -54,5 +54,12 @@ def clonotypes(rows: DataFrame, count: str = "cnt", key: list[str] | None = None
 
 
 def wide(long: DataFrame, key: list[str], samples: list[str], value: str = "cnt") -> DataFrame:
-    """The matrix itself, for export: a column per named sample, 0 where it lacks the key."""
-    return long.groupBy(*key).pivot("sample_short", samples).agg(F.first(value)).na.fill(0, samples).orderBy(*key)
+    """The matrix itself, for export: a column per named sample, 0 where it lacks the key; keys of no named sample are left out."""
+    return long.where(F.col("sample_short").isin(samples)).groupBy(*key).pivot("sample_short", samples).agg(F.first(value)).na.fill(0, samples)
+
+
+def wide_metrics(long: DataFrame, key: list[str], samples: list[str], metrics: list[str]) -> dict[str, DataFrame]:
+    """Metric -> its matrix, a column ``<sample>_<metric>`` per sample; all have the same keys, those that any named sample has."""
+    rows = long.where(F.col("sample_short").isin(samples)).groupBy(*key).pivot("sample_short", samples).agg(*[F.first(m).alias(m) for m in metrics])
+    name = lambda s, m: f"{s}_{m}" if len(metrics) > 1 else s
+    return {m: rows.select(*key, *[F.coalesce(F.col(f"`{name(s, m)}`"), F.lit(0)).alias(f"{s}_{m}") for s in samples]) for m in metrics}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.tails import benjamini_hochberg, chi2_p, f_upper, normal_p, t_p
+from tessera.functions.tails import benjamini_hochberg, chi2_p, f_upper, rank_sum_p, t_p
 
 #: Comparison -> its two sides, as lists of genotypes.
 TAGS = {
@@ -139,27 +141,42 @@ def ks_stat(freqs: DataFrame, split: list[str], genotypes: tuple[str, ...] = ("h
     return cdf.select(*split, pairs).groupBy(*split, "group1", "group2").agg(F.max("d").alias("ks"))
 
 
-def ks_permuted(freqs: DataFrame, n_perm: int = 10_000, seed: int = 42, plus_one: bool = True, split: tuple[str, ...] = (), min_samples: int = 3) -> DataFrame:
+def ks_distances(table: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Largest distance between the cumulated profiles of two groups of samples, for each choice (a row of ``first``: 1 where a sample is in the first group). ``table``: samples by lengths."""
+    upto = [np.cumsum(part @ table, axis=1) for part in (first, 1.0 - first)]
+    one, two = (np.divide(u, u[:, -1:], out=np.full_like(u, np.nan), where=u[:, -1:] > 0) for u in upto)
+    return np.abs(one - two).max(axis=1)
+
+
+def ks_permuted(freqs: DataFrame, n_perm: int = 10_000, seed: int = 42, plus_one: bool = True, split: tuple[str, ...] = (), min_samples: int = 3, rounds: int = 1000) -> DataFrame:
     """Per split, permutation p of ``ks_stat`` for each pair of genotypes with ``min_samples`` samples or more each.
 
-    Round 0 has the samples' own labels; every other round orders a pair's samples by a hash and labels as many as there were.
+    Labels are permuted in tasks of ``rounds`` rounds, each of which holds its split's samples by lengths (some dozens).
+    ``plus_one``: the labels as they are count as one more permutation; else p is the plain share of permutations.
     """
-    samples = freqs.select(*split, "genotype", "sample_short").distinct()
-    groups = samples.groupBy(*split, "genotype").agg(F.count("*").alias("k")).where(F.col("k") >= min_samples).withColumn("_one", F.lit(1))
-    pairs = groups.withColumnRenamed("genotype", "group1").join(groups.drop("k").withColumnRenamed("genotype", "group2"), [*split, "_one"]).where("group1 < group2")
-    members = samples.withColumn("_one", F.lit(1)).join(pairs, [*split, "_one"]).where("genotype = group1 OR genotype = group2").drop("_one")
-    key = [*split, "group1", "group2", "id"]
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), *key, "sample_short"), "sample_short"))
-    dealt = members.crossJoin(freqs.sparkSession.range(n_perm + 1)).withColumn("first", F.when(F.col("id") == 0, F.col("genotype") == F.col("group1")).otherwise(place <= F.col("k")))
-    sums = dealt.select(*key, "sample_short", "first").join(freqs.select(*split, "sample_short", "len", "value"), [*split, "sample_short"])
-    sums = sums.groupBy(*key, "len").agg(F.sum(F.when(F.col("first"), F.col("value")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("first"), 0.0).otherwise(F.col("value"))).alias("b"))
-    whole = Window.partitionBy(*key)
-    upto = whole.orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
-    far = sums.select(*key, gap.alias("d")).groupBy(*key).agg(F.max("d").alias("d"))
-    own = F.max(F.when(F.col("id") == 0, F.col("d"))).over(Window.partitionBy(*split, "group1", "group2"))
-    # equal labels may sum up in another order
-    hits = far.withColumn("ks", own).where("id > 0").groupBy(*split, "group1", "group2").agg(F.first("ks").alias("ks"), F.count_if(F.col("d") >= F.col("ks") - 1e-12).alias("hits"))
+    tasks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n_perm // rounds)) - 1).cast("long")))
+    dealt = freqs.select(*split, "genotype", "sample_short", "len", "value", tasks.alias("task"))
+    kinds = dict(freqs.dtypes)
+    head = "".join(f"`{c}` {kinds[c]}, " for c in split)
+    columns = [*split, "group1", "group2", "ks", "hits"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *of, task = key
+        wide = pdf.pivot_table(index=["genotype", "sample_short"], columns="len", values="value", aggfunc="sum", fill_value=0).sort_index()
+        label, table = wide.index.get_level_values(0).to_numpy(), wide.to_numpy(float)
+        names = [g for g in np.unique(label) if (label == g).sum() >= min_samples]
+        out = []
+        for i, j in combinations(range(len(names)), 2):
+            own = np.isin(label, (names[i], names[j]))
+            part, mark = table[own], (label[own] == names[i]).astype(float)
+            ks = ks_distances(part, mark[None])[0]
+            order = np.random.default_rng([seed, task, i, j]).random((min(rounds, n_perm - task * rounds), len(mark))).argsort(axis=1)
+            # equal labels may sum up in another order
+            out.append([*of, names[i], names[j], ks, int((ks_distances(part, mark[order]) >= ks - 1e-12).sum())])
+        return pd.DataFrame(out, columns=columns)
+
+    found = dealt.groupBy(*split, "task").applyInPandas(run, head + "group1 string, group2 string, ks double, hits long")
+    hits = found.groupBy(*split, "group1", "group2").agg(F.max("ks").alias("ks"), F.sum("hits").alias("hits"))
     p = (F.col("hits") + 1) / (n_perm + 1) if plus_one else F.col("hits") / n_perm
     return hits.select(*split, "group1", "group2", "ks", p.alias("p_perm"))
 
@@ -273,14 +290,25 @@ def _ranked(values: DataFrame, by: list[str], value: str) -> DataFrame:
     return values.select(*by, "grp", rank.alias("r"), ties.alias("ties"), F.count("*").over(w).alias("n"))
 
 
-def wilcoxon(values: DataFrame, by: list[str], sides: tuple[str, str], value: str = "value") -> DataFrame:
-    """Rank-sum U of the first side and its tie-corrected normal z (no continuity correction). ``values``: by, grp, value."""
+def _rank_sums(values: DataFrame, by: list[str], sides: tuple[str, str], value: str) -> DataFrame:
+    """(by, n1, n2, U, away, sd, tied): U of the first side, its distance from the mean, its tie-corrected deviation."""
     r = _ranked(values.where(F.col("grp").isin(*sides)), by, value)
     n1, n2 = (F.count_if(F.col("grp") == s) for s in sides)
     s = r.groupBy(*by).agg(n1.alias("n1"), n2.alias("n2"), F.sum(F.when(F.col("grp") == sides[0], F.col("r"))).alias("r1"), F.sum((F.col("ties") * F.col("ties") - 1).cast("double")).alias("tie"), F.max("n").cast("double").alias("n"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     var = F.col("n1") * F.col("n2") / 12.0 * ((F.col("n") + 1) - F.try_divide("tie", F.col("n") * (F.col("n") - 1)))
-    return s.where("n1 > 0 AND n2 > 0").select(*by, "n1", "n2", u.alias("U"), F.try_divide(u - F.col("n1") * F.col("n2") / 2, F.sqrt(var)).alias("z"))
+    return s.where("n1 > 0 AND n2 > 0").select(*by, "n1", "n2", u.alias("U"), (u - F.col("n1") * F.col("n2") / 2).alias("away"), F.sqrt(var).alias("sd"), (F.col("tie") > 0).alias("tied"))
+
+
+def wilcoxon(values: DataFrame, by: list[str], sides: tuple[str, str], value: str = "value") -> DataFrame:
+    """Rank-sum U of the first side and its tie-corrected normal z (no continuity correction). ``values``: by, grp, value."""
+    return _rank_sums(values, by, sides, value).select(*by, "n1", "n2", "U", F.try_divide("away", "sd").alias("z"))
+
+
+def wilcoxon_test(values: DataFrame, by: list[str], sides: tuple[str, str], value: str = "value") -> DataFrame:
+    """``wilcoxon`` with the two-sided p: exact where both sides have under 50 values and none is tied, else normal with the continuity correction; null where all values are equal."""
+    r = _rank_sums(values, by, sides, value)
+    return r.select(*by, "n1", "n2", "U", F.try_divide("away", "sd").alias("z"), rank_sum_p(F.col("U"), F.col("n1"), F.col("n2"), F.col("tied"), F.col("sd")).alias("p_value"))
 
 
 def kruskal(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -292,11 +320,6 @@ def kruskal(values: DataFrame, by: list[str], value: str = "value") -> DataFrame
     return h.where("df > 0").select(*by, F.try_divide(raw, 1 - F.col("tie") / (F.col("n") * F.col("n") * F.col("n") - F.col("n"))).alias("H"), "df")
 
 
-def with_z_p(stats: DataFrame) -> DataFrame:
-    """``wilcoxon`` with the two-sided normal p."""
-    return stats.withColumn("p_value", normal_p(F.col("z")))
-
-
 def with_h_p(stats: DataFrame) -> DataFrame:
     """``kruskal`` with the chi-square p."""
     return stats.withColumn("p_value", chi2_p(F.col("H"), F.col("df")))

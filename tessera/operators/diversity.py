@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.clean import KEY
 
 
 def indices(counts: DataFrame, by: list[str] | None = None, value: str = "cnt") -> DataFrame:
@@ -87,15 +88,35 @@ def freqs_summary(freqs: DataFrame, zeros: int | None = None) -> DataFrame:
     return freqs.groupBy("param", "grp", "sample_short").agg(F.coalesce(F.max(F.when(F.col("iter") == 0, F.col("value"))), F.lit(0.0)).alias("orig"), mean.alias("mean_subsamples"))
 
 
-def rarefied(counts: DataFrame, depth: int, iterations: int, seed: int = 42) -> DataFrame:
-    """Mean indices over draws of ``depth`` cells; shallower repertoires are left out."""
+def named(table: DataFrame, rounds: int | None = None, key: list[str] | None = None) -> DataFrame:
+    """``table`` with what it was worked out from: sequence_index, the key's columns, and rarefaction_iterations, null without rarefaction."""
+    return table.withColumns({"sequence_index": F.lit("_".join(key or KEY)), "rarefaction_iterations": F.lit(rounds).cast("long")})
+
+
+def least_total(counts: DataFrame) -> int:
+    """The smallest repertoire's number of cells, the deepest depth that leaves no repertoire out; 0 without rows."""
+    totals = counts.where("cnt > 0").groupBy("sample_short").agg(F.sum("cnt").alias("t"))
+    return totals.agg(F.min("t")).first()[0] or 0
+
+
+def rarefied(counts: DataFrame, depth: int | None, iterations: int, seed: int = 42) -> DataFrame:
+    """Mean indices over draws of ``depth`` cells, by default the smallest repertoire's; shallower repertoires are left out."""
     from tessera.operators.sampling import subsample
 
+    depth = least_total(counts) if depth is None else depth
     deep = counts.groupBy("sample_short").agg(F.sum("cnt").alias("_t")).where(F.col("_t") >= depth).select("sample_short")
     draws = subsample(counts.join(deep, "sample_short", "left_semi"), depth, iterations, seed).where("iter > 0 AND n > 0")
     each = indices(draws, ["sample_short", "iter"], "n")
     names = ["unique_sequences", "clonality", "gini", "top_sequence", "inverse_simpson", "shannon_index"]
-    return each.groupBy("sample_short").agg(*[F.avg(c).alias(c) for c in names], F.count("*").alias("rarefaction_iterations"))
+    return named(each.groupBy("sample_short").agg(*[F.avg(c).alias(c) for c in names]), iterations)
+
+
+def expected_unique(counts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(sample_short, depth, expected): the mean number of different sequences in ``depth`` draws with replacement, by default as many as the smallest repertoire has cells."""
+    depth = least_total(counts) if depth is None else depth
+    p = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("sample_short"))
+    rows = counts.where("cnt > 0").select("sample_short", p.alias("p"))
+    return rows.groupBy("sample_short").agg(F.lit(depth).cast("long").alias("depth"), F.sum(1 - F.pow(1 - F.col("p"), F.lit(depth))).alias("expected"))
 
 
 def rarefaction_curve(counts: DataFrame, steps: int = 10, iterations: int = 5, seed: int = 42) -> DataFrame:

@@ -83,6 +83,12 @@ def cruciani(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, p, float(v)) for p, row in values.items() for a, v in zip(letters, row)], "AA string, prop string, value double")
 
 
+def decimal_position(position: str = "IMGT_position") -> Column:
+    """An insertion's letter as a number behind a point: 111A as 111.1; other positions as they are."""
+    letter = F.regexp_extract(position, "[A-Z]$", 0)
+    return F.when(letter != "", F.concat(F.regexp_replace(position, "[A-Z]$", "."), F.ascii(letter) - 64)).otherwise(F.col(position))
+
+
 def position_order() -> dict[str, int]:
     """Place of every position along the loop, insertions after 111 upwards and before 112 downwards."""
     longest = positions(25)

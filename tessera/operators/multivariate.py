@@ -67,10 +67,20 @@ class Discriminant:
     offsets: np.ndarray
     axes: np.ndarray
 
+    def _scores(self) -> list[Column]:
+        score = lambda w, b: sum((F.col(c) * float(v) for c, v in zip(self.columns, w)), F.lit(float(b)))
+        return [score(w, b) for w, b in zip(self.weights, self.offsets)]
+
+    def probabilities(self, prefix: str = "p_") -> dict[str, Column]:
+        """Class -> column of its posterior probability (named by ``prefix`` and the class), the classes sharing one covariance."""
+        scores = self._scores()
+        best = F.greatest(*scores)
+        parts = [F.exp(s - best) for s in scores]
+        return {c: (p / sum(parts[1:], parts[0])).alias(f"{prefix}{c}") for c, p in zip(self.classes, parts)}
+
     def predicted(self) -> Column:
         """The class with the highest score; of equal scores the last by name."""
-        score = lambda w, b: sum((F.col(c) * float(v) for c, v in zip(self.columns, w)), F.lit(float(b)))
-        ranked = [F.struct(score(w, b).alias("s"), F.lit(c).alias("c")) for c, w, b in zip(self.classes, self.weights, self.offsets)]
+        ranked = [F.struct(score.alias("s"), F.lit(c).alias("c")) for c, score in zip(self.classes, self._scores())]
         best = F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
         return best["c"]
 
@@ -183,6 +193,51 @@ def worth(predictions: DataFrame, label: str, predicted: str = "predicted") -> D
     return s.select((F.col("hits") / F.nullif(F.col("n"), F.lit(0))).alias("accuracy"), "precision", "f", mcc.alias("mcc"))
 
 
+def auc_pairs(rows: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:
+    """(class1, class2, n1, n2, auc): how often a row of class1 scores higher for class1 (column ``scores[class1]``) than one of class2, ties half.
+
+    Rows of other classes, and rows with a null label or score, take no part. Equal scores are counted together first, and ranks run
+    over the different scores of a pair of classes.
+    """
+    names = list(scores)
+    mine = [F.struct(F.lit(a).alias("class1"), F.lit(b).alias("class2"), F.col(scores[a]).cast("double").alias("v"), (F.col(label) == a).alias("hit"), F.col(label).isin(a, b).alias("ok")) for a in names for b in names if a != b]
+    long = rows.select(F.inline(F.array(*mine))).where("ok AND v IS NOT NULL")
+    each = long.groupBy("class1", "class2", "v").agg(F.count_if("hit").alias("a"), F.count_if(~F.col("hit")).alias("b"))
+    below = F.sum("b").over(Window.partitionBy("class1", "class2").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b") / 2
+    won = each.withColumn("won", F.col("a") * below).groupBy("class1", "class2").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum("won").alias("won"))
+    return won.where("n1 > 0 AND n2 > 0").select("class1", "class2", "n1", "n2", (F.col("won") / (F.col("n1") * F.col("n2"))).alias("auc"))
+
+
+def roc_auc(rows: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:
+    """One row: the mean of ``auc_pairs`` over all ordered pairs of classes (Hand and Till), for two classes with complementary scores the usual area."""
+    return auc_pairs(rows, label, scores).agg(F.avg("auc").alias("roc_auc"))
+
+
+def near_zero_variance(rows: DataFrame, columns: list[str], most_ratio: float = 95 / 5, least_unique: float = 10.0) -> DataFrame:
+    """(column, values, ratio, percent_unique, constant, dropped) per column, over its values that are not null.
+
+    ratio: of the two commonest values' counts (null with fewer than two); percent_unique: different values to all. Dropped is a
+    constant column, and one with a ratio over ``most_ratio`` and at most ``least_unique`` percent. One pass counts all columns'
+    values; the second sees how many values have a count, at most the root of twice the rows.
+    """
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns]))).where("v IS NOT NULL")
+    times = long.groupBy("column", "v").agg(F.count("*").alias("n")).groupBy("column", "n").agg(F.count("*").alias("k"))
+    sums = times.groupBy("column").agg(F.sum("k").alias("values"), F.sum(F.col("n") * F.col("k")).alias("all"), F.sort_array(F.collect_list(F.struct("n", "k")), False).alias("by"))
+    known = rows.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(sums, "column", "left")
+    first = F.get("by", F.lit(0))
+    second = F.when(first["k"] > 1, first["n"]).otherwise(F.get("by", F.lit(1))["n"])
+    out = known.select("column", F.coalesce("values", F.lit(0)).alias("values"), F.try_divide(first["n"], second).alias("ratio"), (F.col("values") * 100 / F.col("all")).alias("percent_unique"))
+    constant = F.col("values") <= 1
+    return out.select("*", constant.alias("constant"), (constant | F.coalesce((F.col("ratio") > most_ratio) & (F.col("percent_unique") <= least_unique), F.lit(False))).alias("dropped"))
+
+
+def dummies(rows: DataFrame, column: str, levels: list[str] | None = None, one_hot: bool = False) -> DataFrame:
+    """``rows`` with a 0/1 column ``<column>_<level>`` for each level instead of ``column``, the first level left out unless ``one_hot``; null stays null, an unknown level is 0 in all."""
+    levels = features(rows, column) if levels is None else levels
+    value = F.col(f"`{column}`")
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != column], *[F.when(value.isNotNull(), (value == v).cast("int")).alias(f"{column}_{v}") for v in levels[not one_hot :]])
+
+
 def contributions(wide: DataFrame, label: str, model: Discriminant, names: list[str], axis: int = 0, top: int = 5) -> DataFrame:
     """(label, feature, contribution): per class the ``top`` features by mean share in the axis's score, ties included."""
     terms = [F.col(c) * float(w) for c, w in zip(model.columns, model.axes[axis])]

@@ -131,7 +131,7 @@ SELECT {by}, count(*) AS total_sequences, count(*) AS unique_sequences, sum(x)::
  max(x) / sum(x) AS top_sequence, 1 / sum(x / t * x / t) AS inverse_simpson, CASE WHEN count(*) <= 1 THEN 0.0 ELSE greatest(-sum(x / t * log2(x / t)), 0) END AS shannon_index, 1.0::DOUBLE AS convergence
 FROM x GROUP BY {by}"""
 _INDEX_COLS = ("clonality", "gini", "top_sequence", "inverse_simpson", "shannon_index", "convergence")
-add("diversity_indices", _INDEX.format(by="sample_short", v="cnt", rows="merged"), _INDEX_COLS)(lambda s, d: diversity.indices(_merged(s, d)))
+add("diversity_indices", _INDEX.format(by="sample_short", v="cnt", rows="merged").replace("AS convergence", f"AS convergence, '{'_'.join(KEY)}' AS sequence_index, NULL::BIGINT AS rarefaction_iterations"), _INDEX_COLS)(lambda s, d: diversity.named(diversity.indices(_merged(s, d))))
 add("clonality_legacy", """, x AS (SELECT sample_short, aminoAcid, cnt / sum(cnt) OVER (PARTITION BY sample_short) AS p FROM prod)
 SELECT sample_short, count(DISTINCT aminoAcid) AS unique_sequences, 1 + sum(p * log2(p)) / CASE WHEN count(DISTINCT aminoAcid) > 1 THEN log2(count(DISTINCT aminoAcid)) ELSE 1 END AS clonality FROM x GROUP BY 1""", ("clonality",))(lambda s, d: diversity.row_clonality(_prod(s, d)))
 add("shannon_nat", """, x AS (SELECT sample_short, cnt / sum(cnt) OVER (PARTITION BY sample_short) AS p FROM prod)
@@ -159,6 +159,9 @@ FROM o x JOIN o y ON x.sample_short < y.sample_short LEFT JOIN b ON b.A = x.samp
 for _n, _k in (("overlap_raw", KEY), ("overlap_raw_2", KEY[:2]), ("overlap_raw_1", KEY[:1])):
     add(_n, _OVER.format(key=", ".join(_k), on=" AND ".join(f"x.{c} IS NOT DISTINCT FROM y.{c}" for c in _k)), ("jaccard_index",))(lambda s, d, k=_k: overlap.overlap(_merged(s, d), k))
 
+_WIDE = ["F000E", "F000N", "F002E", "F002N", "F004E"]
+add("merged_matrix", "SELECT aminoAcid, vFamilyName, jGeneName, " + ", ".join(f"coalesce(sum(cnt) FILTER (sample_short = '{n}'), 0)::BIGINT AS {n}" for n in _WIDE) + f" FROM merged WHERE sample_short IN ({', '.join(repr(n) for n in _WIDE)}) GROUP BY ALL")(
+    lambda s, d: clean.wide(_merged(s, d), KEY, _WIDE))
 add("cdr3_valid", "SELECT sample_short, aminoAcid, vFamilyName, jGeneName, cnt, valid FROM vld")(lambda s, d: _merged(s, d).withColumn("valid", imgt.valid()))
 add("imgt_explode", "SELECT DISTINCT aminoAcid, idx, IMGT_position, AA_ AS AA FROM res")(lambda s, d: imgt.residues(_merged(s, d)).select("aminoAcid", "idx", "IMGT_position", "AA").distinct())
 _IMGT = """, g AS (SELECT {by}, AA_ AS AA, sum(cnt)::BIGINT AS counts, count(*) FILTER (cnt > 0) AS rows FROM res GROUP BY ALL)
@@ -240,6 +243,11 @@ def _props(s, d):
 add("weighted_mean_property", _prop_sql() + " SELECT * FROM pm", ("mean_value",))(_props)
 
 
+add("weighted_mean_freqs", _prop_sql() + """, fr AS (SELECT sample_short, IMGT_position, AA_, sum(cnt) AS c FROM res GROUP BY ALL), fq AS (SELECT *, c / sum(c) OVER (PARTITION BY sample_short, IMGT_position) AS f FROM fr)
+SELECT sample_short, IMGT_position, prop, sum(f * value) / sum(f) AS mean_value FROM fq JOIN pr USING (AA_) GROUP BY ALL""", ("mean_value",))(
+    lambda s, d: imgt.property_means(imgt.aa_table(imgt.residues(_merged(s, d))), imgt.cruciani(s), ["sample_short", "IMGT_position"], "counts_freq"))
+
+
 def _positional(s, d):
     rows = imgt.aa_table(imgt.residues(_merged(s, d))).select("sample_short", "IMGT_position", "AA", F.col("counts_freq").alias("value"))
     return imgt.min_support(rows, ["IMGT_position", "AA"], 0.0, 5, "value").join(_ann(s, d).drop("source"), "sample_short")
@@ -311,6 +319,7 @@ add("ks_stat", _LEN + """, n AS (SELECT cells, genotype, count(DISTINCT sample_s
 q AS (SELECT *, m / sum(m) OVER (PARTITION BY cells, genotype) AS v FROM m), a AS (SELECT cells, len, sum(CASE WHEN genotype = 'hoDQ2' THEN v ELSE 0 END) AS x, sum(CASE WHEN genotype = 'hoDQ8' THEN v ELSE 0 END) AS y, sum(CASE WHEN genotype = 'heDQ2DQ8' THEN v ELSE 0 END) AS z FROM q GROUP BY ALL),
 c AS (SELECT cells, sum(x) OVER w AS x, sum(y) OVER w AS y, sum(z) OVER w AS z FROM a WINDOW w AS (PARTITION BY cells ORDER BY len))
 SELECT cells, 'hoDQ2' AS group1, 'hoDQ8' AS group2, max(abs(x - y)) AS ks FROM c GROUP BY 1 UNION ALL SELECT cells, 'hoDQ2', 'heDQ2DQ8', max(abs(x - z)) FROM c GROUP BY 1 UNION ALL SELECT cells, 'hoDQ8', 'heDQ2DQ8', max(abs(y - z)) FROM c GROUP BY 1""", ("ks",))(lambda s, d: comparisons.ks_stat(_lengths(s, d), ["cells"]))
+add("ks_perm_R")(lambda s, d: comparisons.ks_permuted(_lengths(s, d), plus_one=False, split=("cells",)))
 add("ks_perm")(lambda s, d: comparisons.ks_permuted(_lengths(s, d), split=("cells",)))
 add("ad_stat", _LEN + """, sh AS (SELECT sample_short, genotype, len, value * 1000 AS share FROM lf), lo AS (SELECT *, floor(share) AS low FROM sh),
 rk AS (SELECT *, row_number() OVER (PARTITION BY sample_short ORDER BY round(share - low, 9) DESC, len DESC) AS r, 1000 - sum(low) OVER (PARTITION BY sample_short) AS rest FROM lo),
@@ -338,6 +347,9 @@ SELECT vFamilyName, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - tie / (n * n *
 add("groups_yml", "SELECT genotype AS grp, string_agg(sample_short, ',' ORDER BY sample_short) AS samples FROM ann GROUP BY 1")(lambda s, d: _groups(s, d).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("sample_short")), ",").alias("samples")))
 add("subsample_np")(lambda s, d: sampling.subsample(_merged(s, d), 1000, 3))
 add("rarefied_diversity")(lambda s, d: diversity.rarefied(_merged(s, d), 1000, 5))
+add("rarefied_default")(lambda s, d: diversity.rarefied(_merged(s, d), None, 5))
+add("expected_unique", """, t AS (SELECT sample_short, sum(cnt)::BIGINT AS t FROM merged GROUP BY 1)
+SELECT sample_short, (SELECT min(t) FROM t) AS depth, sum(1 - pow(1 - cnt / t, (SELECT min(t) FROM t))) AS expected FROM merged JOIN t USING (sample_short) GROUP BY 1""", ("expected",))(lambda s, d: diversity.expected_unique(_merged(s, d)))
 add("rarefaction_curve")(lambda s, d: diversity.rarefaction_curve(_merged(s, d)))
 
 

@@ -178,10 +178,52 @@ def _glm(s, d):
     return model.transform(wide.where("held_out")).select("sample_short", "iter", "genotype", "predicted")
 
 
+@add("forest_holdout")
+def _forest(s, d):
+    wide, columns, _ = _split(s, d)
+    model = multivariate.classifier("forest", wide.where("NOT held_out"), "genotype", columns)
+    return model.transform(wide.where("held_out")).select("sample_short", "iter", "genotype", "predicted")
+
+
+@add("lda_holdout_auc")
+def _lda_auc(s, d):
+    wide, columns, _ = _split(s, d)
+    model = multivariate.discriminant(wide.where("NOT held_out"), "genotype", columns)
+    p = model.probabilities()
+    return multivariate.auc_pairs(wide.where("held_out").select("genotype", *p.values()), "genotype", {c: f"p_{c}" for c in p})
+
+
+#: Planted scores: how often a sample's cells are of one family, a different one for each class.
+_PLANTED = {"hoDQ2": "TCRBV01", "hoDQ8": "TCRBV02", "heDQ2DQ8": "TCRBV03"}
+_AUC = """, sc AS (SELECT sample_short, any_value(genotype) AS genotype, {scores} FROM merged JOIN ann USING (sample_short) GROUP BY 1),
+lg AS ({long})
+SELECT a.class1, b.genotype AS class2, count(DISTINCT a.sample_short) AS n1, count(DISTINCT b.sample_short) AS n2, avg(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0.0 END::DOUBLE) AS auc
+FROM lg a JOIN lg b ON a.class1 = b.class1 AND a.genotype = a.class1 AND b.genotype != a.class1 GROUP BY ALL""".format(
+    scores=", ".join(f"round(sum(CASE WHEN vFamilyName = '{v}' THEN cnt ELSE 0 END) / sum(cnt), 3) AS {g}" for g, v in _PLANTED.items()),
+    long=" UNION ALL ".join(f"SELECT sample_short, genotype, '{g}' AS class1, {g} AS v FROM sc" for g in _PLANTED))
+
+
+def _planted(s, d):
+    share = lambda v: F.round(F.sum(F.when(F.col("vFamilyName") == v, F.col("cnt")).otherwise(0)) / F.sum("cnt"), 3)
+    return q._merged(s, d).groupBy("sample_short").agg(*[share(v).alias(g) for g, v in _PLANTED.items()]).join(q._ann(s, d).select("sample_short", "genotype"), "sample_short")
+
+
+add("auc_pairs", _AUC, ("auc",))(lambda s, d: multivariate.auc_pairs(_planted(s, d), "genotype", {g: g for g in _PLANTED}))
+add("roc_auc", _AUC.replace("SELECT a.class1", ", ap AS (SELECT a.class1") + ") SELECT avg(auc) AS roc_auc FROM ap", ("roc_auc",))(lambda s, d: multivariate.roc_auc(_planted(s, d), "genotype", {g: g for g in _PLANTED}))
+_NZV = ["sequenceStatus", "vFamilyName", "jFamilyName", "cnt", "rare", "same"]
+_RARE = "CASE WHEN nucleotide < '02' THEN 1 ELSE 0 END"
+add("near_zero_variance", f""", w AS (SELECT *, {_RARE} AS rare, 'x' AS same FROM rep), lg AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, {c}::VARCHAR AS v FROM w WHERE {c} IS NOT NULL" for c in _NZV)}),
+c AS (SELECT col, v, count(*) AS n FROM lg GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC) AS k FROM c),
+g AS (SELECT col, count(*) AS "values", max(n) FILTER (k = 1) / max(n) FILTER (k = 2) AS ratio, count(*) * 100 / sum(n) AS percent_unique FROM r GROUP BY 1)
+SELECT col AS "column", "values", ratio, percent_unique, "values" <= 1 AS constant, "values" <= 1 OR coalesce(ratio > 19 AND percent_unique <= 10, false) AS dropped FROM g""", ("ratio", "percent_unique"))(
+    lambda s, d: multivariate.near_zero_variance(q._rep(s, d).withColumns({"rare": F.expr(_RARE), "same": F.lit("x")}), _NZV))
+add("dummies", """SELECT sample_short, patient, cells, (genotype = 'hoDQ2')::INT AS "genotype_hoDQ2", (genotype = 'hoDQ8')::INT AS "genotype_hoDQ8" FROM ann""")(lambda s, d: multivariate.dummies(q._ann(s, d).drop("source"), "genotype"))
+add("decimal_position", "SELECT DISTINCT IMGT_position, CASE WHEN regexp_matches(IMGT_position, '[A-Z]$') THEN left(IMGT_position, length(IMGT_position) - 1) || '.' || (ascii(right(IMGT_position, 1)) - 64) ELSE IMGT_position END AS plain FROM res")(
+    lambda s, d: imgt.residues(q._merged(s, d)).select("IMGT_position", imgt.decimal_position().alias("plain")).distinct())
 add("ttest_pooled_p")(lambda s, d: comparisons.with_t_p(q._pooled(s, d), ["cells", "tag"]))
 add("ttest_paired_p")(lambda s, d: comparisons.with_t_p(comparisons.ttest_paired(q._positional(s, d), ["IMGT_position", "AA"]), ["stratum"]))
 add("welch_p")(lambda s, d: comparisons.with_t_p(q._welch(s, d), ["cells", "tag"]))
-add("wilcoxon_cells_p")(lambda s, d: comparisons.with_z_p(comparisons.wilcoxon(q._usage(s, d).select("vFamilyName", F.col("cells").alias("grp"), F.col("c").alias("value")), ["vFamilyName"], ("E", "N"))))
+add("wilcoxon_cells_p")(lambda s, d: comparisons.wilcoxon_test(q._usage(s, d).select("vFamilyName", F.col("cells").alias("grp"), F.col("c").alias("value")), ["vFamilyName"], ("E", "N")))
 add("kruskal_genotype_p")(lambda s, d: comparisons.with_h_p(comparisons.kruskal(q._usage(s, d).select("vFamilyName", F.col("genotype").alias("grp"), F.col("c").alias("value")), ["vFamilyName"])))
 add("ad_test")(lambda s, d: comparisons.ad_test(q._lengths(s, d), ["cells"]))
 add("ad_test_all_cells")(lambda s, d: comparisons.ad_test(q._lengths(s, d).withColumn("cells", F.lit("all")), ["cells"], n_perm=200))
@@ -218,11 +260,12 @@ ag AS (SELECT cells, IMGT_position, AA, count(*) FILTER (genotype = 'hoDQ2') AS
 SELECT cells, IMGT_position, AA, n1, n2, r1 - n1 * (n1 + 1) / 2 AS U FROM ag WHERE n1 > 0 AND n2 > 0"""
 
 
-@add("signif_values", _AGAIN, ("U",))
-def _signif_values(s, d):
+def _again(s, d):
     stats = _plain(s, d)
     rows = reports.values_of_significant(q._positional(s, d), stats, INDEX, (F.col("tag") == "oo") & (F.abs("t") >= 1.5))
-    return comparisons.wilcoxon(rows.select(*INDEX, F.col("genotype").alias("grp"), F.round("value", 9).alias("value")), INDEX, ("hoDQ2", "hoDQ8")).drop("z")
+    return rows.select(*INDEX, F.col("genotype").alias("grp"), F.round("value", 9).alias("value"))
 
 
+add("signif_values", _AGAIN, ("U",))(lambda s, d: comparisons.wilcoxon(_again(s, d), INDEX, ("hoDQ2", "hoDQ8")).drop("z"))
+add("signif_values_p")(lambda s, d: comparisons.wilcoxon_test(_again(s, d), INDEX, ("hoDQ2", "hoDQ8")))
 add("p_adjust")(lambda s, d: adjusted(_plain(s, d).transform(comparisons.with_t_p), "p_value", ["cells", "tag"], "bonferroni", 3))

@@ -32,13 +32,11 @@ def read_tsv(spark: SparkSession, paths: str | list[str], columns: dict[str, tup
     ``columns``: header -> (name, type). Columns are found by name in each file: others are not read, their order does not
     matter, and one that a file lacks is null there, as is a value that is not of the type. Empty values are null.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", F.lit(1).alias("_")).select("path")
     heads = spark.read.text(paths, wholetext=False).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
     first = heads.where("at = 0").groupBy("path").agg(F.first("value").alias("head"))
     groups: dict[str, list[str]] = {}
     for r in first.collect():  # a header per file
         groups.setdefault((r["head"] or "").removeprefix("﻿"), []).append(r["path"])
-    del files
     out = None
     for head, own in sorted(groups.items()):
         names = [h.strip().strip('"') for h in head.split("\t")]
@@ -68,6 +66,21 @@ def read_removal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("nucleotide string, aminoAcid string").option("sep", "\t").option("header", False).csv(path)
 
 
+def read_cleanup(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample, num_seq_prod, num_seq_nonprod, counts_prod, counts_nonprod) of every ``*_cleanup_summary.tsv`` below ``folder``: one row a file, strings as they stand.
+
+    The sample is the folder that the file is in. A line counts if it has three fields; of several of a kind the last does, and a
+    kind that is missing is empty. A file of no bytes, which Spark's readers pass over, has no row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*_cleanup_summary.tsv").load(folder)
+    lines = F.filter(F.transform(F.split(F.decode("content", "UTF-8"), r"\r?\n"), lambda line: F.split(line, "\t")), lambda f: F.size(f) >= 3)
+    rows = files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("sample"), lines.alias("l"))
+    non = lambda f: F.rlike(f[0], F.lit("(?i)non.productive sequences"))
+    kinds = {"prod": lambda f: F.rlike(f[0], F.lit("(?i)productive sequences")) & ~F.rlike(f[0], F.lit("(?i)non")), "nonprod": non}
+    value = lambda kind, at: F.coalesce(F.trim(F.get(F.try_element_at(F.filter("l", kinds[kind]), F.lit(-1)), F.lit(at))), F.lit(""))
+    return rows.select("sample", *[value(kind, at).alias(f"{name}_{kind}") for at, name in ((1, "num_seq"), (2, "counts")) for kind in kinds])
+
+
 def delimiter_of(head: str, default: str = ",") -> str:
     """The most frequent of tab, comma, semicolon and bar in a first line; where there is none, a blank if the line has one, else comma."""
     line = head.splitlines()[0].strip() if head else ""
@@ -127,12 +140,14 @@ def groups_from_yaml(text: str) -> dict[str, list[str]]:
 
 
 def groups_from_sheet(sheet: DataFrame, group: str, sample: str = "sample_short", renames: dict[str, str] | None = None) -> dict[str, list[str]]:
-    """Group -> its samples in the order of names, from a sheet of samples; rows with a blank group or sample are left out, groups renamed as said."""
+    """Group -> its samples, both in the order of the sheet; rows with a blank group or sample are left out, repeats kept once, groups renamed as said."""
     name = F.trim(F.col(group))
-    rows = sheet.select(name.alias("g"), F.trim(F.col(sample)).alias("s")).where("g != '' AND s != ''").distinct().orderBy("g", "s").collect()
+    rows = sheet.select(name.alias("g"), F.trim(F.col(sample)).alias("s"), F.monotonically_increasing_id().alias("i")).where("g != '' AND s != ''")
     out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault((renames or {}).get(r["g"], r["g"]), []).append(r["s"])
+    for r in rows.groupBy("g", "s").agg(F.min("i").alias("i")).orderBy("i").toLocalIterator():
+        own = out.setdefault((renames or {}).get(r["g"], r["g"]), [])
+        if r["s"] not in own:
+            own.append(r["s"])
     return out
 
 
@@ -148,6 +163,17 @@ def write_tsv(df: DataFrame, path: str, gzip: bool = True) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
 
 
+def write_matrix(wide: DataFrame, path: str, by: list[str], gzip: bool = True) -> None:
+    """Sorted TSV parts, the header in the first alone: the parts end to end, in the order of their names, are one table, gzipped ones too.
+
+    Sorting is by ranges of ``by`` (nulls first); null is written empty.
+    """
+    cell = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    head = wide.sparkSession.createDataFrame([("\t".join(wide.columns),)], "value string").coalesce(1)
+    body = wide.orderBy(*by).select(F.concat_ws("\t", *map(cell, wide.columns)).alias("value"))
+    head.union(body).write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+
+
 def publish(df: DataFrame, path: str, by: tuple[str, ...] = ("sample_short",)) -> None:
     """Parquet under ``path``, a folder per value of ``by``, which a reader prunes by; only folders with new rows are replaced."""
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
