@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
 A text's words (split at white space, with their marks and case) and the character n-grams of each whole word, between ``<``
-and ``>``, are hashed into buckets with learned vectors; a word may be of any length. Two more features, with learned vectors
-too, show what an average of words hides: a word that repeats the one before it, and a word of a line that the document has
-had before; each such word counts ``MARK_WEIGHT`` features. A document is the mean of its features' vectors, a linear layer
+and ``>``, are hashed into buckets with learned vectors; a word may be of any length. So are two kinds of word n-grams: pairs of
+neighbouring words as they stand, and runs of up to ``REACH`` words by how far back each last stood in the document (nowhere,
+or the distance's power of two). The latter have the same buckets whatever the words are, so that training learns from some
+repeated lines and words what others look like. A document is the mean of its features' vectors, a linear layer
 and softmax give the probability of label 1, and all is trained by numpy stochastic gradient descent, with weight decay; the
 rate is chosen on an inner fold of the training rows. As the layer is linear, a word adds fixed amounts to the document's two
 sums, which workers keep for words they have met.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,9 @@ TRAIN_ROWS = 3_000
 BUCKETS, DIMENSION, BATCH = 1 << 15, 8, 32
 #: Rates tried on the inner fold; weight decay per batch, as a share of the rate.
 RATES, DECAY = (0.25, 0.5, 1.0), 1e-4
-#: Buckets of the two marks, beyond those of words, and the features that a marked word counts.
-AGAIN, LINE, MARK_WEIGHT = BUCKETS, BUCKETS + 1, 4
+#: Words of a run by distances, and the powers of two told apart; features that a pair and a run count.
+REACH, LEVELS = 4, 16
+PAIR_WEIGHT, RUN_WEIGHT = 1, 2
 #: Passes over the rows: so many that there are STEPS batches, EPOCHS at least.
 EPOCHS, STEPS = 5, 600
 NGRAMS = (2, 4)
@@ -95,20 +98,24 @@ def run_buckets(word: str) -> Iterator[np.ndarray]:
                 yield ((crc ^ np.uint32(0xFFFFFFFF)) % BUCKETS).astype(np.int64)
 
 
-def marks(text: str, words: list[str]) -> tuple[int, int]:
-    """Words that repeat the one before, and words in lines that were there before."""
-    again = sum(map(str.__eq__, words, words[1:]))
-    if "\n" not in text:
-        return again, 0
-    lines = [x for x in text.split("\n") if x and not x.isspace()]
-    if len(set(lines)) == len(lines):
-        return again, 0
-    seen, line = set(), 0
-    for x in lines:
-        if x in seen:
-            line += len(x.split())
-        seen.add(x)
-    return again, line
+def mixed(value: np.ndarray) -> np.ndarray:
+    return ((value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def word_ngrams(number: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(weight, buckets) of a text's word n-grams. ``number``: equal for equal words and only for them; ``code``: a word's hash."""
+    if len(code) > 1:
+        yield PAIR_WEIGHT, mixed(code[:-1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + code[1:].astype(np.uint64))
+    order = np.argsort(number, kind="stable")
+    again = number[order[1:]] == number[order[:-1]]
+    level = np.zeros(len(number), np.int64)
+    back = order[1:][again] - order[:-1][again]
+    level[order[1:][again]] = 1 + np.minimum(np.log2(back).astype(np.int64), LEVELS - 2)
+    run = level
+    for n in range(1, min(REACH, len(level)) + 1):
+        if n > 1:
+            run = run[: len(level) - n + 1] * LEVELS + level[n - 1 :]
+        yield RUN_WEIGHT, mixed(run * LEVELS + n)
 
 
 def features(text: str, kept: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +127,7 @@ def features(text: str, kept: dict[str, list[int]] | None = None) -> tuple[np.nd
         counts[w] = counts.get(w, 0) + 1
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    total = np.zeros(BUCKETS + 2)
+    total = np.zeros(BUCKETS)
     short = [w for w in counts if len(w) <= SHORT]
     if short:
         lists = []
@@ -129,12 +136,15 @@ def features(text: str, kept: dict[str, list[int]] | None = None) -> tuple[np.nd
                 kept[w] = word_buckets(w)
             lists.append(kept[w])
         weight = np.repeat(np.array([counts[w] for w in short], float), [len(x) for x in lists])
-        total += np.bincount(np.concatenate(lists), weight, BUCKETS + 2)
+        total += np.bincount(np.concatenate(lists), weight, BUCKETS)
     for w in counts:
         if len(w) > SHORT:
             for at in run_buckets(w):
-                total += np.bincount(at, minlength=BUCKETS + 2) * counts[w]
-    total[AGAIN], total[LINE] = (MARK_WEIGHT * n for n in marks(text, words))
+                total += np.bincount(at, minlength=BUCKETS) * counts[w]
+    place = {w: i for i, w in enumerate(counts)}
+    number = np.array([place[w] for w in words])
+    for weight, at in word_ngrams(number, np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in counts])[number]):
+        total += weight * np.bincount(at, minlength=BUCKETS)
     at = np.flatnonzero(total)
     return at, (total[at] / total.sum()).astype(np.float32)
 
@@ -142,7 +152,7 @@ def features(text: str, kept: dict[str, list[int]] | None = None) -> tuple[np.nd
 class Model:
     def __init__(self, seed: int = 2, rate: float = 0.5):
         rng = np.random.default_rng(seed)
-        self.vectors = rng.uniform(-0.5, 0.5, (BUCKETS + 2, DIMENSION)).astype(np.float32)
+        self.vectors = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSION)).astype(np.float32)
         self.layer, self.bias = np.zeros((DIMENSION, 2), np.float32), np.zeros(2, np.float32)
         self.rng, self.rate = rng, rate
 
@@ -169,7 +179,7 @@ class Model:
 
     @staticmethod
     def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        out = np.zeros((len(rows), BUCKETS + 2), np.float32)
+        out = np.zeros((len(rows), BUCKETS), np.float32)
         for i, (at, share) in enumerate(rows):
             out[i, at] = share
         return out
@@ -187,10 +197,8 @@ class Model:
         return Scorer((self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float64), float(self.bias[1] - self.bias[0]))
 
 
-def fitted(texts: list[str], labels: np.ndarray) -> Model:
-    """A model of all the rows, with the rate that does best on every fifth row when fitted on the others."""
-    kept: dict[str, list[int]] = {}
-    rows = [features(t, kept) for t in texts]
+def fitted(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
+    """A model of all the rows' ``features``, with the rate that does best on every fifth row when fitted on the others."""
     inner = np.arange(len(rows)) % FOLDS == 0
     rate = RATES[len(RATES) // 2]
     if len(rows) >= 4 * FOLDS:
@@ -203,28 +211,50 @@ class Scorer:
     """Probability of label 1 of whole texts, from each bucket's part in the difference of the two sums."""
 
     def __init__(self, part: np.ndarray, bias: float):
-        self.part, self.bias, self.kept = part, bias, {}
-        self.again, self.line = float(part[AGAIN]), float(part[LINE])
+        self.part, self.bias = part, bias
+        self.forget()
+
+    def forget(self) -> None:
+        """No word is kept: its place in the arrays of parts, numbers of features and hashes."""
+        self.slot: dict[str, int] = {}
+        self.used = 0
+        self.sums, self.size, self.code = np.zeros(1 << 10), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.uint64)
+
+    def learn(self, word: str) -> int:
+        if len(word) <= SHORT:
+            tiles = [np.array(word_buckets(word))]
+        else:
+            tiles = run_buckets(word)
+        sums, size = 0.0, 0
+        for at in tiles:
+            sums, size = sums + float(self.part[at].sum()), size + len(at)
+        if self.used == len(self.sums):
+            self.sums, self.size, self.code = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.size, self.code))
+        i = self.used
+        self.sums[i], self.size[i], self.code[i] = sums, size, zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        self.used += 1
+        return i
 
     def __call__(self, text: str) -> float:
-        kept, words = self.kept, text.split()
-        again, line = marks(text, words)
-        total, n = MARK_WEIGHT * (again * self.again + line * self.line), MARK_WEIGHT * (again + line)
-        for w in words:
-            x = kept.get(w)
-            if x is None:
-                if len(w) <= SHORT:
-                    at = word_buckets(w)
-                    x = (float(self.part[at].sum()), len(at))
-                    if len(kept) >= WORDS_KEPT:
-                        kept.clear()
-                    kept[w] = x
-                else:
-                    tiles = [(float(self.part[at].sum()), len(at)) for at in run_buckets(w)]
-                    x = (sum(t[0] for t in tiles), sum(t[1] for t in tiles))
-            total += x[0]
-            n += x[1]
-        return float(1 / (1 + np.exp(-(self.bias + (total / n if n else 0.0)))))
+        words = text.split()
+        if not words:
+            return float(1 / (1 + np.exp(-self.bias)))
+        if self.used > WORDS_KEPT:
+            self.forget()
+        number = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        long: dict[str, int] = {}  # not kept
+        for i in np.flatnonzero(number < 0).tolist():
+            w = words[i]
+            known = self.slot if len(w) <= SHORT else long
+            if w not in known:
+                known[w] = self.learn(w)
+            number[i] = known[w]
+        total, n = self.sums[number].sum(), int(self.size[number].sum())
+        for weight, at in word_ngrams(number, self.code[number]):
+            total, n = total + weight * self.part[at].sum(), n + weight * len(at)
+        for w in long:  # their places stay unused until all are forgotten
+            self.sums[long[w]] = 0.0
+        return float(1 / (1 + np.exp(-(self.bias + total / n))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -232,14 +262,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
+    """The scorer fitted on ``most`` labelled rows at most; tasks work their features out, so that no text goes to the driver."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("t")).join(F.broadcast(chosen), "_id")
     # one row per doc_id before any goes to the driver: the smallest text, null first
-    rows = rows.groupBy("_id", "_quality").agg(F.min(F.struct("t"))["t"].alias("t")).toPandas().sort_values("_id")
+    rows = rows.groupBy("_id", "_quality").agg(F.min(F.struct("t"))["t"].alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in texts_of(batches):
+            kept: dict[str, list[int]] = {}
+            found = [features(t, kept) for t in texts]
+            data = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in zip(zip(*found), ("<u2", "<f4"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *data], names=["_id", "_quality", "at", "share"])
+
+    rows = rows.select("_id", F.col("_quality").cast("int").alias("_quality"), "text").mapInArrow(run, "_id long, _quality int, at binary, share binary").toPandas().sort_values("_id")
     if not len(rows):
-        return Scorer(np.zeros(BUCKETS + 2), 0.0)
-    return fitted([t or "" for t in rows["t"]], (rows["_quality"].to_numpy() > 0).astype(np.int64)).scorer()
+        return Scorer(np.zeros(BUCKETS), 0.0)
+    found = [(np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(share, "<f4")) for at, share in zip(rows["at"], rows["share"])]
+    return fitted(found, (rows["_quality"].to_numpy() > 0).astype(np.int64)).scorer()
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

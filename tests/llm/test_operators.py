@@ -145,7 +145,7 @@ def test_quality_reads_whole_runs():
             assert sorted(np.concatenate(list(quality.run_buckets(word))).tolist()) == brute(word)
     ends = "始" * 30, "終" * 30
     good, bad = ends[0] + "花鳥風月" * 200 + ends[1], ends[0] + "乱数雑音" * 200 + ends[1]
-    scorer = quality.fitted([good, bad] * 40, np.array([1, 0] * 40)).scorer()
+    scorer = quality.fitted([quality.features(t) for t in (good, bad)] * 40, np.array([1, 0] * 40)).scorer()
     assert scorer(good) > 0.5 > scorer(bad)
     at, share = quality.features("x " + good)
     assert len(at) > 20 and abs(share.sum() - 1) < 1e-5
@@ -165,12 +165,17 @@ def test_quality_sees_repeats():
         return "\n".join([" ".join(words[:8])] * rng.randint(4, 9) + [" ".join(words[8:])])
 
     rows = [(text(k % 3), int(k % 3 == 0)) for k in range(900)]
-    model = quality.fitted([t for t, _ in rows[:600]], np.array([y for _, y in rows[:600]]))
+    model = quality.fitted([quality.features(t) for t, _ in rows[:600]], np.array([y for _, y in rows[:600]]))
     scorer = model.scorer()
     assert all((scorer(t) >= quality.THRESHOLD) == (y == 1) for t, y in rows[600:])
     at, share = quality.features(rows[1][0])
     assert np.isclose(scorer(rows[1][0]), 1 / (1 + np.exp(-(scorer.bias + scorer.part[at] @ share))), atol=1e-4)
-    assert quality.marks("a a b\nx y\nx y\n\n", "a a b x y x y".split()) == (1, 2) and quality.marks("", []) == (0, 0)
+    for t, _ in rows[:40]:  # words kept by the scorer change nothing, long ones neither
+        long = t + " " + "z" * 50 + " " + "z" * 50
+        assert scorer(long) == quality.Scorer(scorer.part, scorer.bias)(long)
+    # runs by distance are the same for other words
+    runs = lambda t: [b.tolist() for w, b in quality.word_ngrams(np.unique(t.split(), return_inverse=True)[1], np.arange(len(t.split()))) if w == quality.RUN_WEIGHT]
+    assert runs("a a b c a b") == runs("x x yy z x yy") != runs("a b a c a b")
 
 
 def test_quality_ties_and_clashing_columns(spark):
@@ -190,7 +195,26 @@ def test_quality_collects_one_row_a_label(spark, monkeypatch):
     monkeypatch.setattr(kind, "toPandas", lambda self: collected.append(whole(self)) or collected[-1])
     quality.train(docs, labels, 40)
     quality.train(docs, labels.where("doc_id = 1"), 40)
-    assert all(len(x) <= 40 and x["_id"].is_unique for x in collected) and list(collected[-1]["t"]) == ["text 0"]
+    assert all(len(x) <= 40 and x["_id"].is_unique for x in collected) and "text" not in collected[-1] and np.array_equal(np.frombuffer(collected[-1]["at"].iloc[0], "<u2"), quality.features("text 0")[0])
+
+
+def test_quality_query(spark, tmp_path):
+    """op2 as registered: the fold, what is learned from, the score's range and the prediction; a held-out label changes nothing."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["river", "stone", "garden", "cloud"] if i % 3 else ["$$$", "!!!", "river", "###"], k=40))) for i in range(240)] + [(500, ""), (501, None), (None, "river stone")]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    tables = {"a": lambda i: int(i % 3 > 0), "b": lambda i: int(i % 3 > 0) ^ fold(i)}
+    got = {}
+    for name, label in tables.items():
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, label(i)) for i in range(240)] + [(7, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got[name] = {r["doc_id"]: r for r in quality.op2_quality(spark, f"{tmp_path}/{name}").collect()}
+    assert {i: r["score"] for i, r in got["a"].items()} == {i: r["score"] for i, r in got["b"].items()}
+    assert len(got["a"]) == len(rows) and all(r["held_out"] == (None if i is None else fold(i)) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for i, r in got["a"].items())
+    assert all((got["a"][i]["score"] > 0.5) == (i % 3 > 0) for i in range(240) if fold(i)) and got["a"][500]["score"] == got["a"][501]["score"]
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert quality.op2_quality(spark, f"{tmp_path}/none").count() == 0
 
 
 def brute_form(text):

@@ -131,7 +131,7 @@ def test_whole_pipeline(spark):
     folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "pipeline"
     schema = "doc_id long, text string, lang string, source string, n_chars long, row int, rate int"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
-    junk = {i for i, t in enumerate(texts) if t and quality.marks(t, t.split())[0] > 20}
+    junk = {i for i, t in enumerate(texts) if t and sum(map(str.__eq__, t.split(), t.split()[1:])) > 20}
     spark.createDataFrame([(i, int(i not in junk)) for i in range(len(texts)) if i % 4], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in corpus_pipeline.run(spark, str(folder)).collect())
