@@ -5,7 +5,8 @@ of s shingles is looked up by windows of 2**k <= s shingles: all of its own wind
 windows of that size start every quarter of a window, so an exact copy meets a window of Jaccard 0.77 or more. With
 ``BANDS`` bands of ``ROWS`` rows such a pair shares a band with probability 1 - (1 - 0.77**2)**8 > 0.999; several windows
 try. A retrieved template is a match where the words around the window hold at least ``CONTAINED`` of its shingles,
-compared word by word.
+compared word by word, and where the words that tell its license from sisters stand (or do not). Of matches
+that overlap the one with most shingles stays, then with the highest containment, then the shortest: a place has one name. Long licenses (GPL, LGPL, AGPL, Apache, MPL) are known by their notices, not by their texts.
 
 Defined cases: null text is empty; texts and templates of fewer than five words are one shingle of all their words;
 null and repeated doc_ids are scanned like others; an empty table gives no rows; other columns are not read.
@@ -26,26 +27,58 @@ WORDS = 5
 CONTAINED = 0.8
 BANDS, ROWS = 8, 2
 TABLE_BITS = 22
-
-#: Common notices by SPDX identifier.
+#: Words beside a match in which its telling words may end: the shingles of an edited end are not among those found.
+EDGE = 2
+
+_FREE = "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version."
+_SHORT = "Licensed under the GNU {0}, version {1}."
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+_BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_MIT = [
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    _AS_IS + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+]
+#: Common notices and short texts by SPDX identifier; an opening that two licenses share stands under both.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     ],
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    ],
+    "MIT": ["Released under the MIT License.", _MIT[0], " ".join(_MIT)],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "GPL-3.0": [_SHORT.format("General Public License", 3), _FREE.format(":", "General Public License", ",", 3)],
+    "GPL-2.0": [_SHORT.format("General Public License", 2), _FREE.format(";", "General Public License", ";", 2), "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "LGPL-3.0": [_SHORT.format("Lesser General Public License", 3), _FREE.format(":", "Lesser General Public License", ",", 3)],
+    "LGPL-2.1": [_SHORT.format("Lesser General Public License", "2.1"), _FREE.format(";", "Lesser General Public License", ";", "2.1").replace("program", "library")],
+    "AGPL-3.0": [_SHORT.format("Affero General Public License", 3), _FREE.format(":", "Affero General Public License", ",", 3)],
+    "BSD-2-Clause": [" ".join([_BSD_OPENING, _BSD_SOURCE, _BSD_BINARY, _BSD_AS_IS])],
+    "BSD-3-Clause": [" ".join([_BSD_OPENING, _BSD_SOURCE, _BSD_BINARY, _BSD_NAMES, _BSD_AS_IS])],
+    "BSD-2-Clause OR BSD-3-Clause": [_BSD_OPENING],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
+#: Words that must stand together in a match (one of each list of alternatives), or must not: what tells a license from its sisters.
+REQUIRED = {
+    "Apache-2.0": [["apache license"], ["version 2 0"]],
+    "CC-BY-NC-4.0": [["by nc 4 0", "noncommercial 4 0"]],
+    "CC-BY-4.0": [["by 4 0", "attribution 4 0"]],
+    "CC-BY-SA-4.0": [["by sa 4 0", "sharealike 4 0"]],
+    "GPL-3.0": [["gnu general public license"], ["version 3"]],
+    "GPL-2.0": [["gnu general public license"], ["version 2"]],
+    "LGPL-3.0": [["lesser general public license"], ["version 3"]],
+    "LGPL-2.1": [["lesser general public license"], ["version 2 1"]],
+    "AGPL-3.0": [["affero general public license"], ["version 3"]],
+    "BSD-3-Clause": [["endorse or promote products"]],
+    "MPL-2.0": [["mozilla public license"], ["v 2 0", "mpl 2 0"]],
+}
+FORBIDDEN = {"BSD-2-Clause": ["endorse or promote products"], "GPL-2.0": ["version 2 1"]}
 
 _KEEP = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 _ODD = np.random.default_rng(8).integers(0, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,6 +188,38 @@ def exact_shingles(line: bytes, start: np.ndarray, end: np.ndarray, low: int, hi
 Match = tuple[str, int, int, float]  # license, start, end (bytes of the UTF-8 text, end exclusive), containment
 
 
+def told(name: str, words: bytes) -> bool:
+    """Whether a match's words, with ``EDGE`` more at either end, are those of this license and not of a sister."""
+    stands = lambda phrase: b" " + phrase.encode() + b" " in words
+    return all(any(map(stands, some)) for some in REQUIRED.get(name, [])) and not any(map(stands, FORBIDDEN.get(name, [])))
+
+
+def densest(held: list[tuple[int, tuple]], width: int) -> dict[tuple, int]:
+    """Shingle -> place, of the stretch of ``width`` places at most with most different shingles, the shortest of these: next to a sister's notice a copy is whole only in its own place."""
+    count: dict[tuple, int] = {}
+    best, at, low = (0, 0), (0, 0), 0
+    for high, (j, s) in enumerate(held):
+        count[s] = count.get(s, 0) + 1
+        while held[low][0] <= j - width or count[held[low][1]] > 1:
+            old = held[low][1]
+            count[old] -= 1
+            if not count[old]:
+                del count[old]
+            low += 1
+        if (found := (len(count), held[low][0] - j)) > best or not best[0]:
+            best, at = found, (low, high + 1)
+    return {s: j for j, s in held[at[0] : at[1]]}
+
+
+def one_a_place(found: list[tuple[float, int, str, int, int]]) -> list[Match]:
+    """Of (containment, shingles, license, start, end) those that stay, in the order of the text."""
+    best: list[tuple[float, int, str, int, int]] = []
+    for m in sorted(set(found), key=lambda m: (-m[1], -m[0], m[4] - m[3], m[2], m[3])):
+        if all(m[4] <= k[3] or k[4] <= m[3] for k in best):
+            best.append(m)
+    return sorted(((m[2], m[3], m[4], m[0]) for m in best), key=lambda m: (m[1], m[2], m[0]))
+
+
 def matches(texts: list[str], templates: Templates) -> list[list[Match]]:
     """Per text its verified places. Texts are looked up end to end; verification keeps to each text's own words."""
     lines = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -166,25 +231,30 @@ def matches(texts: list[str], templates: Templates) -> list[list[Match]]:
         w = slice(first[d], first[d + 1])
         for t in templates.candidates(shingle_hashes(line, start[w], end[w])):
             places[t] = np.union1d(places.get(t, np.zeros(0, np.int64)), first[d])
-    out: list[list[Match]] = [[] for _ in texts]
+    out: list[list[tuple[float, int, str, int, int]]] = [[] for _ in texts]
     for t, at in places.items():
         wanted = set(templates.shingles[t])
         size, upto = len(templates.shingles[t]), -1
         for i, d in zip(at.tolist(), (np.searchsorted(first, at, side="right") - 1).tolist()):
-            if i < upto:  # inside the last match
+            if i < upto:  # inside the last whole copy
                 continue
             low, high = max(int(first[d]), i - size), min(int(first[d + 1]), i + 2 * size + WORDS)
-            # of each wanted shingle the occurrence nearest to the window
-            found: dict[tuple, int] = {}
-            for j, s in enumerate(exact_shingles(line, start, end, low, high), low):
-                if s in wanted and (s not in found or abs(j - i) < abs(found[s] - i)):
-                    found[s] = j
+            held = [(j, s) for j, s in enumerate(exact_shingles(line, start, end, low, high), low) if s in wanted]
+            found = densest(held, size + size // 4 + 2 * WORDS)
+            if len(found) < CONTAINED * len(wanted):
+                # apart, as by a passage put in: of each wanted shingle the occurrence nearest to the window
+                found = {}
+                for j, s in held:
+                    if s not in found or abs(j - i) < abs(found[s] - i):
+                        found[s] = j
             share = len(found) / len(wanted)
             if share >= CONTAINED:
                 a, b = min(found.values()), min(max(found.values()) + WORDS, high)
-                out[d].append((templates.names[t], int(start[a] - base[d]), int(end[b - 1] - base[d]), share))
-                upto = b
-    return [sorted(set(m), key=lambda m: (m[1], m[2], m[0])) for m in out]
+                spoken = lambda p, q: b" " + b" ".join([line[x:y] for x, y in zip(start[p:q].tolist(), end[p:q].tolist())]) + b" "
+                if told(templates.names[t], spoken(max(int(first[d]), a - EDGE), min(int(first[d + 1]), b + EDGE))):
+                    out[d].append((share, len(found), templates.names[t], int(start[a] - base[d]), int(end[b - 1] - base[d])))
+                    upto = b if share == 1 and b - a == size + WORDS - 1 else upto
+    return [one_a_place(m) for m in out]
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:

@@ -39,11 +39,13 @@ NAMES = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "token")
 LEAST, LEAST_VALUE = 16, 8
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-VALUE = re.compile(rf"""(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9_.-]{{0,40}}["']?\x20*[:=]\x20*["']?([^\s"'<>,;]{{{LEAST_VALUE},}})""")
+#: A value after the end of a name; ``named`` looks at the name.
+VALUE = re.compile(rf"""(?<=[A-Za-z0-9_.-])["']?\x20*[:=]\x20*["']?([^\s"'<>,;]{{{LEAST_VALUE},}})""")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 ENDS = ".,:!?)]}"
 #: Known harmless shapes: words (in one case, or the first letter capital) and numbers, one or several joined by marks; marks alone; a time.
-_PIECE = r"(?:[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+|[0-9]+)"
-HARMLESS = re.compile(rf"[+/_=-]*(?:{_PIECE}[+/_=-]+)*{_PIECE}?[+/_=-]*|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{4,6}}Z?")
+_PIECE = r"(?>[A-Z]?[a-z]++[0-9]{0,4}+|[A-Z]++|[0-9]++)"
+HARMLESS = re.compile(rf"[+/_=-]*+(?:{_PIECE}(?:[+/_=-]++|\Z))*+|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{4,6}}Z?")
 #: Letters of one case of which so many follow each other, and as many digits, are no words or numbers of a text.
 LONG_WORD, LONG_NUMBER = 30, 20
 
@@ -75,11 +77,25 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def named(text: str, end: int) -> bool:
+    """Whether the run of name characters that ends here has a letter at its start or after a mark, as names of any length have."""
+    letter = False
+    while end and text[end - 1] in NAME:
+        end -= 1
+        if text[end].isalpha():
+            letter = True
+        elif text[end].isdigit():
+            letter = False
+        elif letter:
+            return True
+    return letter and not (end and text[end - 1].isascii() and text[end - 1].isalnum())
+
+
 def other_candidates(text: str, base: list[Span]) -> list[Span]:
     """Runs and values, cut around the base spans that overlap them; a stretch counts by its own length."""
     found = [(m.start(), m.end(), LEAST) for m in RUN.finditer(text)]
     if ":" in text or "=" in text:
-        found += [(m.start(1), m.start(1) + len(m[1].rstrip(ENDS)), LEAST_VALUE) for m in VALUE.finditer(text)]
+        found += [(m.start(1), m.start(1) + len(m[1].rstrip(ENDS)), LEAST_VALUE) for m in VALUE.finditer(text) if named(text, m.start())]
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
     out = set()
