@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import freeze, table, texts_of
@@ -27,6 +27,8 @@ from tessera.llm.common import freeze, table, texts_of
 BROADCAST_PRINTS = 200_000
 #: Text that a range of documents holds, about.
 RANGE_BYTES = 64 << 20
+#: Characters of the text by which ranges may divide the rows of one doc_id.
+TIE_CHARS = 32
 
 
 def canonical(text: str) -> str:
@@ -85,67 +87,75 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows dealt into ranges of descending doc_id and sorted; a range's last row is followed by a copy of the next range's first (``halo``).
+REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    The ranges follow from doc_id quantiles, of which the driver holds ``parts``; the first row of each is found by a small aggregation.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted({int(q) for q in rows.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}, reverse=True)
-    # range 0 holds the largest doc_ids; rows at or below the i-th cut lie beyond range i
-    place = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-        place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: F.col("doc_id") <= c)))
-    rows = rows.withColumn("range", place)
-    firsts = sorted((r["range"], r["first"]) for r in rows.groupBy("range").agg(F.max("doc_id").alias("first")).collect())
-    heads = {r: firsts[i - 1][0] for i, (r, _) in enumerate(firsts)}  # the range before; before the first the last
-    first = docs.sparkSession.createDataFrame([(r, f, heads[r]) for r, f in firsts], "range int, first long, before int")
-    tagged = rows.join(F.broadcast(first), "range")
-    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("halo"))
-    halo = F.struct(F.col("before").alias("range"), F.lit(True).alias("halo"))
-    copies = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(own, halo)).otherwise(F.array(own))
-    dealt = tagged.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", F.col("to.range").alias("range"), F.col("to.halo").alias("halo"))
-    return dealt.repartition(parts, "range").sortWithinPartitions("range", "halo", F.col("doc_id").desc_nulls_last(), "text")
-
-
-def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def row(one: tuple, after: tuple) -> tuple:
-        doc_id, text, form = one[1], one[2], one[3]
-        changed = edited(text, after[2])
-        other = canonical(changed)
-        return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), xxhash.xxh3_128_hexdigest(form.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_hexdigest(other.encode("utf-8", "surrogatepass")), likeness(form, other), likeness(form, after[3])
-
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+def _report_row(doc_id: int | None, text: str, form: str, after: str, after_form: str) -> tuple:
+    changed = edited(text, after)
+    other = canonical(changed)
+    digest = lambda t: xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass"))
+    return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), digest(form), digest(other), likeness(form, other), likeness(form, after_form)
+
+
+def _report_batch(rows: list[tuple], edges: list[tuple] | None = None) -> pa.RecordBatch:
+    """Report rows, and behind them ``edges`` (doc_id, range, first, last)."""
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    held, done = None, None  # the last row seen; the range whose last row has met its halo
+    names = [c.split()[0] for c in REPORT.split(", ")]
+    if edges is not None:
+        rows = [(*r, None, None, None) for r in rows] + [(e[0], *[None] * 6, *e[1:]) for e in edges]
+        kinds, names = [*kinds, pa.int32(), pa.string(), pa.string()], [*names, "range", "first", "last"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Report rows of a sorted range but its last, which meets a row of another range: then the range's first and last text."""
+    first, held, place = None, None, None
     for part, texts in texts_of(batches):
         out = []
-        for doc_id, text, place, halo in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
-            if halo and done == place:  # rows that repeat the first doc_id
-                continue
-            now = (place, doc_id, text, canonical(text))
-            if held is not None and held[0] == place:
-                out.append(row(held, now))
-            if halo:
-                held, done = None, place
+        for doc_id, text in zip(part.column(0).to_pylist(), texts):
+            now = (doc_id, text, canonical(text))
+            if held is None:
+                first, place = text, part.column(2)[0].as_py()
             else:
-                held = now
+                out.append(_report_row(*held, *now[1:]))
+            held = now
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            yield _report_batch(out, [])
+    if held is not None:
+        yield _report_batch([], [(held[0], place, first, held[1])])
 
 
-def edit_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per document."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
-    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, parts).mapInArrow(_edits, kinds)
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts in texts_of(batches):
+        yield _report_batch([_report_row(i, t, canonical(t), a, canonical(a)) for i, t, a in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist())])
+
+
+def edit_report(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per document.
+
+    Documents are sorted in ranges, by doc_id descending and then by the text, whose first characters divide the rows of one doc_id
+    or of none. Each range is reported on and written in one pass; its first and last text are met with its neighbours' after that, a row a range.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if parts is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    last_first = F.col("doc_id").desc_nulls_last()
+    ranges = rows.repartitionByRange(parts, last_first, F.substring("text", 1, TIE_CHARS)).sortWithinPartitions(last_first, "text")
+    ranges = ranges.withColumn("range", F.spark_partition_id())
+    found = freeze(ranges.mapInArrow(_inner, REPORT + ", range int, first string, last string"), "edits")
+    edges = found.where("range is not null")
+    # numbers alone: as many as ranges
+    after = F.coalesce(F.lead("range").over(Window.orderBy("range")), F.first("range").over(Window.orderBy("range")))
+    met = edges.join(edges.select("range", after.alias("after")), "range").select("doc_id", F.col("last").alias("text"), "after")
+    met = met.join(edges.select(F.col("range").alias("after"), F.col("first").alias("following")), "after").select("doc_id", "text", "following")
+    ends = freeze(met.mapInArrow(_across, REPORT), "range-ends")
+    return found.where("range is null").select(*ends.columns).union(ends)
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    report = freeze(edit_report(docs), "edits")
+    report = edit_report(docs)
     groups = exact_groups(docs, report.select("doc_id", "fingerprint"))
     same = (F.col("r.fingerprint") == F.col("g.fingerprint")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id"))
     return report.alias("r").join(groups.alias("g"), same, "left").select("r.*", "g.group_id", "g.copies")

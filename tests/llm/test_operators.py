@@ -277,7 +277,13 @@ def test_fingerprint(spark, docs, empty, texts):
         print_ = lambda t: xxhash.xxh3_128_hexdigest(brute_form(t).encode())
         want.append((i, len(t), hashlib.sha256(edit.encode()).hexdigest(), print_(t), print_(edit), same(t, edit), same(t, after)))
     key = lambda r: tuple(map(str, r))
-    assert sorted((tuple(r) for r in fingerprint.edit_report(docs).collect()), key=key) == sorted(want, key=key)
+    for parts in (None, 1, 9):
+        assert sorted((tuple(r) for r in fingerprint.edit_report(docs, parts).collect()), key=key) == sorted(want, key=key)
+    tied = spark.createDataFrame([(i, f"{i} {j % 60:05d} " + "x" * j) for i in (None, 4) for j in range(300)], "doc_id long, text string").repartition(5)
+    ordered = sorted(tied.collect(), key=lambda r: (r["doc_id"] is None, r["text"]))
+    want = sorted((r["doc_id"], len(r["text"]), hashlib.sha256(fingerprint.edited(r["text"], n["text"]).encode()).hexdigest()) for r, n in zip(ordered, ordered[1:] + ordered[:1]) if r["doc_id"])
+    got = fingerprint.edit_report(tied, 40)
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got.where("doc_id is not null").collect()) == want and got.count() == 600
     groups = {r["doc_id"]: (r["group_id"], r["copies"]) for r in fingerprint.exact_groups(docs).collect() if r["doc_id"] is not None}
     assert groups[1] == (0, 4) and groups[8] == (7, 2) and groups[4] == (4, 2)
     rows = [(i, t or "") for i, t in enumerate(texts)] + [(None, texts[0]), (2, texts[2])]
