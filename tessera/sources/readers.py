@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote, urlsplit
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +25,47 @@ REARRANGEMENT = {
 }
 
 
+def file_name() -> Column:
+    """The file's name as it stands in its folder; Spark's own column has it percent-encoded."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def sample_of_file() -> Column:
     """The file's name up to its first dot or underscore."""
-    return F.regexp_extract("_metadata.file_name", r"^([^_.]+)", 1)
+    return F.regexp_extract(file_name(), r"^([^_.]+)", 1)
+
+
+#: Bytes by which a file's first line is read.
+HEAD_BYTES = 1 << 16
+
+
+def first_line(path: str) -> str:
+    """The first line of a file, ungzipped, without its end and a mark of byte order; reading stops there.
+
+    ``path`` as Spark lists it: a scheme that Arrow has a file system for (file, hdfs, s3a, gs, abfss) or none.
+    """
+    scheme = urlsplit(path).scheme
+    if scheme in ("", "file"):
+        system, name = pyarrow.fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+    else:
+        system, name = pyarrow.fs.FileSystem.from_uri(quote(re.sub("^s3[an]:", "s3:", path), safe="/:@"))
+    found = b""
+    with system.open_input_stream(name, compression="gzip" if name.endswith(".gz") else None, buffer_size=HEAD_BYTES) as stream:
+        while b"\n" not in found and (block := stream.read(HEAD_BYTES)):
+            found += block
+    return found.split(b"\n", 1)[0].decode("utf-8-sig", "replace").rstrip("\r")
+
+
+def headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, head): the first line of each file, read in tasks through a file handle, so that a file's first block alone is read; files of no bytes have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0)
+            yield pa.RecordBatch.from_arrays([names, pa.array([first_line(n) for n in names.to_pylist()], pa.string())], names=["path", "head"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path")  # a listing: contents are not read
+    return files.repartition("path").mapInArrow(run, "path string, head string")
 
 
 def read_tsv(spark: SparkSession, paths: str | list[str], columns: dict[str, tuple[str, str]], sample: Column | None = None) -> DataFrame:
@@ -32,11 +74,7 @@ def read_tsv(spark: SparkSession, paths: str | list[str], columns: dict[str, tup
     ``columns``: header -> (name, type). Columns are found by name in each file: others are not read, their order does not
     matter, and one that a file lacks is null there, as is a value that is not of the type. Empty values are null.
     """
-    heads = spark.read.text(paths, wholetext=False).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
-    first = heads.where("at = 0").groupBy("path").agg(F.first("value").alias("head"))
-    groups: dict[str, list[str]] = {}
-    for r in first.collect():  # a header per file
-        groups.setdefault((r["head"] or "").removeprefix("﻿"), []).append(r["path"])
+    groups = {r["head"]: r["paths"] for r in headers(spark, paths).groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()}  # a name per file
     out = None
     for head, own in sorted(groups.items()):
         names = [h.strip().strip('"') for h in head.split("\t")]
@@ -58,7 +96,7 @@ def read_rearrangements(spark: SparkSession, paths: str | list[str]) -> DataFram
 
 def read_lengths(spark: SparkSession, paths: str | list[str], value: str = "mean_subsamples") -> DataFrame:
     """(sample_short, len, value) from frequency summaries (``param``, ``group``, ...): the rows of CDR3 lengths, unparsable ones dropped."""
-    rows = read_tsv(spark, paths, {"param": ("param", "string"), "group": ("len", "int"), value: ("value", "double")}, F.regexp_extract("_metadata.file_name", r"^(.*?)_[^_]*$", 1))
+    rows = read_tsv(spark, paths, {"param": ("param", "string"), "group": ("len", "int"), value: ("value", "double")}, F.regexp_extract(file_name(), r"^(.*?)_[^_]*$", 1))
     return rows.where("param = 'cdr3_length' AND len IS NOT NULL AND value IS NOT NULL").select("sample_short", "len", "value")
 
 

@@ -3,6 +3,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import clean
 from tessera.sources import readers
@@ -36,6 +37,20 @@ def test_rearrangements(spark, tmp_path):
         readers.require(rows, ["cnt", "nothing"])
 
 
+def test_headers_of_any_form(spark, tmp_path):
+    """Byte order marks, line ends of two kinds, a header longer than a block, a name with blanks, a large body that is left alone."""
+    head = "\t".join(f"column{i}" for i in range(20_000))
+    put(tmp_path / "in/long.tsv", head + "\n" + "1\t" * 19_999 + "1\n")
+    put(tmp_path / "in/with blanks+%.tsv.gz", "\ufeffa\tb\r\n" + "1\t2\r\n" * 200_000)
+    put(tmp_path / "in/bare.tsv", "a\tb")
+    put(tmp_path / "in/none.tsv", "")
+    got = {r["path"].rsplit("/", 1)[1]: r["head"] for r in readers.headers(spark, str(tmp_path / "in")).collect()}
+    assert got == {"long.tsv": head, "with blanks+%.tsv.gz": "a\tb", "bare.tsv": "a\tb"}
+    assert len(head) > readers.HEAD_BYTES
+    rows = readers.read_tsv(spark, str(tmp_path / "in"), {"b": ("b", "int"), "column7": ("c", "int")})
+    assert {(r["sample_short"], r["b"], r["c"], r["n"]) for r in rows.groupBy("sample_short", "b", "c").agg(F.count("*").alias("n")).collect()} == {("with blanks+%", 2, None, 200_000), ("long", None, 1, 1)}
+
+
 def test_counts_that_are_no_numbers(spark):
     rows = spark.createDataFrame([("a", "C", "V", "J", "2"), ("a", "C", "V", "J", "x"), ("a", None, "V", "J", None)], "sample_short string, aminoAcid string, vFamilyName string, jGeneName string, cnt string")
     assert {(r["aminoAcid"], r["cnt"]) for r in clean.clonotypes(rows).collect()} == {("C", 3.0), (None, 1.0)}
