@@ -72,6 +72,28 @@ def min_support(values: DataFrame, index: list[str], more_than: float, samples:
     return values.join(keep, index, "left_semi")
 
 
+#: The published ten Kidera factors.
+KIDERA = """
+prop A R N D C Q E G H I L K M F P S T W Y V
+KF1 -1.56 0.22 1.14 0.58 0.12 -0.47 -1.45 1.46 -0.41 -0.73 -1.04 -0.34 -1.40 -0.21 2.06 0.81 0.26 0.30 1.38 -0.74
+KF2 -1.67 1.27 -0.07 -0.22 -0.89 0.24 0.19 -1.96 0.52 -0.16 0.00 0.82 0.18 0.98 -0.33 -1.08 -0.70 2.10 1.48 -0.71
+KF3 -0.97 1.37 -0.12 -1.58 0.45 0.07 -1.61 -0.23 -0.28 1.79 -0.24 -0.23 -0.42 -0.36 -1.15 0.16 1.21 -0.72 0.80 2.04
+KF4 -0.27 1.87 0.81 0.81 -1.05 1.10 1.17 -0.16 0.28 -0.77 -1.10 1.70 -0.73 -1.43 -0.75 0.42 0.63 -1.57 -0.56 -0.40
+KF5 -0.93 -1.70 0.18 -0.92 -0.71 1.10 -1.31 0.10 1.61 -0.54 -0.55 1.54 2.00 0.22 0.88 -0.21 -0.10 -1.16 0.00 0.50
+KF6 -0.78 0.46 0.37 0.15 2.41 0.59 0.40 -0.11 1.01 0.03 -2.05 -1.62 1.52 -0.81 -0.45 -0.43 0.21 0.57 -0.68 -0.81
+KF7 -0.20 0.92 -0.09 -1.52 1.52 0.84 0.04 1.32 -1.85 -0.83 0.96 1.15 0.26 0.67 0.30 -1.89 0.24 -0.48 -0.31 -1.07
+KF8 -0.08 -0.39 1.23 0.47 -0.69 -0.71 0.38 2.36 0.47 0.51 -0.76 -0.08 0.11 1.10 -2.30 -1.15 -1.15 -0.40 1.03 0.06
+KF9 0.21 0.23 1.10 0.76 1.13 -0.03 -0.35 -1.66 1.13 0.66 0.45 -0.48 -1.27 1.71 0.74 -0.97 -0.56 -2.30 -0.05 -0.46
+KF10 -0.48 0.93 -1.73 0.70 1.10 -2.33 -0.12 0.46 1.63 -1.78 0.93 0.60 0.27 -0.44 -0.28 -0.23 0.19 -0.60 0.53 0.65
+"""
+
+
+def kidera(spark: SparkSession) -> DataFrame:
+    """(AA, prop, value) of the Kidera factors KF1 to KF10."""
+    (_, *letters), *factors = (line.split() for line in KIDERA.strip().splitlines())
+    return spark.createDataFrame([(a, prop, float(v)) for prop, *row in factors for a, v in zip(letters, row)], "AA string, prop string, value double")
+
+
 def cruciani(spark: SparkSession) -> DataFrame:
     """(AA, prop, value). The published Cruciani properties PP1 to PP3."""
     letters = "A R N D C E Q G H I L K M F P S T W Y V".split()

@@ -226,13 +226,13 @@ add("v_family_of_public", _PUB + """, p AS (SELECT DISTINCT aminoAcid, vFamilyNa
 _PROPS = "+pr(AA_, prop, value) AS (VALUES {}), pm AS (SELECT sample_short, IMGT_position, prop, sum(cnt * value) / nullif(sum(cnt)::DOUBLE, 0) AS mean_value FROM res JOIN pr USING (AA_) GROUP BY ALL)"
 
 
-def _prop_sql() -> str:
+def _prop_sql(properties=imgt.cruciani) -> str:
     class Rows:  # the fixed table as literal rows
         @staticmethod
         def createDataFrame(rows, _):
             return rows
 
-    return _PROPS.format(", ".join(f"('{a}', '{p}', {v!r}::DOUBLE)" for a, p, v in imgt.cruciani(Rows)))
+    return _PROPS.format(", ".join(f"('{a}', '{p}', {v!r}::DOUBLE)" for a, p, v in properties(Rows)))
 
 
 def _props(s, d):
@@ -243,9 +243,18 @@ def _props(s, d):
 add("weighted_mean_property", _prop_sql() + " SELECT * FROM pm", ("mean_value",))(_props)
 
 
-add("weighted_mean_freqs", _prop_sql() + """, fr AS (SELECT sample_short, IMGT_position, AA_, sum(cnt) AS c FROM res GROUP BY ALL), fq AS (SELECT *, c / sum(c) OVER (PARTITION BY sample_short, IMGT_position) AS f FROM fr)
-SELECT sample_short, IMGT_position, prop, sum(f * value) / sum(f) AS mean_value FROM fq JOIN pr USING (AA_) GROUP BY ALL""", ("mean_value",))(
-    lambda s, d: imgt.property_means(imgt.aa_table(imgt.residues(_merged(s, d))), imgt.cruciani(s), ["sample_short", "IMGT_position"], "counts_freq"))
+_MEAN_OF_FREQS = """, fr AS (SELECT sample_short, IMGT_position, AA_, sum(cnt) AS c FROM res GROUP BY ALL), fq AS (SELECT *, c / sum(c) OVER (PARTITION BY sample_short, IMGT_position) AS f FROM fr)
+SELECT sample_short, IMGT_position, prop, sum(f * value) / nullif(sum(f), 0) AS mean_value FROM fq JOIN pr USING (AA_) GROUP BY ALL"""
+
+
+def _means_of_freqs(s, d, properties):
+    return imgt.property_means(imgt.aa_table(imgt.residues(_merged(s, d))), properties(s), ["sample_short", "IMGT_position"], "counts_freq")
+
+
+add("weighted_mean_freqs", _prop_sql() + _MEAN_OF_FREQS, ("mean_value",))(lambda s, d: _means_of_freqs(s, d, imgt.cruciani))
+# factors of two digits over totals of 2^n are exact ties of the last digit; a shift beyond the noise of the sums rounds them alike
+add("weighted_mean_kidera", _prop_sql(imgt.kidera) + _MEAN_OF_FREQS.replace("AS mean_value", "+ 1e-12 AS mean_value"), ("mean_value",))(
+    lambda s, d: _means_of_freqs(s, d, imgt.kidera).withColumn("mean_value", F.col("mean_value") + 1e-12))
 
 
 def _positional(s, d):
