@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.tails import benjamini_hochberg, chi2_p, f_upper, rank_sum_p, t_p
+from tessera.sources.staging import inline
 
 #: Comparison -> its two sides, as lists of genotypes.
 TAGS = {
@@ -29,8 +30,7 @@ def all_pairs(genotypes: list[str]) -> dict[str, tuple[list[str], list[str]]]:
 def _sides(rows: DataFrame, tags: dict | None = None) -> DataFrame:
     """Each row once per comparison and side it belongs to."""
     sides = [(tag, g, side) for tag, pair in (tags or TAGS).items() for side, names in zip("ab", pair) for g in names]
-    plan = rows.sparkSession.createDataFrame(sides, "tag string, genotype string, side string")
-    return rows.join(F.broadcast(plan), "genotype")
+    return rows.join(inline(rows.sparkSession, sides, "tag string, genotype string, side string"), "genotype")
 
 
 def _two_sided(rows: DataFrame, index: list[str], value: str, tags: dict | None = None) -> DataFrame:

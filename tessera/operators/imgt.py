@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import inline
+
 CORE = 13
 LEAST, MOST = 8, 25
 
@@ -14,9 +16,9 @@ def folded() -> Column:
 
 
 def valid(least: int = LEAST, most: int = MOST) -> Column:
-    aa = folded()
-    ends = aa.endswith("F") | aa.endswith("W") | aa.endswith("YV")
-    return F.coalesce(F.length(aa).between(least, most) & aa.startswith("C") & ends & aa.rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"), F.lit(False))
+    """One pattern, so that a filter that Catalyst moves below an aggregation, to where ``aminoAcid`` is made, makes it once."""
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    return F.coalesce(folded().rlike(rf"\A(?=[{letters}]{{{least},{most}}}\z)C.*(F|W|YV)\z"), F.lit(False))
 
 
 def positions(length: int) -> list[str]:
@@ -36,7 +38,7 @@ def numbering(least: int = LEAST, most: int = MOST) -> list[tuple[int, int, str]
 
 def residues(counts: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """A row per residue of each valid clonotype, with its IMGT position: a lookup of some hundred rows, no UDF."""
-    look_up = counts.sparkSession.createDataFrame(numbering(least, most), "len int, idx int, IMGT_position string")
+    look_up = inline(counts.sparkSession, numbering(least, most), "len int, idx int, IMGT_position string")
     rows = counts.where(valid(least, most)).withColumn("aa_", folded()).withColumn("len", F.length("aa_"))
     rows = rows.select(*counts.columns, "len", F.posexplode(F.split("aa_", "")).alias("idx", "AA"))
     return rows.join(F.broadcast(look_up), ["len", "idx"])
@@ -60,16 +62,16 @@ def median_with_zeros(values: DataFrame, by: list[str], iterations: int, value:
 
 
 def property_means(table: DataFrame, properties: DataFrame, by: list[str], value: str = "counts") -> DataFrame:
-    """Mean of each property weighted by ``value``; null where that sums to 0; unknown residues drop out. ``properties``: 20 residues each."""
-    rows = table.join(F.broadcast(properties), "AA")
+    """Mean of each property weighted by ``value``; null where that sums to 0; unknown residues drop out. Spark broadcasts ``properties`` by its size."""
+    rows = table.join(properties, "AA")
     weight = F.sum(F.col(value).cast("double"))
     return rows.groupBy(*by, "prop").agg((F.sum(F.col(value) * F.col("value")) / F.nullif(weight, F.lit(0.0))).alias("mean_value"))
 
 
 def min_support(values: DataFrame, index: list[str], more_than: float, samples: int, value: str) -> DataFrame:
-    """Rows whose index has at least ``samples`` samples with a value over ``more_than``."""
-    keep = values.groupBy(*index).agg(F.count_if(F.col(value) > more_than).alias("_n")).where(F.col("_n") >= samples).select(*index)
-    return values.join(keep, index, "left_semi")
+    """Rows whose index has at least ``samples`` samples with a value over ``more_than``: one pass, a row a sample under an index."""
+    n = F.count_if(F.col(value) > more_than).over(Window.partitionBy(*index))
+    return values.withColumn("_n", n).where(F.col("_n") >= samples).drop("_n")
 
 
 #: The published ten Kidera factors.
@@ -88,21 +90,33 @@ KF10 -0.48 0.93 -1.73 0.70 1.10 -2.33 -0.12 0.46 1.63 -1.78 0.93 0.60 0.27 -0.44
 """
 
 
+PROPERTY = "AA string, prop string, value double"
+
+
+def kidera_values() -> list[tuple[str, str, float]]:
+    (_, *letters), *factors = (line.split() for line in KIDERA.strip().splitlines())
+    return [(a, prop, float(v)) for prop, *row in factors for a, v in zip(letters, row)]
+
+
 def kidera(spark: SparkSession) -> DataFrame:
     """(AA, prop, value) of the Kidera factors KF1 to KF10."""
-    (_, *letters), *factors = (line.split() for line in KIDERA.strip().splitlines())
-    return spark.createDataFrame([(a, prop, float(v)) for prop, *row in factors for a, v in zip(letters, row)], "AA string, prop string, value double")
+    return inline(spark, kidera_values(), PROPERTY)
 
 
-def cruciani(spark: SparkSession) -> DataFrame:
-    """(AA, prop, value). The published Cruciani properties PP1 to PP3."""
+def cruciani_values() -> list[tuple[str, str, float]]:
+    """The published Cruciani properties PP1 to PP3."""
     letters = "A R N D C E Q G H I L K M F P S T W Y V".split()
     values = {
         "PP1": [-0.96, 0.8, 0.82, 1, -0.55, 0.94, 0.78, -0.88, 0.67, -0.94, -0.9, 0.6, -0.82, -0.85, -0.81, 0.41, 0.4, 0.06, 0.31, -1],
         "PP2": [-0.76, 0.63, -0.57, -0.89, -0.47, -0.54, -0.3, -1, -0.11, -0.05, 0.03, 0.1, 0.03, 0.48, -0.4, -0.82, -0.64, 1, 0.42, -0.43],
         "PP3": [0.31, 0.99, 0.02, -1, 0.19, -0.99, -0.38, 0.49, 0.37, -0.18, -0.24, 1, -0.08, -0.58, -0.07, 0.57, 0.37, -0.47, -0.2, -0.1461],
     }
-    return spark.createDataFrame([(a, p, float(v)) for p, row in values.items() for a, v in zip(letters, row)], "AA string, prop string, value double")
+    return [(a, p, float(v)) for p, row in values.items() for a, v in zip(letters, row)]
+
+
+def cruciani(spark: SparkSession) -> DataFrame:
+    """(AA, prop, value) of the Cruciani properties."""
+    return inline(spark, cruciani_values(), PROPERTY)
 
 
 def decimal_position(position: str = "IMGT_position") -> Column:

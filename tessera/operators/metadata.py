@@ -75,15 +75,20 @@ def anonymous_ids(annotation: DataFrame) -> DataFrame:
 def group_of(samples: DataFrame, groups: DataFrame) -> DataFrame:
     """``samples`` with ``grp``: that of the id without its cell letter if listed, else that of the full id, else null.
 
-    ``groups`` (member, grp) is a specification by hand, one group a member.
+    ``groups`` (member, grp): one group a member, the least of several. Spark broadcasts it if it is small.
     """
     one = groups.groupBy("member").agg(F.min("grp").alias("grp"))
-    base, full = (F.broadcast(one.select(F.col("member").alias(f"_{k}"), F.col("grp").alias(f"_g{k}"))) for k in "bf")
+    base, full = (one.select(F.col("member").alias(f"_{k}"), F.col("grp").alias(f"_g{k}")) for k in "bf")
     stem = F.regexp_replace("sample_short", "[NE]$", "")
     joined = samples.join(base, stem == F.col("_b"), "left").join(full, F.col("sample_short") == F.col("_f"), "left")
     return joined.select(*[F.col(c) for c in samples.columns if c != "grp"], F.coalesce("_gb", "_gf").alias("grp"))
 
 
+def of_cells(rows: DataFrame, cells: str, sample: str = "sample_short") -> DataFrame:
+    """Rows of the samples whose name ends in the letter of ``cells`` (E or N); a null name is of none."""
+    return rows.where(F.col(sample).endswith(cells))
+
+
 def cleanup_by_sample(summary: DataFrame) -> DataFrame:
     """``cleanup_summary`` as a row per sample, 0 for categories it lacks."""
     names = ("removed", "productive", "nonproductive")

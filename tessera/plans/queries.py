@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import clean, comparisons, diversity, imgt, overlap, sampling
+from tessera.operators import clean, comparisons, diversity, imgt, metadata, overlap, sampling
 from tessera.sources.adapter import REMOVED, REPERTOIRE, annotation, removal, repertoire
 
 KEY = clean.KEY
@@ -226,13 +226,8 @@ add("v_family_of_public", _PUB + """, p AS (SELECT DISTINCT aminoAcid, vFamilyNa
 _PROPS = "+pr(AA_, prop, value) AS (VALUES {}), pm AS (SELECT sample_short, IMGT_position, prop, sum(cnt * value) / nullif(sum(cnt)::DOUBLE, 0) AS mean_value FROM res JOIN pr USING (AA_) GROUP BY ALL)"
 
 
-def _prop_sql(properties=imgt.cruciani) -> str:
-    class Rows:  # the fixed table as literal rows
-        @staticmethod
-        def createDataFrame(rows, _):
-            return rows
-
-    return _PROPS.format(", ".join(f"('{a}', '{p}', {v!r}::DOUBLE)" for a, p, v in properties(Rows)))
+def _prop_sql(properties=imgt.cruciani_values) -> str:
+    return _PROPS.format(", ".join(f"('{a}', '{p}', {v!r}::DOUBLE)" for a, p, v in properties()))
 
 
 def _props(s, d):
@@ -253,7 +248,7 @@ def _means_of_freqs(s, d, properties):
 
 add("weighted_mean_freqs", _prop_sql() + _MEAN_OF_FREQS, ("mean_value",))(lambda s, d: _means_of_freqs(s, d, imgt.cruciani))
 # factors of two digits over totals of 2^n are exact ties of the last digit; a shift beyond the noise of the sums rounds them alike
-add("weighted_mean_kidera", _prop_sql(imgt.kidera) + _MEAN_OF_FREQS.replace("AS mean_value", "+ 1e-12 AS mean_value"), ("mean_value",))(
+add("weighted_mean_kidera", _prop_sql(imgt.kidera_values) + _MEAN_OF_FREQS.replace("AS mean_value", "+ 1e-12 AS mean_value"), ("mean_value",))(
     lambda s, d: _means_of_freqs(s, d, imgt.kidera).withColumn("mean_value", F.col("mean_value") + 1e-12))
 
 
@@ -265,6 +260,8 @@ def _positional(s, d):
 _TEST = """, g AS (SELECT sample_short, IMGT_position, AA_ AS AA, sum(cnt) AS c FROM res GROUP BY ALL), f AS (SELECT sample_short, IMGT_position, AA, c / sum(c) OVER (PARTITION BY sample_short, IMGT_position) AS value FROM g),
 tr AS (SELECT f.*, patient, cells, genotype FROM f JOIN ann USING (sample_short) WHERE (IMGT_position, AA) IN (SELECT (IMGT_position, AA) FROM f GROUP BY IMGT_position, AA HAVING count(*) FILTER (value > 0) >= 5)),
 tg(tag, genotype, side) AS (VALUES ('oo','hoDQ2','a'), ('oo','hoDQ8','b'), ('eo','heDQ2DQ8','a'), ('eo','hoDQ2','b'), ('eo','hoDQ8','b'), ('do','heDQ2DQ8','a'), ('do','hoDQ8','b'), ('po','heDQ2DQ8','a'), ('po','hoDQ2','b'))"""
+for _n in "EN":
+    add(f"filter_cells_{_n}", _TEST + f" SELECT sample_short, IMGT_position, AA, value, patient, cells, genotype FROM tr WHERE sample_short LIKE '%{_n}'", ("value",))(lambda s, d, c=_n: metadata.of_cells(_positional(s, d), c))
 add("test_ready", _TEST + " SELECT sample_short, IMGT_position, AA, value, patient, cells, genotype FROM tr", ("value",))(_positional)
 _TWO = """, st AS (SELECT cells, IMGT_position, {x}, tag, count(v) FILTER (side = 'a') AS na, count(v) FILTER (side = 'b') AS nb, avg(v) FILTER (side = 'a') AS ma, avg(v) FILTER (side = 'b') AS mb, var_samp(v) FILTER (side = 'a') AS va, var_samp(v) FILTER (side = 'b') AS vb
  FROM ({rows}) JOIN tg USING (genotype) GROUP BY ALL)"""

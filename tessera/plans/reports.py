@@ -9,6 +9,7 @@ from tessera.operators import clean, comparisons, diversity, imgt, metadata, mul
 from tessera.plans import queries as q
 from tessera.plans.queries import add
 from tessera.sources.adapter import removal
+from tessera.sources.staging import written
 
 INDEX = ["cells", "IMGT_position", "AA"]
 NOISE = 1e-18  # a pooled variance of rounding noise counts as 0
@@ -230,8 +231,8 @@ add("ad_test_all_cells")(lambda s, d: comparisons.ad_test(q._lengths(s, d).withC
 
 
 def _wide_props(s, d):
-    rows = q._prop_test(s, d)
-    props = [r[0] for r in imgt.cruciani(s).select("prop").distinct().orderBy("prop").collect()]
+    rows = written(q._prop_test(s, d), "property-means")  # read by each of the tests
+    props = sorted({prop for _, prop, _ in imgt.cruciani_values()})
     return rows.groupBy("sample_short", "genotype", "cells", "IMGT_position").pivot("prop", props).agg(F.first("mean_value"))
 
 

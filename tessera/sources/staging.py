@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
@@ -26,3 +28,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows as a local relation: Catalyst knows its size, and no Python task makes it."""
+    names = StructType.fromDDL(schema).names
+    columns = dict(zip(names, zip(*rows))) if rows else {n: () for n in names}
+    return spark.createDataFrame(pa.table({n: pa.array(c) for n, c in columns.items()}), schema)

@@ -60,6 +60,36 @@ def test_positions():
     assert imgt.positions(25)[8:18] == ["111A", "111B", "111C", "111D", "111E", "112E", "112D", "112C", "112B", "112A"]
 
 
+def test_validity(spark):
+    """As written out in plain Python, for ends, letters, lengths, blanks and breaks of lines."""
+    rest = "ASSLGQAYEQ"
+    texts = [None, "", "C", "CF", " " + "C" + rest + "YF ", "c" + rest + "yf", "C" + rest + "YV", "C" + rest + "V", "C" + rest + "W", "A" + rest + "F", "CAAAAAF", "CAAAAAAF", "C" + "A" * 23 + "F", "C" + "A" * 24 + "F", "C" + rest + "*F", "C" + rest + "F\n", "CB" + rest + "F"]
+
+    def plain(t):
+        a = (t or "").strip(" ").upper()
+        return 8 <= len(a) <= 25 and a[0] == "C" and a.endswith(("F", "W", "YV")) and set(a) <= set("ACDEFGHIKLMNPQRSTVWY")
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, aminoAcid string").withColumn("ok", imgt.valid()).orderBy("i").collect()
+    assert [r["ok"] for r in got] == [plain(t) for t in texts] and sum(map(plain, texts)) == 6
+
+
+def test_local_tables(spark):
+    """Small fixed tables are local relations with a known size, empty ones too; a null sample is of no cells."""
+    from tessera.operators.metadata import of_cells
+    from tessera.sources.staging import inline
+
+    table = inline(spark, [(1, "a"), (None, "b")], "n int, s string")
+    assert [tuple(r) for r in table.collect()] == [(1, "a"), (None, "b")] and "LocalTableScan" in table._jdf.queryExecution().executedPlan().toString()
+    assert inline(spark, [], "n int, s string").dtypes == [("n", "int"), ("s", "string")] and not inline(spark, [], "n int").count()
+    samples = inline(spark, [("F000E",), ("F000N",), (None,), ("E",)], "sample_short string")
+    assert sorted(r[0] for r in of_cells(samples, "E").collect()) == ["E", "F000E"]
+
+
+def test_min_support(spark):
+    rows = spark.createDataFrame([("p", "a", 1.0), ("p", "b", 0.0), ("q", "a", 1.0), ("q", "b", 0.5), ("r", "a", None)], "x string, sample_short string, value double")
+    assert sorted(r["x"] + r["sample_short"] for r in imgt.min_support(rows, ["x"], 0.0, 2, "value").collect()) == ["qa", "qb"]
+
+
 def test_hotelling_undefined():
     assert hotelling_stat(np.zeros((1, 2)), np.zeros((5, 2))) is None
     assert hotelling_stat(np.zeros((5, 2)), np.zeros((5, 2))) is None
