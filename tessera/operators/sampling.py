@@ -25,6 +25,8 @@ def _rng(*parts) -> np.random.Generator:
 
 #: Clonotypes of a sample's part, about, for draws in numpy; slices of its cumulated counts and letters of the leading key, for hashed ones.
 PART_ROWS, SLICES, LETTERS = 100_000, 16, 6
+#: Stretches and draws of a slice, about, beyond which a sample has more slices.
+SLICE_ROWS = 100_000
 
 
 def _drawn(rng: np.random.Generator, share: int, upto: np.ndarray) -> np.ndarray:
@@ -108,34 +110,35 @@ def subsample(counts: DataFrame, depth: int, iterations: int, seed: int = 42) ->
 
 
 def cumulated(counts: DataFrame) -> DataFrame:
-    """Rows with their stretch [lo, hi) of the sample's cumulated counts in the order of the key, and the sample's total.
+    """Rows with their stretch [lo, hi) of the sample's cumulated counts in the order of the key, and the sample's total and number of rows.
 
     Sums run within the key's first letters and over the sums of those, so that a sample is not one task's.
     """
     rows = written(counts.where("cnt > 0").select("sample_short", *KEY, "cnt"), "counts").select("*", F.substring(KEY[0], 1, LETTERS).alias("block"))
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    blocks = rows.groupBy("sample_short", "block").agg(F.sum("cnt").alias("size"))
+    blocks = rows.groupBy("sample_short", "block").agg(F.sum("cnt").alias("size"), F.count("*").alias("rows"))
     whole = Window.partitionBy("sample_short")
-    blocks = blocks.select("sample_short", "block", (F.sum("size").over(upto(whole.orderBy("block"))) - F.col("size")).alias("before"), F.sum("size").over(whole).alias("total"))
+    blocks = blocks.select("sample_short", "block", (F.sum("size").over(upto(whole.orderBy("block"))) - F.col("size")).alias("before"), F.sum("size").over(whole).alias("total"), F.sum("rows").over(whole).alias("rows"))
     inner = F.sum("cnt").over(upto(Window.partitionBy("sample_short", "block").orderBy(*KEY)))
     same = (F.col("r.sample_short") == F.col("b.sample_short")) & F.col("r.block").eqNullSafe(F.col("b.block"))
     out = rows.withColumn("hi", inner).alias("r").join(blocks.alias("b"), same)
     high = F.col("before") + F.col("hi")
-    return out.select("r.sample_short", *KEY, "cnt", high.alias("hi"), (high - F.col("cnt")).alias("lo"), "total")
+    return out.select("r.sample_short", *KEY, "cnt", high.alias("hi"), (high - F.col("cnt")).alias("lo"), "total", "rows")
 
 
 def subsample_hashed(counts: DataFrame, depth: int, iterations: int, seed: int = 42) -> DataFrame:
     """As ``subsample``, each draw the clonotype whose stretch of the cumulated counts holds a hashed uniform number.
 
     Stretches and draws are sorted together, slice by slice of the cumulated counts, and each draw takes the last stretch that
-    starts before it: no draw is compared with more than that.
+    starts before it: no draw is compared with more than that. A sample has a slice for ``SLICE_ROWS`` of its stretches and draws,
+    and at least ``SLICES``; how many there are changes no draw.
     """
     stretch = written(cumulated(counts), "stretches")
-    total = stretch.groupBy("sample_short").agg(F.max("total").alias("total"))
-    draws = total.select("sample_short", "total", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iter")).select("*", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("j"))
+    total = stretch.groupBy("sample_short").agg(F.max("total").alias("total"), F.max("rows").alias("rows"))
+    draws = total.select("sample_short", "total", "rows", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iter")).select("*", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("j"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "sample_short", "iter", "j")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    slice_of = lambda at: F.expr(f"({at}) * {SLICES} div total")
-    draws = draws.select("sample_short", "iter", F.floor(u * F.col("total")).cast("long").alias("at"), "total").withColumn("slice", slice_of("at"))
+    slice_of = lambda at: F.expr(f"({at}) * greatest({SLICES}, (rows + {depth * iterations}) div {SLICE_ROWS}) div total")
+    draws = draws.select("sample_short", "iter", F.floor(u * F.col("total")).cast("long").alias("at"), "total", "rows").withColumn("slice", slice_of("at"))
     starts = stretch.select("sample_short", F.struct(*KEY).alias("own"), F.col("lo").alias("at"), F.explode(F.sequence(slice_of("lo"), slice_of("hi - 1"))).alias("slice"))
     none = F.lit(None).cast(starts.schema["own"].dataType)
     rows = starts.select("sample_short", "slice", "at", F.lit(0).alias("iter"), "own").union(draws.select("sample_short", "slice", "at", "iter", none.alias("own")))

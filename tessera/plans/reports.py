@@ -256,9 +256,9 @@ SELECT tag, IMGT_position, AA, side, freq / sum(freq) OVER (PARTITION BY tag, IM
 _ORDER = imgt.position_order()
 add("imgt_order", "SELECT DISTINCT IMGT_position, CASE IMGT_position " + " ".join(f"WHEN '{p}' THEN {k}" for p, k in _ORDER.items()) + " END AS ord FROM res")(lambda s, d: imgt.with_order(imgt.residues(q._merged(s, d)).select("IMGT_position").distinct()))
 _AGAIN = _TT + """, hi AS (SELECT DISTINCT cells, IMGT_position, AA FROM tt WHERE tag = 'oo' AND abs(t) >= 1.5), av AS (SELECT tr.* REPLACE (round(value, 9) AS value) FROM tr SEMI JOIN hi USING (cells, IMGT_position, AA) WHERE genotype IN ('hoDQ2', 'hoDQ8')),
-ar AS (SELECT *, rank() OVER (PARTITION BY cells, IMGT_position, AA ORDER BY value) + (count(*) OVER (PARTITION BY cells, IMGT_position, AA, value) - 1) / 2 AS r FROM av),
-ag AS (SELECT cells, IMGT_position, AA, count(*) FILTER (genotype = 'hoDQ2') AS n1, count(*) FILTER (genotype = 'hoDQ8') AS n2, sum(r) FILTER (genotype = 'hoDQ2') AS r1 FROM ar GROUP BY ALL)
-SELECT cells, IMGT_position, AA, n1, n2, r1 - n1 * (n1 + 1) / 2 AS U FROM ag WHERE n1 > 0 AND n2 > 0"""
+ar AS (SELECT *, rank() OVER (PARTITION BY cells, IMGT_position, AA ORDER BY value) + (count(*) OVER (PARTITION BY cells, IMGT_position, AA, value) - 1) / 2 AS r, count(*) OVER (PARTITION BY cells, IMGT_position, AA, value) AS ties FROM av),
+ag AS (SELECT cells, IMGT_position, AA, count(*) FILTER (genotype = 'hoDQ2') AS n1, count(*) FILTER (genotype = 'hoDQ8') AS n2, sum(r) FILTER (genotype = 'hoDQ2') AS r1, sum(ties * ties - 1) AS tie, count(*)::DOUBLE AS n FROM ar GROUP BY ALL)
+SELECT cells, IMGT_position, AA, n1, n2, r1 - n1 * (n1 + 1) / 2 AS U, (r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / nullif(sqrt(n1 * n2 / 12 * (n + 1 - tie / (n * (n - 1)))), 0) AS z FROM ag WHERE n1 > 0 AND n2 > 0"""
 
 
 def _again(s, d):
@@ -267,6 +267,6 @@ def _again(s, d):
     return rows.select(*INDEX, F.col("genotype").alias("grp"), F.round("value", 9).alias("value"))
 
 
-add("signif_values", _AGAIN, ("U",))(lambda s, d: comparisons.wilcoxon(_again(s, d), INDEX, ("hoDQ2", "hoDQ8")).drop("z"))
+add("signif_values", _AGAIN, ("U", "z"))(lambda s, d: comparisons.wilcoxon(_again(s, d), INDEX, ("hoDQ2", "hoDQ8")))
 add("signif_values_p")(lambda s, d: comparisons.wilcoxon_test(_again(s, d), INDEX, ("hoDQ2", "hoDQ8")))
 add("p_adjust")(lambda s, d: adjusted(_plain(s, d).transform(comparisons.with_t_p), "p_value", ["cells", "tag"], "bonferroni", 3))

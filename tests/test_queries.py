@@ -47,6 +47,16 @@ def test_subsample_is_stable_and_complete(spark):
     assert set(one[one["iter"] > 0].groupby(["sample_short", "iter"])["n"].sum()) == {100}
 
 
+def test_slices_change_no_draw(spark, monkeypatch):
+    from tessera.operators import sampling
+
+    counts = queries._merged(spark, SF)
+    want = sampling.subsample_hashed(counts, 40, 2).toPandas()
+    monkeypatch.setattr(sampling, "SLICE_ROWS", 3)
+    got = sampling.subsample_hashed(counts, 40, 2).toPandas()
+    assert rows(got, list(want.columns)) == rows(want, list(want.columns)) and set(want[want["iter"] > 0].groupby(["sample_short", "iter"])["n"].sum()) == {40}
+
+
 def test_tails():
     assert math.isclose(t_two_sided(6.20, 37.2), 3.3e-7, rel_tol=0.02)
     assert math.isclose(f_upper(4.0, 1.0, 10.0), t_two_sided(2.0, 10.0), rel_tol=1e-9)
