@@ -1,15 +1,18 @@
-"""Near copies by shingle sets: MinHash bands bring pairs together, exact Jaccard similarity decides.
+"""Near copies by shingle sets: op10's SimHash and pivot tables bring pairs together, exact Jaccard similarity decides.
 
 A text's set holds its shingles of ``WORDS`` words (bytes folded as in ``simhash``), as 64-bit hashes. Texts with equal sets
-are one class. Classes that agree on one of ``BANDS`` bands of ``ROWS`` least hashes are compared set by set, and linked at a
-Jaccard similarity of ``LEAST`` or more. A pair of similarity s shares a band with probability 1 - (1 - s**5)**25: over
+are one class, and a class's fingerprint is the SimHash of its set. ``simhash.links`` groups the fingerprints that chains of
+``BITS`` or fewer differing bits connect, by its pivot distance tables; the sets of a group are compared, and linked at a
+Jaccard similarity of ``LEAST`` or more. Pairs of that similarity differ in about 10 bits, so most are beyond any radius that
+bit blocks can deal out. For these, and only where groups are still apart, classes that agree on one of ``BANDS`` bands of
+``ROWS`` least hashes are compared likewise. A pair of similarity s shares a band with probability 1 - (1 - s**5)**25: over
 0.99995 at 0.8, more above; the comparison itself loses and adds nothing.
 
-Each class is compared with its bands' leaders first: of a band the class that shares most bands with most others, as a text
-does that the others are copies of. Only bands whose classes are then still in different groups are compared whole: their
-sets are dealt by band, a band of many or long sets to pairs of parts, and a task counts what the sets of its block share,
-never a row per pair. A group of copies around one text costs a comparison a class and leader; in a loose group of m
-classes the arithmetic is quadratic, the rows are m for each ``PART`` classes of the band.
+Classes are compared with the leaders first, of their pivot group and then of their bands: the class that shares most keys
+with most others, as a text does that the others are copies of. Only pivot groups and bands whose classes are then still in
+different groups are compared whole: their sets are dealt by key, a key of many or long sets to pairs of parts, and a task
+counts what the sets of its block share, never a row per pair. A group of copies around one text costs a comparison a class
+and leader; in a loose group of m classes the arithmetic is quadratic, the rows are m for each ``PART`` classes of the key.
 
 Defined cases: null text is empty; texts without words are copies of each other; texts of fewer than ``WORDS`` words are one
 shingle; null doc_ids take no part; rows that repeat a doc_id tie their texts together; an empty table gives no rows; other
@@ -26,9 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.common import connected_components, freeze, keep_rows, local_components, texts_of
 
 WORDS, LEAST = 5, 0.8
+#: Differing bits of fingerprints that the pivot tables group, as op10's.
+BITS = 4
 BANDS, ROWS = 25, 5
 #: Sets compared with one leader in one place; sets, and hashes in them, about, of a part of a band that is compared whole.
 PART, PART_HASHES = 512, 1 << 22
@@ -72,15 +78,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, bands): the set's 128-bit digest, its size and its bands."""
+    """(doc_id, key, n, fp, bands): the set's 128-bit digest, its size, its fingerprint and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_of(batches):
             sets = [shingle_set(t) for t in texts]
             keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "n", "bands"])
+            prints = pa.array(np.array([simhash.set_fingerprint(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), prints, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "n", "fp", "bands"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n long, bands array<long>")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -176,29 +183,44 @@ def _blocks(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _by_pivots(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``near``: a key for each group of fingerprints that the pivot tables link, alone or not."""
+    groups = connected_components(simhash.links(freeze(classes.select("fp").distinct(), "copies-prints"), BITS))
+    return classes.join(groups, classes.fp == groups.node, "left").select(*classes.columns, F.xxhash64(F.coalesce("component", "fp"), F.lit("near")).alias("near"))
+
+
+def _led(keyed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(a, b) as representatives: links of that similarity between the classes ``keyed`` (key, rep, n, met, group, band) and their bands' leaders of other groups."""
+    lead = keyed.groupBy("band").agg(F.max(F.struct("met", "key", "rep", "n", "group")).alias("lead"))
+    first = keyed.join(lead, "band").where((F.col("lead.key") != F.col("key")) & (F.col("lead.group") != F.col("group")))
+    first = first.where(F.least("lead.n", "n") >= F.greatest("lead.n", "n") * F.lit(least - 1e-9))
+    first = freeze(first.select(F.col("lead.key").alias("a"), F.col("lead.rep").alias("ra"), F.col("key").alias("b"), F.col("rep").alias("rb")).distinct(), "copies-first")
+    return freeze(_similar(first, docs, least), "copies-links")
+
+
+def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` with ``group``: the smallest representative reachable."""
+    groups = connected_components(links)
+    return classes.join(groups, classes.rep == groups.node, "left").select(*classes.columns, F.coalesce("component", "rep").alias("group"))
+
+
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, component_id) of rows with a doc_id: component_id is the smallest doc_id reachable over links of that similarity."""
     sketches = freeze(_sketches(docs), "copies-sketches")
-    classes = freeze(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "copies-classes")
-    keyed = classes.select("key", "rep", "n", F.explode("bands").alias("band"))
+    classes = sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = freeze(_by_pivots(freeze(classes, "copies-classes")), "copies-near")
+    keyed = classes.select("key", "rep", "n", "near", F.explode(F.concat(F.array("near"), "bands")).alias("band"))
     sizes = keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    shared = keyed.join(sizes, "band").groupBy("key").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.collect_list("band").alias("bands"), F.sum("size").alias("met"))
+    shared = keyed.join(sizes, "band").groupBy("key").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("near").alias("near"), F.collect_list("band").alias("bands"), F.sum("size").alias("met"))
     shared = freeze(shared, "copies-shared")
-    keyed = shared.select("key", "rep", "n", "met", F.explode("bands").alias("band"))
-    lead = keyed.groupBy("band").agg(F.max(F.struct("met", "key", "rep", "n")).alias("lead"))
-    first = keyed.join(lead, "band").where(F.col("lead.key") != F.col("key"))
-    first = first.where(F.least("lead.n", "n") >= F.greatest("lead.n", "n") * F.lit(least - 1e-9))
-    first = freeze(first.select(F.col("lead.key").alias("a"), F.col("lead.rep").alias("ra"), F.col("key").alias("b"), F.col("rep").alias("rb")).distinct(), "copies-first")
-    found = freeze(_similar(first, docs, least), "copies-links")
-    groups = connected_components(found)
-    keyed = shared.join(groups, shared.rep == groups.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("group"), F.explode("bands").alias("band"))
-    keyed = freeze(keyed, "copies-named")
+    found = _led(shared.select("key", "rep", "n", "met", F.col("rep").alias("group"), F.col("near").alias("band")), docs, least)
+    apart = _grouped(shared, found).select("key", "rep", "n", "met", "group", F.explode(F.expr("array_remove(bands, near)")).alias("band"))
+    found = found.unionByName(_led(freeze(apart, "copies-apart"), docs, least))
+    keyed = freeze(_grouped(shared, found).select("key", "rep", "n", "group", F.explode("bands").alias("band")), "copies-named")
     open_ = keyed.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size"), F.sum("n").alias("held")).where("low < high")
     parts = F.greatest(F.ceil(F.col("size") / PART), F.ceil(F.col("held") / PART_HASHES)).cast("int")
     rest = freeze(keyed.join(open_.select("band", parts.alias("parts")), "band").select("key", "rep", "group", "band", "parts"), "copies-open")
-    links = found.unionByName(_blocks(rest, docs, least))
-    groups = connected_components(links)
-    named = classes.join(groups, classes.rep == groups.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    named = _grouped(classes.select("key", "rep"), found.unionByName(_blocks(rest, docs, least))).select("key", F.col("group").alias("component_id"))
     return sketches.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
 

@@ -49,6 +49,14 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of given 64-bit shingle hashes, each counted once: equal sets have equal fingerprints."""
+    counts = np.zeros(64, np.int64)
+    for low in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[low : low + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): one row per document, fp the fingerprint's 64 bits as a signed long."""
 
