@@ -148,12 +148,42 @@ class RunIndex:
 _BYTES = np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))
 
 
+def _runs(keep: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of kept windows; ``within``: each window's place in its string."""
+    opens = keep & ((within == 0) | np.concatenate([[True], ~keep[:-1]])[: len(keep)])
+    heads = np.flatnonzero(opens)
+    return heads, np.bincount((np.cumsum(opens) - 1)[keep], minlength=len(heads))
+
+
+def _may_match(text: np.ndarray, start: np.ndarray, windows: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first window, windows) of the runs of windows whose hash another owner's window of the group has too.
+
+    Equal windows have equal hashes, so the others can neither be found nor be needed as a reference.
+    """
+    seg = np.repeat(np.arange(len(windows)), windows)
+    within = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = start[seg] + within
+    words, value = words_at(text), group.astype(np.uint64)[seg]
+    for k in range(0, length, 8):
+        value = (value ^ words[at + k] >> np.uint64(8 * max(0, k + 8 - length))) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(32)
+    by = np.argsort(value, kind="stable")
+    value, held = value[by], owner[seg[by]]
+    heads = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])[: len(value)])
+    keep = np.zeros(len(seg), bool)
+    if len(heads):
+        keep[by] = np.repeat(np.minimum.reduceat(held, heads) != np.maximum.reduceat(held, heads), np.diff(np.append(heads, len(value))))
+    first, count = _runs(keep, within)
+    return seg[first], within[first], count
+
+
 def in_smaller(text: np.ndarray, start: np.ndarray, windows: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """For strings text[start:start + windows + length - 1], window by window, end to end: whether a string of the same group and a smaller owner has it.
 
-    Each group's owners are halved again and again: the strings of the smaller half are the reference, which is indexed, those of
-    the larger half are streamed through it. What a stream finds is cut off before the halves are treated on their own: it is in the
-    smaller half, so it is needed no more, neither as a reference. Windows must be unlike between groups.
+    Windows whose hash no other owner of the group has are passed over. Of the rest each group's owners are halved again and again:
+    the strings of the smaller half are the reference, which is indexed, those of the larger half are streamed through it. What a
+    stream finds is cut off before the halves are treated on their own: it is in the smaller half, so it is needed no more, neither
+    as a reference. Windows must be unlike between groups.
     """
     base = np.cumsum(windows) - windows
     hit = np.zeros(windows.sum(), bool)
@@ -166,7 +196,7 @@ def in_smaller(text: np.ndarray, start: np.ndarray, windows: np.ndarray, group:
     of = np.cumsum(new_group) - 1
     rank[by], low[by], high[by] = serial, serial[heads][of], np.append(serial[heads[1:]], serial[-1:] + 1)[of]
     tag = np.zeros(len(by), np.int64)
-    item, first, count = np.arange(len(by)), np.zeros(len(by), np.int64), windows.copy()
+    item, first, count = _may_match(text, start, windows, group, owner, length)
     while True:
         live = high[item] - low[item] > 1
         item, first, count = item[live], first[live], count[live]
@@ -192,10 +222,7 @@ def in_smaller(text: np.ndarray, start: np.ndarray, windows: np.ndarray, group:
             place = base[item[right]][seg] + first[right][seg] + within
             hit[place[found]] = True
             # what is left of the streamed strings: runs of windows that were not found
-            rest = ~found
-            opens = rest & ((within == 0) | np.concatenate([[True], found[:-1]]))
-            heads = np.flatnonzero(opens)
-            length_of = np.bincount((np.cumsum(opens) - 1)[rest], minlength=len(heads))
+            heads, length_of = _runs(~found, within)
             keep = np.ones(len(item), bool)
             keep[right] = False
             item, first, count = (np.concatenate([x[keep], y]) for x, y in ((item, item[right][seg[heads]]), (first, first[right][seg[heads]] + within[heads]), (count, length_of)))

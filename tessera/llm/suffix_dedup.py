@@ -8,9 +8,10 @@
 3. Runs of windows with one returned anchor are strings. Of each distinct string of a chunk its hash, its anchor and
    its smallest doc_id in the chunk go to the anchor's shard, which answers: the string is in a smaller document and
    goes whole; nothing else under the anchor has a say; or other strings of the anchor may hold some of its windows.
-4. Only strings of the last kind move, from the chunk with the smallest doc_id, and meet by anchor. A shard halves each
-   anchor's documents again and again: the smaller half's strings are the reference, of which a run-compressed
-   Burrows-Wheeler index is built, the larger half's are streamed through it, and what matches ``length`` bytes goes.
+4. Only strings of the last kind move, from the chunk with the smallest doc_id, and meet by anchor. A shard passes over
+   windows whose hash one document alone has under the anchor, and halves each anchor's documents again and again: the
+   smaller half's strings are the reference, of which a run-compressed Burrows-Wheeler index is built, the larger half's
+   are streamed through it, and what matches ``length`` bytes goes.
    An anchor with over ``MANY_STRINGS`` strings is dealt by its windows' hashes instead, so no shard holds it whole.
 5. The answers return to the chunk; every byte of a window with a smaller doc_id elsewhere goes.
 

@@ -333,6 +333,21 @@ def test_run_index_streams_other_strings():
         assert got.tolist() == want
 
 
+def test_run_index_passes_over_windows_of_one_owner(monkeypatch):
+    """Of strings that share a stretch only that stretch is indexed; of strings that share less than a window nothing is."""
+    rng, built, real = np.random.default_rng(1), [], runindex.RunIndex
+    monkeypatch.setattr(runindex, "RunIndex", lambda pieces, tags: built.append(sum(map(len, pieces))) or real(pieces, tags))
+    letters = lambda n, low=65, many=26: bytes(rng.integers(low, low + many, n).astype(np.uint8))
+    for shared, length, n_hit in ((60, 50, 11), (49, 50, 0), (60, 61, 0), (12, 5, 8)):
+        same = letters(shared)
+        rows = [letters(a, 97 + 8 * k, 8) + same + letters(300 - a, 97 + 8 * k, 8) for k, a in enumerate((10, 200, 90))]
+        size = np.array([len(s) for s in rows])
+        built.clear()
+        got = runindex.in_smaller(np.frombuffer(b"".join(rows), np.uint8), np.cumsum(size) - size, size - length + 1, np.zeros(3, np.int64), np.array([7, 5, 7]), length)
+        where = [np.flatnonzero(h).tolist() for h in np.split(got, np.cumsum(size - length + 1)[:-1])]
+        assert where == [list(range(10, 10 + n_hit)), [], list(range(90, 90 + n_hit))] and built == [shared] * (n_hit > 0)
+
+
 def test_packing(docs, empty, texts):
     from tokenizers import Tokenizer
 
