@@ -9,6 +9,8 @@ below, whichever sampled suffix shares more with the current match.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 MARK = 0xFF
@@ -155,17 +157,17 @@ def _runs(keep: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return heads, np.bincount((np.cumsum(opens) - 1)[keep], minlength=len(heads))
 
 
-def _may_match(text: np.ndarray, start: np.ndarray, windows: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _may_match(words: np.ndarray, start: np.ndarray, windows: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, first window, windows) of the runs of windows whose hash another owner's window of the group has too.
 
-    Equal windows have equal hashes, so the others can neither be found nor be needed as a reference.
+    Equal windows have equal hashes, so the others can neither be found nor be needed as a reference. ``words``: the text's eight bytes from any place on.
     """
     seg = np.repeat(np.arange(len(windows)), windows)
     within = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = start[seg] + within
-    words, value = words_at(text), group.astype(np.uint64)[seg]
+    value = group.astype(np.uint64)[seg]
     for k in range(0, length, 8):
-        value = (value ^ words[at + k] >> np.uint64(8 * max(0, k + 8 - length))) * np.uint64(0x9E3779B97F4A7C15)
+        value = (value ^ words[at + k].astype(np.uint64) >> np.uint64(8 * max(0, k + 8 - length))) * np.uint64(0x9E3779B97F4A7C15)
         value ^= value >> np.uint64(32)
     by = np.argsort(value, kind="stable")
     value, held = value[by], owner[seg[by]]
@@ -177,35 +179,60 @@ def _may_match(text: np.ndarray, start: np.ndarray, windows: np.ndarray, group:
     return seg[first], within[first], count
 
 
+#: Windows that are hashed at once, and bytes of strings that are indexed and streamed at once, about: whole groups, one at least.
+HASHED, STREAMED = 1 << 20, 8 << 20
+
+
+def _in_turn(heads: np.ndarray, size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of strings, whole groups, whose ``size`` adds up to about ``most``; ``heads``: each group's first string."""
+    upto = np.append(np.cumsum(size) - size, size.sum())
+    turn = upto[np.append(heads[1:], len(size))] // most
+    cuts = heads[np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]])[: len(heads)])].tolist()
+    return zip(cuts, [*cuts[1:], len(size)])
+
+
 def in_smaller(text: np.ndarray, start: np.ndarray, windows: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """For strings text[start:start + windows + length - 1], window by window, end to end: whether a string of the same group and a smaller owner has it.
 
     Windows whose hash no other owner of the group has are passed over. Of the rest each group's owners are halved again and again:
     the strings of the smaller half are the reference, which is indexed, those of the larger half are streamed through it. What a
     stream finds is cut off before the halves are treated on their own: it is in the smaller half, so it is needed no more, neither
-    as a reference. Windows must be unlike between groups.
+    as a reference. Windows must be unlike between groups. Groups go in turn, many at once, as a step of a stream costs about the
+    same for one string and for a thousand.
     """
-    base = np.cumsum(windows) - windows
     hit = np.zeros(windows.sum(), bool)
     by = np.lexsort((owner, group))
-    new_group = np.concatenate([[True], group[by][1:] != group[by][:-1]])[: len(by)]
-    new = new_group | np.concatenate([[True], owner[by][1:] != owner[by][:-1]])[: len(by)]
-    rank, low, high = (np.empty(len(by), np.int64) for _ in range(3))
-    serial = np.cumsum(new) - 1
-    heads = np.flatnonzero(new_group)
-    of = np.cumsum(new_group) - 1
-    rank[by], low[by], high[by] = serial, serial[heads][of], np.append(serial[heads[1:]], serial[-1:] + 1)[of]
-    tag = np.zeros(len(by), np.int64)
-    item, first, count = _may_match(text, start, windows, group, owner, length)
+    base = (np.cumsum(windows) - windows)[by]
+    start, windows, group, owner = start[by], windows[by], group[by], owner[by]
+    new_group = np.concatenate([[True], group[1:] != group[:-1]])[: len(by)]
+    rank = np.cumsum(new_group | np.concatenate([[True], owner[1:] != owner[:-1]])[: len(by)]) - 1
+    heads, of = np.flatnonzero(new_group), np.cumsum(new_group) - 1
+    low, high = rank[heads][of], np.append(rank[heads[1:]], rank[-1:] + 1)[of]
+    words = np.ndarray((len(text) + 56,), ">u8", text.tobytes() + bytes(64), strides=(1,))
+    runs = [(np.zeros(0, np.int64),) * 3]
+    for a, b in _in_turn(heads, windows, HASHED):
+        item, first, count = _may_match(words, start[a:b], windows[a:b], group[a:b], owner[a:b], length)
+        runs.append((item + a, first, count))
+    del words
+    item, first, count = (np.concatenate(x) for x in zip(*runs))
+    for a, b in _in_turn(heads, np.bincount(item, count + length - 1, len(by)).astype(np.int64), STREAMED):
+        i, j = np.searchsorted(item, [a, b])
+        _halved(hit, text, start[a:b], base[a:b], rank[a:b] - rank[a], low[a:b] - rank[a], high[a:b] - rank[a], item[i:j] - a, first[i:j], count[i:j], length)
+    return hit
+
+
+def _halved(hit: np.ndarray, text: np.ndarray, start: np.ndarray, base: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> None:
+    """Marks in ``hit`` what ``in_smaller`` finds of the runs (item, first, count); ``rank``: of a string's owner, from ``low`` to ``high`` in its group."""
+    tag = np.zeros(len(rank), np.int64)
     while True:
         live = high[item] - low[item] > 1
         item, first, count = item[live], first[live], count[live]
         if not len(item):
-            return hit
+            return
         middle = (low + high) // 2
         upper = rank >= middle
         side = upper[item]
-        both = [np.bincount(low[item[s]], minlength=len(by)) > 0 for s in (~side, side)]
+        both = [np.bincount(low[item[s]], minlength=len(rank)) > 0 for s in (~side, side)]
         met = (both[0] & both[1])[low[item]]
         left, right = np.flatnonzero(met & ~side), np.flatnonzero(met & side)
         if len(left):

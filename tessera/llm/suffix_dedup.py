@@ -41,11 +41,14 @@ from tessera.llm.common import freeze, shared_dir, table
 from tessera.llm.runindex import in_smaller, words_at
 
 GRAM = 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of an Arrow batch; set in the session, as the last step runs when the result is read.
 BATCH_BYTES = 8 << 20
-#: Bytes of strings, and anchors, for which one shard is planned.
-SHARD_BYTES, SHARD_ANCHORS = 4 << 20, 1 << 20
+#: Bytes of strings, and anchors or windows, for which one shard is planned. Every chunk sends a row to every shard, so that few and
+#: wide ones keep the rows' number down, which grows with the square of the corpus; a shard's strings are indexed some at a time.
+SHARD_BYTES, SHARD_ANCHORS = 64 << 20, 1 << 21
+#: Shards for each core, or as many as shuffle partitions if those are fewer, where the corpus alone would call for less.
+CORE_SHARDS = 16
 #: Distinct strings of one anchor that a shard indexes; beyond, they are dealt by window.
 MANY_STRINGS = 1 << 14
 #: Longest run of windows in one string.
@@ -452,11 +455,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, many: int = MANY_STRINGS)
     met = lambda df, n: df.repartition(int(n), "shard").sortWithinPartitions("shard")
     by_chunk = lambda df, name, *columns: df.groupBy("chunk").agg(F.collect_list(F.struct("shard", *columns)).alias(name))
 
-    before = max(parts, total // 14 // SHARD_ANCHORS)
+    least = min(parts, CORE_SHARDS * spark.sparkContext.defaultParallelism)
+    before = max(least, total // 14 // SHARD_ANCHORS)
     sent = chunks.mapInArrow(_anchor_rows(length, before), "shard long, chunk long, anchors binary")
     back = freeze(met(sent, before).mapInArrow(_repeated, "shard long, chunk long, anchors binary"), "anchors")
     size = back.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0))).first()[0] // 4 * (length + 18)
-    shards = max(parts, size // SHARD_BYTES)
+    shards = max(least, size // SHARD_BYTES)
     rows = chunks.join(by_chunk(back, "back", "anchors"), "chunk").mapInArrow(_string_rows(length, before, shards), STRINGS)
     strings = spark.table(_bucketed(rows, "strings_" + uuid.uuid4().hex, parts))
 
@@ -466,14 +470,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, many: int = MANY_STRINGS)
     asked = chunks.join(_only(strings, "shard", "anchors", "lowest", "sizes", "copies", "places"), "chunk").join(by_chunk(answers, "codes", "codes"), "chunk")
     sent = asked.mapInArrow(_texts, "shard long, chunk long, text binary, sizes binary, anchors binary, lowest binary")
     hits = freeze(met(sent, shards).mapInArrow(_streamed(length), "shard long, chunk long, hits binary"), "hits")
-    if answers.where("many > 0").isEmpty():
+    dealt = answers.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    wide = max(least, dealt * RUN_WINDOWS // SHARD_ANCHORS)
+    if not dealt:
         single = answers.select("shard", "chunk", "codes").where("false")
     else:
-        sent = asked.mapInArrow(_window_rows(length, shards), "shard long, chunk long, anchors binary, hashes binary, lowest binary")
-        single = freeze(met(sent, shards).mapInArrow(_answers(many), "shard long, chunk long, codes binary, many long"), "windows")
+        sent = asked.mapInArrow(_window_rows(length, wide), "shard long, chunk long, anchors binary, hashes binary, lowest binary")
+        single = freeze(met(sent, wide).mapInArrow(_answers(many), "shard long, chunk long, codes binary, many long"), "windows")
     told = chunks.join(_only(strings, "shard", "lowest", "sizes", "copies", "places"), "chunk", "left").join(by_chunk(answers, "codes", "codes"), "chunk", "left")
     told = told.join(by_chunk(hits, "hits", "hits"), "chunk", "left").join(by_chunk(single, "single", "codes"), "chunk", "left")
-    return told.mapInArrow(partial(_cut, length, shards), "doc_id long, n_bytes long, kept binary, edges array<long>")
+    return told.mapInArrow(partial(_cut, length, wide), "doc_id long, n_bytes long, kept binary, edges array<long>")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

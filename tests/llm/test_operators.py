@@ -320,6 +320,40 @@ def test_suffix_dedup(docs, empty, texts):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_shards_do_not_follow_partitions(spark, monkeypatch):
+    """A chunk's row for each shard: as many shards as cores and bytes call for, however many partitions a shuffle has."""
+    rng, kept = np.random.default_rng(4), {}
+    monkeypatch.setattr(suffix_dedup, "freeze", lambda df, tag, real=suffix_dedup.freeze: kept.setdefault(tag, real(df, tag)))
+    same = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(40)]
+    rows = [(2 * i, x) for i, x in enumerate(same)] + [(2 * i + 1, f"{x}{i:03d}") for i, x in enumerate(same)]
+    cores = spark.sparkContext.defaultParallelism
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(20 * cores))
+    try:
+        got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == {k: t.encode() if k % 2 == 0 else f"{k // 2:03d}".encode() for k, t in rows}
+    assert kept["answers"].select("chunk").distinct().count() == 1 and 8 * cores < kept["answers"].count() <= 16 * cores
+
+
+def test_run_index_streams_groups_in_turn(monkeypatch):
+    """Whole groups go at once, so that a step of a stream serves many strings; how many at once changes nothing."""
+    rng, streams = np.random.default_rng(5), []
+    real = runindex.RunIndex.long_matches
+    monkeypatch.setattr(runindex.RunIndex, "long_matches", lambda *a: streams.append(len(a[2])) or real(*a))
+    rows = [(bytes(rng.integers(5 * g, 5 * g + 3, 30).astype(np.uint8)), g, o) for g in range(50) for o in range(2)]
+    size = np.array([len(s) for s, _, _ in rows])
+    run = lambda: runindex.in_smaller(np.frombuffer(b"".join([s for s, _, _ in rows]), np.uint8), np.cumsum(size) - size, size - 3, np.array([g for _, g, _ in rows]), np.array([o for _, _, o in rows]), 4).tolist()
+    whole = run()
+    assert whole == [any(s[w : w + 4] in t for t, h, p in rows if h == g and p < o) for s, g, o in rows for w in range(len(s) - 3)] and len(streams) == 1
+    monkeypatch.setattr(runindex, "HASHED", 40)
+    monkeypatch.setattr(runindex, "STREAMED", 1)
+    assert run() == whole and len(streams) > 20
+    none = np.zeros(0, np.int64)
+    assert len(runindex.in_smaller(np.zeros(0, np.uint8), none, none, none, none, 4)) == 0
+
+
 def test_run_index_streams_other_strings():
     rng = np.random.default_rng(0)
     for trial in range(60):
