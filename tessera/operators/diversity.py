@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.clean import KEY
+from tessera.sources.staging import written
 
 
 def indices(counts: DataFrame, by: list[str] | None = None, value: str = "cnt") -> DataFrame:
@@ -123,6 +124,7 @@ def rarefaction_curve(counts: DataFrame, steps: int = 10, iterations: int = 5, s
     """Mean and population deviation of unique sequences and clonality at ``steps`` depths of each repertoire's own size."""
     from tessera.operators.sampling import draw_counts
 
+    counts = written(counts, "counts")
     total = counts.groupBy("sample_short").agg(F.sum("cnt").alias("t"))
     plan = total.select("sample_short", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "t").withColumn("depth", F.floor(F.col("t") * F.col("step") / steps)).groupBy("sample_short").agg(F.array_sort(F.collect_set("depth")).alias("depths"))
     draws = draw_counts(counts.join(plan, "sample_short"), iterations, seed)

@@ -8,6 +8,7 @@ repeats exactly.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,21 @@ PART_ROWS, SLICES, LETTERS = 100_000, 16, 6
 SLICE_ROWS = 100_000
 
 
-def _drawn(rng: np.random.Generator, share: int, upto: np.ndarray) -> np.ndarray:
-    """``share`` draws by weight: places, one each, repeats included. ``upto``: cumulated weights."""
-    return np.minimum(np.searchsorted(upto, rng.random(share) * upto[-1], side="right"), len(upto) - 1)
+def _draws(weight: np.ndarray) -> Callable[[np.random.Generator, int], tuple[np.ndarray, np.ndarray]]:
+    """What makes ``share`` draws by weight: (places, how often each); a place may come several times.
+
+    Up to as many draws as places are made one by one; more are made place by place, as counts of the same distribution, so that
+    a draw's depth costs nothing. Light places come first there, as what is left of the weight for the last ones is a difference.
+    """
+    upto, light = np.cumsum(weight), np.argsort(weight, kind="stable")
+
+    def draw(rng: np.random.Generator, share: int) -> tuple[np.ndarray, np.ndarray]:
+        if share > len(weight):
+            n = rng.multinomial(share, weight[light] / weight.sum())
+            return light[n > 0], n[n > 0]
+        return np.minimum(np.searchsorted(upto, rng.random(share) * upto[-1], side="right"), len(upto) - 1), np.ones(share, np.int64)
+
+    return draw
 
 
 def _dealt(counts: DataFrame, iterations: int, seed: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -67,10 +80,10 @@ def draw_rounds(counts: DataFrame, depth: int, rounds: int, seed: int = 42, part
         bits = np.zeros((left.num_rows, -(-rounds // 8)), np.uint8)
         if left.num_rows and right.num_rows:
             name, part = (k.as_py() for k in key)
-            upto = np.cumsum(rows.column("cnt").to_numpy().astype(float))
+            draws = _draws(rows.column("cnt").to_numpy().astype(float))
             for step in right.column("plan")[0].as_py():
                 for i, share in enumerate(step["shares"], 1):
-                    hit = _drawn(_rng(seed, name, part, step["depth"], i), share, upto)
+                    hit, _ = draws(_rng(seed, name, part, step["depth"], i), share)
                     column = bits[:, (i - 1) >> 3]
                     column[hit] |= np.uint8(1 << (i - 1 & 7))
         some = np.flatnonzero(bits.any(axis=1))
@@ -88,10 +101,12 @@ def draw_counts(counts: DataFrame, iterations: int, seed: int = 42, part_rows: i
     def draw(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows, out = left.sort_values(KEY, na_position="last", ignore_index=True), []
         if len(rows) and len(right):
-            upto = np.cumsum(rows["cnt"].to_numpy(float))
+            draws = _draws(rows["cnt"].to_numpy(float))
             for step in right["plan"].iloc[0]:
                 for i, share in enumerate(step["shares"], 1):
-                    n = np.bincount(_drawn(_rng(seed, *key, step["depth"], i), share, upto), minlength=len(rows))
+                    places, times = draws(_rng(seed, *key, step["depth"], i), share)
+                    n = np.zeros(len(rows), np.int64)
+                    np.add.at(n, places, times)
                     out.append(rows[n > 0].assign(depth=step["depth"], iter=i, n=n[n > 0]))
         columns = ["sample_short", *KEY, "depth", "iter", "n"]
         return pd.concat(out)[columns] if out else pd.DataFrame({c: [] for c in columns})

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.tails import normal_two_sided, rank_sum_law, rank_sum_two_sided
-from tessera.operators import clean, comparisons, diversity, imgt, multivariate
+from tessera.operators import clean, comparisons, diversity, imgt, multivariate, sampling
 from tessera.sources import readers
 
 COUNTS = "sample_short string, aminoAcid string, vFamilyName string, jGeneName string, cnt long"
@@ -146,6 +146,33 @@ def test_rarefaction(spark):
     assert diversity.rarefied(counts.limit(0), None, 2).count() == 0
 
 
+def test_rarefaction_of_deep_samples(spark):
+    """A depth of 10^15 cells costs what a small one does: draws beyond the number of clonotypes are made clonotype by clonotype."""
+    counts = spark.createDataFrame([("s", "C1", "V", "J", 3 * 10**15), ("s", "C2", "V", "J", 10**15), ("t", "C1", "V", "J", 5)], COUNTS)
+    got = {(r["sample_short"], r["depth"]): r for r in diversity.rarefaction_curve(counts, 4, 3).collect()}
+    assert {d for s, d in got if s == "s"} == {k * 10**15 for k in (1, 2, 3, 4)} and {d for s, d in got if s == "t"} == {1, 2, 3, 5}
+    for (s, _), r in got.items():
+        n, clonality = (2, 1 + (3 * np.log2(0.75) + np.log2(0.25)) / 4) if s == "s" else (1, 1)
+        assert (r["unique_sequences_mean"], r["unique_sequences_sd"]) == (n, 0) and r["clonality_mean"] == pytest.approx(clonality, abs=1e-6) and r["clonality_sd"] < 1e-6
+
+
+@pytest.mark.parametrize("share", [40, 60, 100_000])
+def test_draws_follow_the_weights(share):
+    """One by one and place by place: means and variances of a multinomial, all draws made, heavy places beside the lightest."""
+    weight, rng = np.random.default_rng(2).integers(1, 50, 50).astype(float), np.random.default_rng(3)
+    draws, rounds = sampling._draws(weight), []
+    for _ in range(4000):
+        places, times = draws(rng, share)
+        rounds.append(np.bincount(places, times, len(weight)))
+    p, n = weight / weight.sum(), np.array(rounds)
+    assert (n.sum(axis=1) == share).all()
+    sd = np.sqrt(share * p * (1 - p))
+    assert (abs(n.mean(axis=0) - share * p) < 5 * sd / np.sqrt(4000)).all() and (abs(n.var(axis=0) / sd**2 - 1) < 0.2).all()
+    for odd in ([1e18, 1, 1, 1e18, 1], [1, 1e18], [7.0]):
+        places, times = sampling._draws(np.array(odd))(rng, share)
+        assert times.sum() == share and set(places) <= set(range(len(odd)))
+
+
 def test_decimal_positions(spark):
     rows = spark.createDataFrame([("111A",), ("112E",), ("104",), (None,)], "p string")
     assert [r[0] for r in rows.select(imgt.decimal_position("p")).collect()] == ["111.1", "112.5", "104", None]
