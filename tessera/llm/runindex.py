@@ -180,7 +180,7 @@ def _may_match(words: np.ndarray, start: np.ndarray, windows: np.ndarray, group:
 
 
 #: Windows that are hashed at once, and bytes of strings that are indexed and streamed at once, about: whole groups, one at least.
-HASHED, STREAMED = 1 << 20, 8 << 20
+HASHED, STREAMED = 1 << 20, 4 << 20
 
 
 def _in_turn(heads: np.ndarray, size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -46,7 +46,7 @@ CHUNK_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
 #: Bytes of strings, and anchors or windows, for which one shard is planned. Every chunk sends a row to every shard, so that few and
 #: wide ones keep the rows' number down, which grows with the square of the corpus; a shard's strings are indexed some at a time.
-SHARD_BYTES, SHARD_ANCHORS = 64 << 20, 1 << 21
+SHARD_BYTES, SHARD_ANCHORS = 32 << 20, 1 << 21
 #: Shards for each core, or as many as shuffle partitions if those are fewer, where the corpus alone would call for less.
 CORE_SHARDS = 16
 #: Distinct strings of one anchor that a shard indexes; beyond, they are dealt by window.
